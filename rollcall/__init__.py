@@ -1 +1,8 @@
 """Coverage, policy what-if and model selection over (region, entity) lists on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

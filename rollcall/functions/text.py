@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -47,8 +48,14 @@ def unicode_classes(pattern: str) -> str:
 
 
 def one_pattern(patterns: Sequence[str]) -> str:
-    """All patterns as one alternation, so a name is scanned once."""
-    return "|".join(f"(?:{unicode_classes(p)})" for p in patterns)
+    """All patterns as one alternation, so a name is scanned once.
+
+    Patterns that begin with a space share that test, which most positions of a text fail.
+    """
+    shared = [p for p in patterns if re.match(r"\\s[^*+?{]", p) and "|" not in p]
+    spaced = "|".join(unicode_classes(p[2:]) for p in shared)
+    other = [f"(?:{unicode_classes(p)})" for p in patterns if p not in shared]
+    return "|".join(([f"{SPACE}(?:{spaced})"] if shared else []) + other)
 
 
 def name_ok(c: Column | str, patterns: Sequence[str] = PLACEHOLDER) -> Column:

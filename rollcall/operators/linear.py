@@ -1,15 +1,15 @@
 """Correlation, least squares and stepwise selection from one pass of centred moments.
 
-Spark reads the rows once and returns, per model, the count, the means and the covariances of the
-columns. Everything after that works on those p x p numbers: a stepwise search fits each candidate
-from them, so no candidate costs a scan. Fitting runs in the task that holds the moment row, and
-nothing is collected.
+Spark reads the rows once and returns, per model, the pairwise moments of its columns. Everything
+after that works on those p x p numbers: a stepwise search fits each candidate from them, so no
+candidate costs a scan. Fitting runs in the task that holds the moment row, and nothing is
+collected.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -20,27 +20,33 @@ from pyspark.sql import types as T
 
 from rollcall.functions.tails import t_quantile, t_sf, t_two_sided
 from rollcall.operators.keys import REGION, Keys, as_list
+from rollcall.operators.moments import PARTS, Moments, merge_moments, pair_moments
 
 INTERCEPT = "(Intercept)"
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str], *, with_p: bool = True) -> DataFrame:
-    """Long Pearson matrix (x, y, r, n, p) of all column pairs, nulls left out pair by pair."""
-    pairs = [
-        F.struct(
-            F.lit(a).alias("x"),
-            F.lit(b).alias("y"),
-            F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("r"),
-            F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n"),
-        )
-        for a, b in combinations(cols, 2)
-    ]
-    out = df.agg(F.array(*pairs).alias("_pairs")).select(F.inline("_pairs"))
-    if not with_p:
+def corr_matrix(df: DataFrame, cols: Sequence[str], *, by: Keys = ()) -> DataFrame:
+    """Long Pearson matrix (x, y, r, n, p) of all column pairs, missing values left out pair by pair."""
+    by, cols = as_list(by), list(cols)
+
+    def rows_of(m: Moments) -> list[dict]:
+        out = []
+        for i, j in combinations(range(len(cols)), 2):
+            n, scale = m.n[i, j], math.sqrt(max(m.spread[i, j], 0) * max(m.spread[j, i], 0))
+            r = max(-1.0, min(1.0, m.cross[i, j] / scale)) if scale > 0 else math.nan
+            t = r * math.sqrt((n - 2) / (1 - r * r)) if n > 2 and abs(r) < 1 else math.inf
+            p = t_two_sided(t, n - 2) if n > 2 and r == r else math.nan
+            out.append({"x": cols[i], "y": cols[j], "r": r, "n": int(n), "p": p})
         return out
-    r, free = F.col("r"), F.col("n") - 2
-    t = F.when(F.abs(r) < 1, r * F.sqrt(free / (1 - r * r))).otherwise(float("inf"))
-    return out.withColumn("p", t_sf(F.when(r.isNotNull(), t), free))
+
+    fields = [
+        T.StructField("x", T.StringType()),
+        T.StructField("y", T.StringType()),
+        T.StructField("r", T.DoubleType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("p", T.DoubleType()),
+    ]
+    return _per_model(pair_moments(df, cols, by), by, fields, rows_of)
 
 
 def fit_line(
@@ -70,37 +76,18 @@ def leave_out(df: DataFrame, *values: object, region: str = REGION) -> DataFrame
 
 
 def moments(df: DataFrame, cols: Sequence[str], by: Keys = ()) -> DataFrame:
-    """Complete-case count, means and covariances of ``cols``: one row, or one per group.
-
-    ``covariances`` is the upper triangle, row by row. Sums are centred while they are built, so
-    columns of very different size do not lose digits.
-    """
-    numeric = {c: F.col(c).cast("double") for c in cols}
-    rows = df.select(*as_list(by), *(e.alias(c) for c, e in numeric.items())).dropna(
-        subset=list(cols)
-    )
-    return rows.groupBy(*as_list(by)).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*(F.avg(c) for c in cols)).alias("means"),
-        F.array(
-            *(F.covar_pop(a, b) for i, a in enumerate(cols) for b in cols[i:])
-        ).alias("covariances"),
-    )
-
-
-def _square(upper: np.ndarray, size: int) -> np.ndarray:
-    full = np.zeros((size, size))
-    full[np.triu_indices(size)] = upper
-    return full + np.triu(full, 1).T
+    """Pairwise moments of the rows that have all of ``cols``."""
+    numeric = df.select(*as_list(by), *(F.col(c).cast("double").alias(c) for c in cols))
+    return pair_moments(numeric.dropna(subset=list(cols)), list(cols), by)
 
 
-class _Moments:
+class _Model:
     """Means and centred cross-products with the response in column 0."""
 
-    def __init__(self, n: int, means: Sequence[float], covariances: Sequence[float]):
-        self.n = int(n)
-        self.means = np.asarray(means, dtype=float)
-        self.cross = _square(np.asarray(covariances, dtype=float), len(self.means)) * self.n
+    def __init__(self, m: Moments):
+        self.n = int(m.n[0, 0])
+        self.means = np.diag(m.mean)
+        self.cross = m.cross
         self.scale = np.sqrt(np.maximum(np.diag(self.cross), 0.0))
 
     def estimable(self, columns: Sequence[int], tolerance: float = 1e-10) -> list[int]:
@@ -145,7 +132,7 @@ class _Moments:
         return value
 
 
-def _coefficients(m: _Moments, xs: Sequence[str], columns: Sequence[int], level: float) -> dict:
+def _coefficients(m: _Model, xs: Sequence[str], columns: Sequence[int], level: float) -> dict:
     kept = m.estimable(columns)
     slopes, inverse, rss = m.fit(kept)
     free = m.n - len(kept) - 1
@@ -195,22 +182,24 @@ _FIT_FIELDS = [
 ]
 
 
-def _per_model(sums: DataFrame, by: list[str], fields: list[T.StructField], rows_of) -> DataFrame:
-    """Apply ``rows_of(moments)`` to every moment row; keep the group columns."""
-    keys = [sums.schema[c] for c in by]
-    names = [f.name for f in (*keys, *fields)]
+def _per_model(
+    found: DataFrame,
+    by: list[str],
+    fields: list[T.StructField],
+    rows_of: Callable[[Moments], list[dict]],
+) -> DataFrame:
+    """Apply ``rows_of`` to the moments of every row; keep the group columns."""
+    schema = T.StructType([*(found.schema[c] for c in by), *fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for record in batch.to_dict("records"):
-                if not record["n"]:
-                    continue
-                m = _Moments(record["n"], record["means"], record["covariances"])
+                m = Moments.from_lists(*(record[p] for p in PARTS))
                 rows += [{c: record[c] for c in by} | row for row in rows_of(m)]
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=schema.names)
 
-    out = sums.mapInPandas(run, T.StructType([*keys, *fields]))
+    out = found.select(*by, *PARTS).mapInPandas(run, schema)
     doubles = [f.name for f in fields if isinstance(f.dataType, T.DoubleType)]
     return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in doubles})
 
@@ -226,12 +215,15 @@ def ols(
     by, xs = as_list(by), list(xs)
     columns = list(range(1, len(xs) + 1))
     return _per_model(
-        moments(df, [y, *xs], by), by, _FIT_FIELDS, lambda m: _coefficients(m, xs, columns, level)
+        moments(df, [y, *xs], by),
+        by,
+        _FIT_FIELDS,
+        lambda m: _coefficients(_Model(m), xs, columns, level),
     )
 
 
 def _search(
-    m: _Moments,
+    m: _Model,
     xs: list[str],
     start: list[int],
     lower: set[int],
@@ -297,7 +289,8 @@ def step_aic(
     begin = [xs.index(c) + 1 for c in first]
     keep = {xs.index(c) + 1 for c in lower}
 
-    def rows_of(m: _Moments) -> list[dict]:
+    def rows_of(found: Moments) -> list[dict]:
+        m = _Model(found)
         weight = math.log(m.n) if penalty is None else float(penalty)
         path = _search(m, xs, begin, keep, direction, weight, corrected)
         return [
@@ -343,7 +336,8 @@ def step_fit(
     begin = [xs.index(c) + 1 for c in first]
     keep = {xs.index(c) + 1 for c in lower}
 
-    def rows_of(m: _Moments) -> list[dict]:
+    def rows_of(found: Moments) -> list[dict]:
+        m = _Model(found)
         weight = math.log(m.n) if penalty is None else float(penalty)
         chosen = _search(m, xs, begin, keep, direction, weight, corrected)[-1]["columns"]
         return _coefficients(m, xs, chosen, level)
@@ -356,43 +350,31 @@ def ols_leave_each_out(
 ) -> DataFrame:
     """The fit without each region in turn, keyed by the region left out.
 
-    Regions are reduced to their moments in one pass, and each is taken out of the total by
-    subtraction, so k regions cost two scans and not k. A region that leaves fewer rows than
-    coefficients has null standard errors.
+    Rows are reduced to one moment row per region, the total is merged from those rows, and each
+    region is taken out of it by subtraction, so no fit costs a scan. Rows without a region are
+    not used. A region whose absence leaves no rows is not in the result.
     """
     xs = list(xs)
-    model = [y, *xs]
-    per_region = moments(df.where(F.col(region).isNotNull()), model, region)
-    whole = moments(df.where(F.col(region).isNotNull()), model)
-    total = whole.select(F.struct("n", "means", "covariances")).scalar()
-    size = len(model)
-    upper = [(i, j) for i in range(size) for j in range(i, size)]
-
-    def part(i: int, name: str):
-        return F.col(name)[i]
-
-    rest_n = F.col("_all.n") - F.col("n")
-    joined = per_region.withColumn("_all", total).where(rest_n > 0)
-    means = [
-        (F.col("_all.n") * F.col("_all.means")[i] - F.col("n") * part(i, "means")) / rest_n
-        for i in range(size)
-    ]
-    with_means = joined.withColumn("_means", F.array(*means))
-    gap = [part(i, "means") - F.col("_means")[i] for i in range(size)]
-    covariances = [
-        (
-            F.col("_all.n") * F.col("_all.covariances")[k]
-            - F.col("n") * part(k, "covariances")
-            - (F.col("n") * rest_n / F.col("_all.n")) * gap[i] * gap[j]
-        )
-        / rest_n
-        for k, (i, j) in enumerate(upper)
-    ]
-    rest = with_means.select(
-        region,
-        rest_n.alias("n"),
-        F.col("_means").alias("means"),
-        F.array(*covariances).alias("covariances"),
-    )
-    columns = list(range(1, size))
-    return _per_model(rest, [region], _FIT_FIELDS, lambda m: _coefficients(m, xs, columns, level))
+    per_region = moments(df.where(F.col(region).isNotNull()), [y, *xs], region)
+    total = merge_moments(per_region).select(F.struct(*PARTS)).scalar()
+    columns = list(range(1, len(xs) + 1))
+    fields = [per_region.schema[region], *_FIT_FIELDS]
+    schema = T.StructType(fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for record in batch.to_dict("records"):
+                part = Moments.from_lists(*(record[p] for p in PARTS))
+                whole = Moments.from_lists(*(record["_all"][p] for p in PARTS))
+                if whole.n[0, 0] > part.n[0, 0]:
+                    rest = _Model(whole.without(part))
+                    rows += [
+                        {region: record[region]} | row
+                        for row in _coefficients(rest, xs, columns, level)
+                    ]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    out = per_region.withColumn("_all", total).mapInPandas(run, schema)
+    doubles = [f.name for f in _FIT_FIELDS if isinstance(f.dataType, T.DoubleType)]
+    return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in doubles})

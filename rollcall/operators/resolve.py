@@ -54,31 +54,35 @@ def unresolved(
     return attach(rows.distinct(), known, name, "left_anti")
 
 
-def deletion_keys(c: Column, max_dist: int) -> Column:
-    """Hashes of a string and of all strings left by deleting up to ``max_dist`` characters.
+def deletion_keys(names: DataFrame, name: str, max_dist: int, out: str = "_key") -> DataFrame:
+    """Each name with hashes of itself and of all strings left by deleting up to ``max_dist``
+    of its characters.
 
     Two strings within that edit distance always share one: delete the substituted and inserted
-    characters on either side.
+    characters on either side. Deletions go from left to right, one exploded position per round,
+    so every set of positions is made once.
     """
-
-    def one_deleted(s: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.length(s)),
-            lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))),
-        )
-
-    variants = F.array(c)
+    # The adaptive planner packs small names into few tasks by their size before expansion, and
+    # drops a repartition by the column they are already hashed on; a hash of it is neither.
+    partitions = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = names.repartition(partitions, F.xxhash64(name)).select(
+        name, F.col(name).alias("_rest"), F.lit(1).alias("_from")
+    )
+    none = F.lit(0)
     for _ in range(max_dist):
-        shorter = F.flatten(
-            F.transform(
-                variants,
-                lambda s: F.when(F.length(s) > 0, one_deleted(s)).otherwise(
-                    F.array().cast("array<string>")
-                ),
-            )
+        length, start, at = F.length("_rest"), F.col("_from"), F.col("_at")
+        positions = F.when(
+            start <= length, F.concat(F.array(none), F.sequence(start, length))
+        ).otherwise(F.array(none))
+        shorter = F.concat(
+            F.substring("_rest", F.lit(1), at - 1), F.substring(F.col("_rest"), at + 1, length)
         )
-        variants = F.array_distinct(F.concat(variants, shorter))
-    return F.array_distinct(F.transform(variants, lambda s: F.xxhash64(s)))
+        rows = rows.select(name, "_rest", F.explode(positions).alias("_at")).select(
+            name,
+            F.when(at == none, F.col("_rest")).otherwise(shorter).alias("_rest"),
+            F.when(at == none, length + 1).otherwise(at).alias("_from"),
+        )
+    return rows.select(name, F.xxhash64("_rest").alias(out))
 
 
 def fuzzy_resolve(
@@ -103,16 +107,14 @@ def fuzzy_resolve(
     wanted = df.select(name).where(F.col(name).isNotNull()).distinct()
     known = backbone.select(F.col(standard).alias("_known")).where("_known is not null").distinct()
     exact = attach(wanted, known.select(F.col("_known").alias(name), F.lit(1).alias("_hit")), name)
-    left = exact.where("_hit is null").select(
-        name, F.explode(deletion_keys(F.col(name), max_dist)).alias("_key")
-    )
-    right = known.select(
-        "_known", F.explode(deletion_keys(F.col("_known"), max_dist)).alias("_known_key")
-    )
+    left = deletion_keys(exact.where("_hit is null").select(name), name, max_dist)
+    right = deletion_keys(known, "_known", max_dist, "_known_key")
     distance = F.levenshtein(F.col(name), F.col("_known"), max_dist)
     longer = F.greatest(F.length(name), F.length("_known"))
     near = (
-        left.join(right, F.col("_key") == F.col("_known_key"))
+        # Size estimates ignore the expansion; without the hint Spark would broadcast it.
+        left.hint("merge")
+        .join(right, F.col("_key") == F.col("_known_key"))
         .select(name, "_known", distance.alias("_distance"), longer.alias("_longer"))
         .where((F.col("_distance") >= 0) & (1 - F.col("_distance") / F.col("_longer") >= min_similarity))
         .select(name, F.struct("_distance", "_known").alias("_match"))

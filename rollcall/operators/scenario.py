@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.numeric import ratio
-from rollcall.operators.keys import ENTITY, REGION, attach, unique_side
+from rollcall.operators.coverage import Listing, membership
+from rollcall.operators.keys import ENTITY, REGION, any_of, attach, unique_side
 
 
 def standard_rules(
@@ -80,7 +81,44 @@ def coverage_delta(
     """Per key of ``after``: count before, count after, rows lost and the share lost in percent."""
     left = after.select(keys, F.col(after_col).alias("after"))
     joined = attach(left, before.select(keys, F.col(before_col).alias("before")), keys, null_safe=())
-    return joined.withColumn("lost", F.col("before") - F.col("after")).withColumn(
+    return _with_loss(joined)
+
+
+def coverage_change(
+    range_: DataFrame,
+    before: Listing,
+    after: Listing,
+    *,
+    regions: DataFrame | None = None,
+    region: str = REGION,
+    entity: str = ENTITY,
+) -> DataFrame:
+    """Per region: range rows covered before and after, rows lost and the share lost in percent.
+
+    The same numbers as ``coverage_delta`` of two coverage tables, from one shuffle of the range
+    and both listings instead of two and a join.
+    """
+    keys = [region, entity]
+    status = membership(
+        range_, {"_before": any_of(before, keys), "_after": any_of(after, keys)}, keys
+    )
+
+    def rows_on(mark: str) -> Column:
+        listed = (F.col(mark) > 0) & F.col(region).isNotNull()
+        return F.sum(F.when(listed, F.col("in_range")).otherwise(0))
+
+    counts = (
+        status.where("in_range > 0")
+        .groupBy(region)
+        .agg(rows_on("_after").alias("after"), rows_on("_before").alias("before"))
+    )
+    if regions is not None:
+        counts = attach(regions, counts, region, null_safe=()).fillna(0, ["after", "before"])
+    return _with_loss(counts)
+
+
+def _with_loss(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("lost", F.col("before") - F.col("after")).withColumn(
         "percent_lost", ratio("lost", "before") * 100
     )
 

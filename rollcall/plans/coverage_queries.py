@@ -594,9 +594,10 @@ left join after_rows a on a.region_key = n_nationkey""",
 def coverage_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range rows that lose all cover: on either list before, on the reduced local list after."""
     q = Lists(spark, sf_dir)
-    before = by_region(q, q.range_, [q.local, q.national])
-    after = by_region(q, q.range_, policy_left(q))
-    return scenario.coverage_delta(before, after)
+    regions = q.regions.select(REGION)
+    return scenario.coverage_change(
+        q.range_, [q.local, q.national], policy_left(q), regions=regions
+    )
 
 
 @query(

@@ -206,7 +206,7 @@ LINES_SQL = """with lines as (
 )
 def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = measured_lines(Lists(spark, sf_dir))
-    return rounded(linear.corr_matrix(lines, MEASURES, with_p=False), "r", places=8)
+    return rounded(linear.corr_matrix(lines, MEASURES).drop("p"), "r", places=8)
 
 
 LINE_COLUMNS = """round(corr(l_extendedprice, l_quantity), 8) as r,
