@@ -1,0 +1,112 @@
+"""Name resolution: lookup with fallback, report of missing names, nearest names."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from rollcall.operators import resolve
+
+NAMES = "scientific_name string, standard_name string"
+
+
+def names_of(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "species string")
+
+
+def test_lookup_null_standard_and_fallback(spark):
+    df = names_of(spark, "a", "a", "b", "c", None)
+    table = spark.createDataFrame([("a", "A"), ("b", None), ("x", "X")], NAMES)
+    got = rows(resolve.resolve_names(df, table))
+    assert got == sorted([("a", "A"), ("a", "A"), ("b", None), ("c", "c"), (None, None)], key=repr)
+
+
+def test_lookup_of_a_null_name_is_a_match(spark):
+    table = spark.createDataFrame([(None, "N")], NAMES)
+    assert rows(resolve.resolve_names(names_of(spark, None, "a"), table)) == [("a", "a"), (None, "N")]
+
+
+def test_repeated_entries_keep_row_count(spark):
+    table = spark.createDataFrame([("a", "Z", 1), ("a", "B", 2), ("a", None, 0)], NAMES + ", at int")
+    df = names_of(spark, "a", "a")
+    assert rows(resolve.resolve_names(df, table)) == [("a", "B")] * 2
+    assert rows(resolve.resolve_names(df, table, order=["at"])) == [("a", None)] * 2
+    assert rows(resolve.resolve_names(df, table, order=[F.desc("at")])) == [("a", "B")] * 2
+
+
+def test_unresolved(spark):
+    df = names_of(spark, "Aa bb", "Aa bb", "Aa sp.", "Cc dd", None)
+    table = spark.createDataFrame([("Cc dd", "X")], NAMES)
+    assert rows(resolve.unresolved(df, table)) == [("Aa bb",), ("Aa sp.",), (None,)]
+    assert rows(resolve.unresolved(df, table, patterns=[r"\s(sp).$"])) == [("Aa bb",)]
+
+
+def distance(a: str, b: str) -> int:
+    line = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, line[0] = line[0], i
+        for j, y in enumerate(b, 1):
+            before, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, before + (x != y))
+    return line[-1]
+
+
+def brute(dirty, known, max_dist, floor=0.0):
+    out = []
+    for name in set(dirty) - {None}:
+        best = min(
+            (
+                (d, k)
+                for k in set(known) - {None}
+                if (d := distance(name, k)) <= max_dist
+                and (d == 0 or 1 - d / max(len(name), len(k)) >= floor)
+            ),
+            default=None,
+        )
+        kind = "none" if best is None else "exact" if best[0] == 0 else "fuzzy"
+        out.append((name, best and best[1], best and best[0], kind))
+    return sorted(out, key=repr)
+
+
+def words(seed: int, size: int, alphabet: str) -> list[str]:
+    rng = random.Random(seed)
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 9))) for _ in range(size)]
+
+
+@pytest.mark.parametrize("max_dist", [0, 1, 2, 3])
+def test_nearest_against_every_pair(spark, max_dist):
+    known = words(1, 60, "abcé😀") + [None]
+    dirty = words(2, 80, "abcé😀") + known[:5] + [None, ""]
+    df = names_of(spark, *dirty)
+    backbone = spark.createDataFrame([(k,) for k in known], "standard_name string")
+    got = resolve.fuzzy_resolve(df, backbone, max_dist=max_dist)
+    assert rows(got) == brute(dirty, known, max_dist)
+
+
+def test_names_with_one_common_genus(spark):
+    """A shared prefix must neither hide a match nor make every pair a candidate."""
+    known = [f"Cicindela {w}x" for w in words(3, 150, "abcdefgh")]
+    dirty = [f"Cicindela {w}y" for w in words(4, 80, "abcdefgh")]
+    df = names_of(spark, *dirty)
+    backbone = spark.createDataFrame([(k,) for k in known], "standard_name string")
+    assert rows(resolve.fuzzy_resolve(df, backbone, max_dist=2)) == brute(dirty, known, 2)
+
+
+def test_tie_and_similarity_floor(spark):
+    df = names_of(spark, "abcd", "ab")
+    backbone = spark.createDataFrame([("abce",), ("abcc",), ("ac",)], "standard_name string")
+    got = rows(resolve.fuzzy_resolve(df, backbone))
+    assert got == [("ab", "ac", 1, "fuzzy"), ("abcd", "abcc", 1, "fuzzy")]
+    got = rows(resolve.fuzzy_resolve(df, backbone, min_similarity=0.6))
+    assert got == [("ab", None, None, "none"), ("abcd", "abcc", 1, "fuzzy")]
+
+
+def test_candidates_do_not_grow_with_a_common_prefix(spark):
+    """Keys are shared by close names only: far names under one genus give no candidate pair."""
+    names = ["Cicindela " + w * 4 for w in "abcdefghijklmnop"]
+    df = names_of(spark, *names)
+    keyed = resolve.deletion_keys(df, "species", 2)
+    shared = keyed.groupBy("_key").agg(F.countDistinct("species").alias("n")).where("n > 1")
+    assert shared.count() == 0
