@@ -131,6 +131,13 @@ def pairwise_g_test(
     return out.withColumn("p", chi2_sf(F.col("g"), F.col("df"))) if with_p else out
 
 
+def to_long(
+    counts: DataFrame, group: str, cells: Sequence[str], *, col: str = "cell", n: str = "n"
+) -> DataFrame:
+    """Grouped counts as (group, cell, n) rows, the layout ``g_test_long`` takes."""
+    return counts.unpivot([group], list(cells), col, n)
+
+
 def to_matrix(
     pairs: DataFrame,
     value: str = "p",

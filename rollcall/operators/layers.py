@@ -1,4 +1,4 @@
-"""The tables behind choropleth maps."""
+"""The tables behind maps and scatter plots."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.operators.keys import REGION, attach
+from rollcall.operators.linear import fit_line
 
 
 def legend_bin(value: Column, breaks: Sequence[float]) -> Column:
@@ -43,3 +44,15 @@ def region_layer(
             "legend_bin": F.when(~off, legend_bin(v, breaks)),
         }
     )
+
+
+def scatter_layer(df: DataFrame, x: str, y: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Every point with the height of the regression line at its x; null where x is missing.
+
+    The line is one aggregated row that each task reads as a constant. Its R2 and p are
+    ``fit_line``'s.
+    """
+    line = fit_line(df, x, y, with_p=False).select(F.struct("slope", "intercept")).scalar()
+    points = df.select(*keep, x, y).withColumn("_line", line)
+    height = F.col("_line.intercept") + F.col("_line.slope") * F.col(x)
+    return points.withColumn("fitted", height).drop("_line")

@@ -131,3 +131,33 @@ def fuzzy_resolve(
         .otherwise("fuzzy")
         .alias("match_type"),
     )
+
+
+def extend_names(
+    names: DataFrame,
+    df: DataFrame,
+    backbone: DataFrame,
+    *,
+    name: str = "species",
+    raw: str = "scientific_name",
+    standard: str = "standard_name",
+    patterns: Sequence[str] = (),
+    max_dist: int = 1,
+    min_similarity: float = 0.0,
+) -> DataFrame:
+    """The name table with entries for names of ``df`` it lacks, looked up in ``backbone`` again.
+
+    Names without a match stay out of the table, so ``resolve_names`` leaves them as they are and
+    ``unresolved`` reports them.
+    """
+    missing = unresolved(df, names, name=name, raw=raw, patterns=patterns)
+    found = fuzzy_resolve(
+        missing,
+        backbone,
+        name=name,
+        standard=standard,
+        max_dist=max_dist,
+        min_similarity=min_similarity,
+    )
+    entries = found.where(F.col(standard).isNotNull()).select(F.col(name).alias(raw), standard)
+    return names.select(raw, standard).unionByName(entries)

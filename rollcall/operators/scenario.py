@@ -41,7 +41,10 @@ def imported_rows(
         Column.__or__,
         ((F.col(rule) == F.lit(name)) & condition for name, condition in rules.items()),
     )
-    policy = policy.select(F.col(region).alias("_policy_region"), rule)
+    # Unique on both columns but joined on one: the join keeps its own shuffle on either side, so
+    # a region with most of the rows can be split where the policy is too large to broadcast.
+    rules_of = policy.select(F.col(region).alias("_policy_region"), rule)
+    policy = unique_side(rules_of, ["_policy_region", rule])
     return (
         national.join(policy, F.col(region) == F.col("_policy_region"))
         .where(chosen)
@@ -65,9 +68,15 @@ def apply_policy(
     a region without a rule stay.
     """
     rules = standard_rules() if rules is None else rules
-    imported = imported_rows(national, policy, rules, region=region, rule=rule)
     keys = [region, entity]
-    return attach(local, unique_side(imported, keys), keys, "left_anti", null_safe=[entity])
+    # Grouped by the pair as one value: rows of a region must not stay together in one task.
+    pairs = (
+        imported_rows(national, policy, rules, region=region, rule=rule)
+        .select(F.struct(*keys).alias("_pair"))
+        .distinct()
+        .select("_pair.*")
+    )
+    return attach(local, pairs, keys, "left_anti", null_safe=[entity])
 
 
 def coverage_delta(

@@ -379,3 +379,35 @@ LONG_DIRTY = (
 @query("fuzzy_resolve_two", fuzzy_sql(LONG_DIRTY, LONG_NAME, 2))
 def fuzzy_resolve_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy(Lists(spark, sf_dir), LONG_DIRTY, LONG_NAME, 2)
+
+
+@query(
+    "resolve_with_retry",
+    NAMES_SQL
+    + """, missing as (
+  select distinct p_name as species from part
+  where p_name not in (select scientific_name from names)
+), known as (
+  select distinct p_name as standard_name from part where p_name not like 'new %'
+), pairs as (
+  select species, standard_name, levenshtein(species, standard_name) as d
+  from missing join known on levenshtein(species, standard_name) <= 2
+), best as (
+  select species, standard_name from (
+    select *, row_number() over (partition by species order by d, standard_name) as k from pairs)
+  where k = 1
+)
+select p_partkey, p_name as species,
+       case when scientific_name is not null then names.standard_name
+            else coalesce(best.standard_name, p_name) end as accepted_name
+from part left join names on scientific_name = p_name left join best on best.species = p_name""",
+)
+def resolve_with_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names missing from the table get a second, fuzzy lookup before rows are resolved."""
+    q = Lists(spark, sf_dir)
+    rows = q.table("part").select("p_partkey", F.col("p_name").alias("species"))
+    known = q.table("part").where("p_name not like 'new %'").select(
+        F.col("p_name").alias("standard_name")
+    )
+    names = resolve.extend_names(name_table(q), rows, known, max_dist=2)
+    return resolve.resolve_names(rows, names)

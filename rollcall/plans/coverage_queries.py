@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.functions.numeric import percent_int
 from rollcall.operators import coverage as cov
 from rollcall.operators import keys, layers, scenario
 from rollcall.operators.keys import ENTITY, REGION
@@ -282,6 +283,21 @@ def national_coverage_by_region_plants(spark: SparkSession, sf_dir: str) -> Data
     return out
 
 
+@query(
+    "national_coverage_by_region_animals",
+    region_sql(
+        "(select f.* from national_list f join part on p_partkey = f.entity_key "
+        "where p_type <> 'PROMO')",
+        "local_list",
+    ),
+)
+def national_coverage_by_region_animals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the left list is restricted; the local list is taken whole."""
+    q = Lists(spark, sf_dir)
+    animals = q.types.where(F.col("p_type") != PLANT)
+    return by_region(q, keys.covered(q.national, animals), q.local)
+
+
 @query("national_coverage_by_region_after_policy", region_sql("national_list", "local_left"))
 def national_coverage_by_region_after_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = Lists(spark, sf_dir)
@@ -668,8 +684,6 @@ from shown""",
 )
 def region_layer_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of national rows also on the local list, as the whole percentage a map shows."""
-    from rollcall.functions.numeric import percent_int
-
     q = Lists(spark, sf_dir)
     metric = by_region(q, q.national, q.local).withColumn(
         "percent_listed", percent_int("proportion_listed")

@@ -12,6 +12,22 @@ from rollcall.operators.keys import ENTITY, REGION
 from rollcall.operators.scenario import standard_rules
 from rollcall.sources.lists import load
 
+# Declared so that building a query reads no file.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
 PLANT = "PROMO"
 ROLLUP = {"BIG": ["LARGE", "MEDIUM"]}
 ROLLED_TYPES = ["BIG", "ECONOMY", "PROMO", "SMALL", "STANDARD"]
@@ -25,7 +41,7 @@ class Lists:
     directory: str
 
     def table(self, name: str) -> DataFrame:
-        return load(self.spark, self.directory, name)
+        return load(self.spark, self.directory, name, SCHEMAS.get(name))
 
     @cached_property
     def regions(self) -> DataFrame:

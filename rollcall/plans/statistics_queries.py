@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.functions.numeric import with_transforms
-from rollcall.operators import contingency, linear
+from rollcall.operators import contingency, layers, linear
 from rollcall.operators import coverage as cov
 from rollcall.operators.keys import ENTITY, REGION, attach, stack_lists
 from rollcall.plans.coverage_queries import (
@@ -172,6 +172,17 @@ def pairwise_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contingency.to_matrix(pairs, "g", columns=ROLLED_TYPES[:-1]).fillna(-1.0)
 
 
+@query(
+    "counts_long",
+    ROLLED
+    + "\nselect grp as p_type, 'not_listed' as cell, o1 as n from k "
+    + "union all select grp, 'listed', o2 from k",
+)
+def counts_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = Lists(spark, sf_dir)
+    return contingency.to_long(rolled_up(q, q.local), "p_type", CELLS)
+
+
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_retailprice", "p_size"]
 
 
@@ -234,6 +245,20 @@ def fit_line_leave_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_line(linear.fit_line(lines, "l_quantity", "l_extendedprice", with_p=False))
 
 
+@query(
+    "scatter_layer",
+    """with f as (
+  select regr_slope(o_totalprice, o_custkey) as b, regr_intercept(o_totalprice, o_custkey) as a
+  from orders
+)
+select o_orderkey, o_custkey, o_totalprice, round(a + b * o_custkey, 4) as fitted from orders, f""",
+)
+def scatter_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = Lists(spark, sf_dir).table("orders")
+    out = layers.scatter_layer(orders, "o_custkey", "o_totalprice", keep=["o_orderkey"])
+    return rounded(out, "fitted", places=4)
+
+
 @query(
     "fit_line_by_region",
     f"{LINES_SQL}\nselect region_key, count(*) as n, {LINE_COLUMNS} from lines group by region_key",

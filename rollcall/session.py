@@ -18,6 +18,8 @@ def local_session(cores: int | str = 8, app: str = "rollcall", **conf: object) -
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "12g",
+        # Recording the Python call site of every column costs more than planning the query.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | {key: str(value) for key, value in conf.items()}
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)

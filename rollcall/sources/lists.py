@@ -75,9 +75,12 @@ def write_list(
         writer.format(fmt).save(path)
 
 
-def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """One parquet table of a directory."""
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+def load(
+    spark: SparkSession, directory: str, name: str, schema: T.StructType | str | None = None
+) -> DataFrame:
+    """One parquet table of a directory; with a schema, nothing is read until it is used."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{directory}/{name}.parquet")
 
 
 def inline_list(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:

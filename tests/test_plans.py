@@ -7,7 +7,7 @@ from conftest import final_plan
 from pyspark.sql import functions as F
 
 from rollcall.operators import coverage as cov
-from rollcall.operators import keys, resolve
+from rollcall.operators import keys, resolve, scenario
 from rollcall.plans.catalogue import QUERIES
 
 NO_BROADCAST = {
@@ -76,6 +76,28 @@ def test_hot_key_is_split_in_row_keeping_joins(settings, hot, listing, operator)
         assert "skew=true" in final_plan(rest(operator(hot, listing)))
 
 
+def test_hot_region_is_split_in_the_policy_join(spark, settings, hot, listing):
+    national = hot.withColumns(
+        {
+            "region_key": F.when(F.col("note") % 3 == 0, F.lit(7)).otherwise(F.col("region_key")),
+            "entity_key": F.col("note"),
+            "status": F.lit("E"),
+            "group": F.lit("x"),
+        }
+    )
+    policy = spark.range(50).select(
+        F.col("id").alias("region_key"), F.when(F.col("id") % 2 == 1, "ALL").otherwise("NONE").alias("rule")
+    )
+    local = national.select("region_key", "entity_key", "note").where("note % 5 < 2")
+    plain = rest(scenario.apply_policy(local, national, policy)).collect()
+    with settings(**SKEW):
+        left = rest(scenario.apply_policy(local, national, policy))
+        plan = final_plan(left)
+        assert left.collect() == plain
+    joins = [line for line in plan.splitlines() if "SortMergeJoin(skew=true)" in line]
+    assert any("_policy_region" in line for line in joins)
+
+
 def test_hot_key_join_gives_the_same_rows_split_or_not(settings, hot, listing):
     plain = rest(keys.covered(hot, listing)).collect()
     with settings(**SKEW):

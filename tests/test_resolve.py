@@ -110,3 +110,12 @@ def test_candidates_do_not_grow_with_a_common_prefix(spark):
     keyed = resolve.deletion_keys(df, "species", 2)
     shared = keyed.groupBy("_key").agg(F.countDistinct("species").alias("n")).where("n > 1")
     assert shared.count() == 0
+
+
+def test_extend_names_adds_only_missing_names_with_a_match(spark):
+    df = names_of(spark, "Aa bb", "Cc dx", "Qq rr", "Ee sp.", None)
+    table = spark.createDataFrame([("Aa bb", "Xx yy")], NAMES)
+    backbone = spark.createDataFrame([("Aa bc",), ("Cc dd",), ("Ee spp",)], "standard_name string")
+    got = resolve.extend_names(table, df, backbone, patterns=[r"\s(sp).$"])
+    assert rows(got) == [("Aa bb", "Xx yy"), ("Cc dx", "Cc dd")]
+    assert rows(resolve.unresolved(df, got, patterns=[r"\s(sp).$"])) == [("Qq rr",)]
