@@ -157,6 +157,7 @@ def coverage_by_region(
     listing: Listing,
     *,
     regions: DataFrame | None = None,
+    small_listing: bool = False,
     region: str = REGION,
     entity: str = ENTITY,
 ) -> DataFrame:
@@ -164,17 +165,30 @@ def coverage_by_region(
 
     ``regions`` (one row per region) adds regions without range rows. A region without any
     range or listed row gets proportion_listed 0 and proportion_not_listed 1.
+
+    ``small_listing`` marks the range rows by a join. If Spark finds the listing small enough to
+    broadcast, the range is not shuffled at all; if not, the join is a sorted one and the result
+    is the same. Leave it off for listings of the range's own size.
     """
-    status = membership(range_, {"on_list": any_of(listing, [region, entity])}, [region, entity])
-    on_list = (F.col("on_list") > 0) & F.col(region).isNotNull()
-    counts = (
-        status.where("in_range > 0")
-        .groupBy(region)
-        .agg(
-            F.sum("in_range").alias("total"),
-            F.sum(F.when(on_list, F.col("in_range")).otherwise(0)).alias("listed"),
+    keys = [region, entity]
+    if small_listing:
+        marks = unique_side(any_of(listing, keys), keys, [F.lit(1).alias("_on_list")])
+        counts = (
+            attach(range_.select(*keys), marks, keys, null_safe=[entity])
+            .groupBy(region)
+            .agg(F.count(F.lit(1)).alias("total"), F.count("_on_list").alias("listed"))
+        )
+    else:
+        status = membership(range_, {"on_list": any_of(listing, keys)}, keys)
+        on_list = (F.col("on_list") > 0) & F.col(region).isNotNull()
+        counts = (
+            status.where("in_range > 0")
+            .groupBy(region)
+            .agg(
+                F.sum("in_range").alias("total"),
+                F.sum(F.when(on_list, F.col("in_range")).otherwise(0)).alias("listed"),
+            )
         )
-    )
     if regions is not None:
         counts = attach(regions, counts, region, null_safe=()).fillna(0, ["total", "listed"])
     return counts.withColumns(

@@ -195,7 +195,7 @@ def _per_model(
         for batch in batches:
             rows = []
             for record in batch.to_dict("records"):
-                m = Moments.from_lists(*(record[p] for p in PARTS))
+                m = Moments.from_flat(*(record[p] for p in PARTS))
                 rows += [{c: record[c] for c in by} | row for row in rows_of(m)]
             yield pd.DataFrame(rows, columns=schema.names)
 
@@ -365,8 +365,8 @@ def ols_leave_each_out(
         for batch in batches:
             rows = []
             for record in batch.to_dict("records"):
-                part = Moments.from_lists(*(record[p] for p in PARTS))
-                whole = Moments.from_lists(*(record["_all"][p] for p in PARTS))
+                part = Moments.from_flat(*(record[p] for p in PARTS))
+                whole = Moments.from_flat(*(record["_all"][p] for p in PARTS))
                 if whole.n[0, 0] > part.n[0, 0]:
                     rest = _Model(whole.without(part))
                     rows += [

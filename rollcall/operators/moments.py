@@ -24,8 +24,8 @@ from rollcall.operators.keys import Keys, as_list
 
 # Partial results per group that may reach one merging task of the last step.
 MERGE_FAN_IN = 256
-# Groups a task holds before it emits what it has.
-GROUPS_HELD = 2000
+# Memory for the groups a task holds before it emits what it has.
+HELD_BYTES = 64 << 20
 
 PARTS = ("n", "mean", "spread", "cross")
 
@@ -91,11 +91,8 @@ class Moments:
             self.cross - part.cross - gap * gap.T * weight,
         )
 
-    def to_lists(self) -> list[list[float]]:
-        return [getattr(self, name).ravel().tolist() for name in PARTS]
-
     @classmethod
-    def from_lists(cls, *flat: list[float]) -> Moments:
+    def from_flat(cls, *flat: list[float]) -> Moments:
         arrays = [np.asarray(values, dtype=float) for values in flat]
         size = int(round(len(arrays[0]) ** 0.5))
         return cls(*(a.reshape(size, size) for a in arrays))
@@ -129,20 +126,31 @@ def _fold(held: dict[tuple, Moments], key: tuple, part: Moments) -> None:
 
 
 def _table(held: dict[tuple, Moments], by: list[str], schema: pa.Schema) -> pa.RecordBatch:
-    columns = {name: [key[i] for key in held] for i, name in enumerate(by)}
-    flat = [m.to_lists() for m in held.values()]
-    columns |= {name: [row[i] for row in flat] for i, name in enumerate(PARTS)}
-    return pa.RecordBatch.from_pydict(columns, schema=schema)
+    """One row per held group."""
+    arrays = [
+        pa.array([key[i] for key in held], type=schema.field(name).type)
+        for i, name in enumerate(by)
+    ]
+    for name in PARTS:
+        values = np.concatenate([getattr(m, name).ravel() for m in held.values()])
+        width = len(values) // len(held)
+        offsets = pa.array(np.arange(len(held) + 1, dtype=np.int32) * width)
+        arrays.append(pa.ListArray.from_arrays(offsets, pa.array(values)))
+    return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
 
 def pair_moments(df: DataFrame, cols: list[str], by: Keys = ()) -> DataFrame:
-    """One row (per group) with the flattened matrices ``n``, ``mean``, ``spread``, ``cross``."""
+    """One row (per group) with the flattened matrices ``n``, ``mean``, ``spread``, ``cross``.
+
+    Groups are meant to be regions or sub-populations with many rows each.
+    """
     by = as_list(by)
     rows = df.select(*by, *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)))
     names = [f"_x{i}" for i in range(len(cols))]
     fields = [T.StructField(p, T.ArrayType(T.DoubleType())) for p in PARTS]
     schema = T.StructType([*(rows.schema[c] for c in by), *fields])
     arrow = _arrow_schema(schema)
+    limit = max(1, HELD_BYTES // (8 * len(PARTS) * len(cols) ** 2))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, Moments] = {}
@@ -152,7 +160,7 @@ def pair_moments(df: DataFrame, cols: list[str], by: Keys = ()) -> DataFrame:
             x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
             for key, places in _split_by_key(batch, by):
                 _fold(held, key, Moments.of_rows(x if places is None else x[places]))
-            if len(held) > GROUPS_HELD:
+            if len(held) > limit:
                 yield _table(held, by, arrow)
                 held.clear()
         if held:
@@ -171,9 +179,10 @@ def merge_moments(found: DataFrame, by: Keys = ()) -> DataFrame:
 
     def merged(table: pa.Table) -> pa.Table:
         held: dict[tuple, Moments] = {}
-        for record in table.to_pylist():
-            key = tuple(record[c] for c in by)
-            _fold(held, key, Moments.from_lists(*(record[p] for p in PARTS)))
+        keys = list(zip(*(table.column(c).to_pylist() for c in by))) or [()] * table.num_rows
+        flat = [table.column(p).combine_chunks().flatten().to_numpy() for p in PARTS]
+        for key, *parts in zip(keys, *(values.reshape(table.num_rows, -1) for values in flat)):
+            _fold(held, key, Moments.from_flat(*parts))
         return pa.Table.from_batches([_table(held, by, arrow)])
 
     return found.select(*by, *PARTS).groupBy(*by).applyInArrow(merged, schema)

@@ -108,6 +108,8 @@ def test_coverage_by_region(data, spark):
     listed = Counter(x for x, e in range_ if x is not None and (x, e) in set(local))
     got = rows(cov.coverage_by_region(r, l), "region_key", "total", "listed")
     assert got == sorted([(x, n, listed[x]) for x, n in totals.items()], key=repr)
+    joined = cov.coverage_by_region(r, l, small_listing=True)
+    assert rows(joined, "region_key", "total", "listed") == got
     regions = spark.createDataFrame([(f"r{i}",) for i in range(12)], "region_key string")
     filled = cov.coverage_by_region(r, l, regions=regions)
     assert filled.count() == 12

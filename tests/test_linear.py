@@ -223,7 +223,7 @@ def test_null_group_keys_stay_apart(spark):
 def test_more_groups_than_a_task_holds(spark, monkeypatch):
     from rollcall.operators import moments
 
-    monkeypatch.setattr(moments, "GROUPS_HELD", 5)
+    monkeypatch.setattr(moments, "HELD_BYTES", 5 * 32)
     df = spark.range(0, 600, 1, 3).selectExpr("id % 60 as g", "cast(id as double) as v")
     got = {r.g: (r.n[0], r["mean"][0]) for r in pair_moments(df, ["v"], "g").collect()}
     assert len(got) == 60

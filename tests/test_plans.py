@@ -119,6 +119,21 @@ def test_summaries_shuffle_once_per_grouping_and_never_join(hot, listing):
     assert plan.count("Exchange ") == 1 and "Join" not in plan
 
 
+def test_small_listing_leaves_the_range_in_place(settings, tmp_path, hot, listing):
+    listing.limit(100).write.parquet(str(tmp_path / "listing"))
+    small = listing.sparkSession.read.parquet(str(tmp_path / "listing"))
+    df = cov.coverage_by_region(hot, small, small_listing=True)
+    plan = initial_plan(df)
+    assert "BroadcastHashJoin" in plan
+    # One shuffle of the listing's keys, one of the per-region counts, none of the range.
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert sorted(df.collect()) == sorted(cov.coverage_by_region(hot, small).collect())
+    with settings(**NO_BROADCAST):
+        sorted_join = cov.coverage_by_region(hot, small, small_listing=True)
+        assert "SortMergeJoin" in initial_plan(sorted_join)
+        assert sorted(sorted_join.collect()) == sorted(df.collect())
+
+
 def test_hot_key_reaches_the_shuffle_combined(spark, settings, hot, listing):
     """Rows shuffled by the summary are bounded by keys per task, not by rows per key."""
     with settings(spark__sql__shuffle__partitions=8):
