@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 
 def chi2_tail(x: float, df: int) -> float:
-    """P(X >= x) for whole degrees of freedom, summed directly so that it does not underflow early."""
+    """P(X >= x) for whole degrees of freedom, summed directly so that small values survive."""
     if x is None or df is None or math.isnan(x) or df != df:
         return math.nan
     if df < 1:

@@ -121,7 +121,10 @@ def pairwise_g_test(
     a1, a2, b1, b2 = (F.col(c) for c in ("_a1", "_a2", "_b1", "_b2"))
     n = a1 + a2 + b1 + b2
     g = 2 * (
-        _add([_n_log(o, r) for o, r in ((a1, a1 + a2), (a2, a1 + a2), (b1, b1 + b2), (b2, b1 + b2))])
+        _n_log(a1, a1 + a2)
+        + _n_log(a2, a1 + a2)
+        + _n_log(b1, b1 + b2)
+        + _n_log(b2, b1 + b2)
         - _n_log(a1 + b1, n)
         - _n_log(a2 + b2, n)
     )

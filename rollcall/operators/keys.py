@@ -54,6 +54,9 @@ def attach(
     of the unique side are dropped from the result.
     """
     keys = as_list(keys)
+    twice = (set(left.columns) & set(unique.columns)) - set(keys)
+    if twice and how not in ("left_semi", "left_anti"):
+        raise ValueError(f"both sides have {sorted(twice)}")
     safe = set(keys if null_safe is None else null_safe)
     renamed = unique.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     condition = reduce(
@@ -75,7 +78,10 @@ def _default_null_safe(keys: list[str], region: str) -> list[str]:
 def covered(
     range_: DataFrame, listing: DataFrame, keys: Keys = ENTITY, *, region: str = REGION
 ) -> DataFrame:
-    """Rows of ``range_`` whose key is on ``listing``. Null entities match null; null regions do not."""
+    """Rows of ``range_`` whose key is on ``listing``.
+
+    Null entities match null; null regions match nothing.
+    """
     keys = as_list(keys)
     return attach(
         range_,
@@ -118,6 +124,14 @@ def any_of(listings: DataFrame | Sequence[DataFrame], keys: Keys) -> DataFrame:
     return reduce(DataFrame.unionByName, (listing.select(*keys) for listing in several))
 
 
+def _has_order(t: T.DataType) -> bool:
+    if isinstance(t, T.ArrayType):
+        return _has_order(t.elementType)
+    if isinstance(t, T.StructType):
+        return all(_has_order(f.dataType) for f in t.fields)
+    return not isinstance(t, (T.MapType, T.VariantType))
+
+
 def first_by(df: DataFrame, keys: Keys, order: Sequence[Column | str]) -> DataFrame:
     """The first row per key in a stated order, all columns kept.
 
@@ -125,11 +139,7 @@ def first_by(df: DataFrame, keys: Keys, order: Sequence[Column | str]) -> DataFr
     executor picks the same row.
     """
     keys = as_list(keys)
-    ties = [
-        f.name
-        for f in df.schema.fields
-        if f.name not in keys and not isinstance(f.dataType, (T.MapType, T.VariantType))
-    ]
+    ties = [f.name for f in df.schema.fields if f.name not in keys and _has_order(f.dataType)]
     window = Window.partitionBy(*keys).orderBy(*order, *ties)
     return df.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
 

@@ -26,7 +26,7 @@ INTERCEPT = "(Intercept)"
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], *, by: Keys = ()) -> DataFrame:
-    """Long Pearson matrix (x, y, r, n, p) of all column pairs, missing values left out pair by pair."""
+    """Long Pearson matrix (x, y, r, n, p) of all column pairs, with pairwise deletion."""
     by, cols = as_list(by), list(cols)
 
     def rows_of(m: Moments) -> list[dict]:

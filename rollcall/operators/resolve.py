@@ -110,13 +110,13 @@ def fuzzy_resolve(
     left = deletion_keys(exact.where("_hit is null").select(name), name, max_dist)
     right = deletion_keys(known, "_known", max_dist, "_known_key")
     distance = F.levenshtein(F.col(name), F.col("_known"), max_dist)
-    longer = F.greatest(F.length(name), F.length("_known"))
+    similarity = 1 - F.col("_distance") / F.greatest(F.length(name), F.length("_known"))
     near = (
         # Size estimates ignore the expansion; without the hint Spark would broadcast it.
         left.hint("merge")
         .join(right, F.col("_key") == F.col("_known_key"))
-        .select(name, "_known", distance.alias("_distance"), longer.alias("_longer"))
-        .where((F.col("_distance") >= 0) & (1 - F.col("_distance") / F.col("_longer") >= min_similarity))
+        .select(name, "_known", distance.alias("_distance"))
+        .where((F.col("_distance") >= 0) & (similarity >= min_similarity))
         .select(name, F.struct("_distance", "_known").alias("_match"))
     )
     itself = F.struct(F.lit(0).alias("_distance"), F.col(name).alias("_known"))

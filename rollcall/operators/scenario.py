@@ -89,7 +89,8 @@ def coverage_delta(
 ) -> DataFrame:
     """Per key of ``after``: count before, count after, rows lost and the share lost in percent."""
     left = after.select(keys, F.col(after_col).alias("after"))
-    joined = attach(left, before.select(keys, F.col(before_col).alias("before")), keys, null_safe=())
+    right = before.select(keys, F.col(before_col).alias("before"))
+    joined = attach(left, right, keys, null_safe=())
     return _with_loss(joined)
 
 
@@ -140,7 +141,7 @@ def policy_from_flags(
     region: str = REGION,
     yes: str = "Y",
 ) -> DataFrame:
-    """A policy table: ``ALL`` where flagged, unless ``exceptions`` names another rule; else NONE."""
+    """A policy table: ALL where flagged, unless ``exceptions`` names another rule; else NONE."""
     named: Column | None = None
     for key, name in exceptions.items():
         arm = (F.col(region) == F.lit(key), F.lit(name))

@@ -692,3 +692,73 @@ def region_layer_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
         metric, q.regions, "percent_listed", limits=(0, 100), breaks=[0, 25, 50, 75, 100]
     )
     return out.fillna(-1, ["percent_listed", "legend_bin"])
+
+
+# Lists with null keys: every seventh entity and every fifth region is unknown.
+HOLES = """, r as (
+  select case when region_key % 5 = 1 then null else region_key end as region_key,
+         case when entity_key % 7 = 3 then null else entity_key end as entity_key from range_list
+), l as (
+  select case when region_key % 5 = 2 then null else region_key end as region_key,
+         case when entity_key % 7 = 3 then null else entity_key end as entity_key from local_list
+)"""
+
+
+def with_holes(df: DataFrame, turn: int) -> DataFrame:
+    region, entity = F.col(REGION), F.col(ENTITY)
+    return df.select(
+        F.when(region % 5 != turn, region).alias(REGION),
+        F.when(entity % 7 != 3, entity).alias(ENTITY),
+    )
+
+
+@query(
+    "null_keys_uncovered",
+    f"""{LISTS_SQL}{HOLES}
+select coalesce(region_key, -1) as region_key, coalesce(entity_key, -1) as entity_key from r
+where not exists (select 1 from l where l.region_key = r.region_key
+                  and l.entity_key is not distinct from r.entity_key)""",
+)
+def null_keys_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null entities match null ones, null regions match nothing, and no row is dropped."""
+    q = Lists(spark, sf_dir)
+    out = keys.uncovered(with_holes(q.range_, 1), with_holes(q.local, 2), [REGION, ENTITY])
+    return out.fillna(-1)
+
+
+@query(
+    "null_keys_by_region",
+    f"""{LISTS_SQL}{HOLES}, marked as (
+  select r.region_key,
+         case when exists (select 1 from l where l.region_key = r.region_key
+                           and l.entity_key is not distinct from r.entity_key)
+              then 1 else 0 end as is_listed
+  from r
+)
+select coalesce(region_key, -1) as region_key, count(*) as total, sum(is_listed)::bigint as listed,
+       avg(is_listed) as proportion_listed,
+       (count(*) - sum(is_listed))::double / count(*) as proportion_not_listed
+from marked group by region_key""",
+)
+def null_keys_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = Lists(spark, sf_dir)
+    return cov.coverage_by_region(with_holes(q.range_, 1), with_holes(q.local, 2)).fillna(
+        -1, [REGION]
+    )
+
+
+@query(
+    "null_keys_small_listing",
+    f"""{LISTS_SQL}{HOLES}
+select coalesce(region_key, -1) as region_key, count(*) as total,
+       count(*) filter (where exists (select 1 from l where l.region_key = r.region_key
+         and l.entity_key is not distinct from r.entity_key)) as listed
+from r group by region_key""",
+)
+def null_keys_small_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts with the range rows marked by a join."""
+    q = Lists(spark, sf_dir)
+    out = cov.coverage_by_region(
+        with_holes(q.range_, 1), with_holes(q.local, 2), small_listing=True
+    )
+    return out.fillna(-1, [REGION]).select(REGION, "total", "listed")

@@ -13,7 +13,6 @@ from rollcall.plans.coverage_queries import (
     BIG,
     BOTH,
     group_sql,
-    named,
     policy_left,
     rolled_up,
     rounded,
@@ -96,6 +95,19 @@ def g_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return test_of(rolled_up(q, q.local))
 
 
+@query(
+    "g_test_p",
+    f"""with t as ({(ROLLED + G_SQL)})
+select g, df, n, round(case df when 2 then exp(-g / 2) when 4 then exp(-g / 2) * (1 + g / 2) end, 6)
+  as p from t""",
+)
+def g_test_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With its p value, which SQL can state for an even number of degrees of freedom."""
+    q = Lists(spark, sf_dir)
+    out = contingency.g_test(rolled_up(q, q.local), CELLS)
+    return rounded(out, "g", "p", places=G_PLACES)
+
+
 @query("g_test_national", counts_sql(BIG, "national_list", having="count(*) >= 10") + G_SQL)
 def g_test_national(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = Lists(spark, sf_dir)
@@ -345,6 +357,39 @@ def step_aic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "criterion", places=4)
 
 
+@query(
+    "step_aic_two",
+    f"""{LINES_SQL}, c as (
+  select l_extendedprice as x1, l_discount as x2,
+         l_extendedprice * (1 - l_discount) * (1 + l_tax) as y from lines
+), m as (
+  select count(*) as n, var_pop(x1) as s11, var_pop(x2) as s22, covar_pop(x1, x2) as s12,
+         covar_pop(x1, y) as s1y, covar_pop(x2, y) as s2y, var_pop(y) as syy
+  from c
+), a as (
+  select n, n * ln(syy) + 2 as a0, n * ln(syy - s1y * s1y / s11) + 4 as a1,
+         n * ln(syy - s2y * s2y / s22) + 4 as a2,
+         n * ln(syy - (s22 * s1y * s1y - 2 * s12 * s1y * s2y + s11 * s2y * s2y)
+                      / (s11 * s22 - s12 * s12)) + 6 as a12
+  from m
+), b as (select *, least(a1, a2) as one from a), path as (
+  select 0 as step, 'start' as move, a0 as criterion, n from b
+  union all
+  select 1, case when a1 <= a2 then '+ l_extendedprice' else '+ l_discount' end, one, n
+  from b where one < a0
+  union all
+  select 2, case when a1 <= a2 then '+ l_discount' else '+ l_extendedprice' end, a12, n
+  from b where one < a0 and a12 < one
+)
+select step::bigint as step, move, round(criterion, 3) as criterion, n from path""",
+)
+def step_aic_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forward search small enough for SQL to walk all of it."""
+    lines = charged_lines(Lists(spark, sf_dir))
+    out = linear.step_aic(lines, "charge", ["l_extendedprice", "l_discount"], direction="forward")
+    return rounded(out, "criterion", places=3).select("step", "move", "criterion", "n")
+
+
 @query("step_fit")
 def step_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = charged_lines(Lists(spark, sf_dir))
