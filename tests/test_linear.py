@@ -194,22 +194,30 @@ def test_fit_line(spark, frame, table):
     assert linear.fit_line(frame, "b", "y", by="region_key").count() == 6
 
 
-def test_moment_merge_order_does_not_matter():
+def same(a: Moments, b: Moments, atol=1e-6):
+    for name in ("n", "mean", "spread", "cross"):
+        assert np.allclose(getattr(a, name), getattr(b, name), rtol=1e-9, atol=atol), name
+
+
+@pytest.mark.parametrize("holes", [0.0, 0.3])
+def test_moments_of_parts_merge_to_the_whole(holes):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(90, 3)) + [0, 1e5, 3]
-    x[rng.random(x.shape) < 0.3] = np.nan
-    x[:10, 1] = np.nan
+    x[rng.random(x.shape) < holes] = np.nan
+    if holes:
+        x[:10, 1] = np.nan
     whole = Moments.of_rows(x)
-    parts = [Moments.of_rows(x[i : i + 10]) for i in range(0, 90, 10)]
+    # One stack of nine groups must equal nine separate reductions.
+    stack = Moments.of_rows(x, range(0, 90, 10))
+    for i in range(9):
+        same(stack.take(np.array([i])), Moments.of_rows(x[10 * i : 10 * i + 10]))
     for order in (range(9), reversed(range(9)), [4, 0, 8, 2, 6, 1, 3, 5, 7]):
-        merged = None
-        for i in order:
-            merged = parts[i] if merged is None else merged.merge(parts[i])
-        for name in ("n", "mean", "spread", "cross"):
-            assert np.allclose(getattr(merged, name), getattr(whole, name), rtol=1e-9, atol=1e-6)
-    rest = whole.without(parts[3])
-    want = Moments.of_rows(np.delete(x, slice(30, 40), axis=0))
-    assert np.allclose(rest.cross, want.cross, rtol=1e-6, atol=1e-5)
+        same(stack.take(np.array(list(order))).combined([0]), whole)
+    pairs = stack.combined([0, 4])
+    same(pairs.take(np.array([1])), Moments.of_rows(x[40:]))
+    same(pairs.combined([0]), whole)
+    rest = whole.without(stack.take(np.array([3])))
+    same(rest, Moments.of_rows(np.delete(x, slice(30, 40), axis=0)), atol=1e-4)
 
 
 def test_null_group_keys_stay_apart(spark):
@@ -220,11 +228,16 @@ def test_null_group_keys_stay_apart(spark):
     assert got == {(None, 1): (2.0, 2.0), (2, None): (1.0, 5.0), (2, 1): (2.0, 7.5)}
 
 
-def test_more_groups_than_a_task_holds(spark, monkeypatch):
+def test_groups_over_several_reductions(spark, monkeypatch):
     from rollcall.operators import moments
 
-    monkeypatch.setattr(moments, "HELD_BYTES", 5 * 32)
+    monkeypatch.setattr(moments, "HELD_BYTES", 8 * 25)
     df = spark.range(0, 600, 1, 3).selectExpr("id % 60 as g", "cast(id as double) as v")
-    got = {r.g: (r.n[0], r["mean"][0]) for r in pair_moments(df, ["v"], "g").collect()}
-    assert len(got) == 60
-    assert got[7] == (10.0, 7 + 60 * 4.5)
+    with_small_batches = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(with_small_batches)
+    spark.conf.set(with_small_batches, 10)
+    try:
+        got = {r.g: (r.n[0], r["mean"][0]) for r in pair_moments(df, ["v"], "g").collect()}
+    finally:
+        spark.conf.set(with_small_batches, old)
+    assert got == {g: (10.0, g + 60 * 4.5) for g in range(60)}
