@@ -1,0 +1,134 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from rollcall.llm import simhash
+from rollcall.llm.components import components
+
+
+def plain_fingerprint(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        words = words.replace(c, " ")
+    words = [w for w in words.split(" ") if w]
+    runs = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    votes = [0] * 64
+    for run in runs:
+        h = xxhash.xxh64(run.encode(), seed=42).intdigest()
+        for i in range(64):
+            votes[i] += h >> i & 1
+    return sum(1 << i for i in range(64) if 2 * votes[i] > len(runs))
+
+
+def plain_components(ids, codes):
+    """Brute force: every pair of rows is compared."""
+    root = list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if (codes[i] ^ codes[j]).bit_count() <= 3:
+                root[find(i)] = find(j)
+    least = {}
+    for i, doc in enumerate(ids):
+        if doc is not None:
+            least[find(i)] = min(doc, least.get(find(i), doc))
+    return [least.get(find(i)) for i in range(len(ids))]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [None, "", " \n\t", "One", "a B", "A b\tc", "x y z x y z x y z", "\u00c9t\u00e9 \u00a0 \u00c9 q", "w " * 700],
+)
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) == plain_fingerprint(text)
+
+
+def near_codes(seed, centres=12, each=40):
+    rng = random.Random(seed)
+    codes = {0, (1 << 64) - 1, 7, 15}
+    for _ in range(centres):
+        centre = rng.getrandbits(64)
+        for _ in range(each):
+            code = centre
+            for _ in range(rng.randrange(7)):
+                code ^= 1 << rng.randrange(64)
+            codes.add(code)
+    return sorted(codes)
+
+
+def test_index_finds_every_pair():
+    codes = np.array(near_codes(1), np.uint64)
+    index = simhash.GrayIndex(codes)
+    got = {(int(a), int(b)) for q, n in index.pairs() for a, b in zip(index.codes[q], index.codes[n], strict=True)}
+    got = {tuple(sorted(p)) for p in got}
+    want = {
+        (a, b)
+        for i, b in enumerate(codes.tolist())
+        for a in codes.tolist()[:i]
+        if (a ^ b).bit_count() <= 3
+    }
+    assert got == want
+
+
+def test_index_in_small_steps(monkeypatch):
+    codes = np.array(near_codes(2), np.uint64)
+    whole = sorted((int(a), int(b)) for q, n in simhash.GrayIndex(codes).pairs() for a, b in zip(q, n, strict=True))
+    monkeypatch.setattr(simhash, "FRONTIER", 64)
+    parts = sorted((int(a), int(b)) for q, n in simhash.GrayIndex(codes).pairs() for a, b in zip(q, n, strict=True))
+    assert parts == whole
+
+
+def test_links_and_components(spark):
+    codes = near_codes(3)
+    signed = [int(np.uint64(c).view(np.int64)) for c in codes]
+    df = spark.createDataFrame([(c,) for c in [*signed, None]], "code bigint")
+    links = simhash.links(df)
+    rows = [tuple(r) for r in links.collect()]
+    assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 3 * 40 for a, b in rows)
+    root = {r["node"]: r["root"] for r in components(links).collect()}
+    ids = list(range(len(codes)))
+    want = plain_components(ids, codes)
+    got = [root.get(s, s) for s in signed]
+    assert len(set(zip(got, want, strict=True))) == len(set(want)) == len(set(got))
+
+
+def test_components_of_a_long_chain(spark):
+    df = spark.range(300).selectExpr("id as src", "id + 1 as dst")
+    assert {r["root"] for r in components(df).collect()} == {0}
+    assert components(df.limit(0)).count() == 0
+
+
+def test_documents(spark, documents):
+    base = " ".join(f"word{i}" for i in range(400))
+    rows = [
+        (5, base), (3, base), (9, base.replace("word200", "other")), (9, base), (None, base),
+        (11, None), (12, ""), (10, "  "), (20, "short"), (21, "Short"), (22, "short text"),
+        (30, " ".join(f"z{i}" for i in range(30000))), (None, "alone and lost"),
+    ]
+    df = documents(rows, ["'x' as fingerprint", "1 as code", "2 as component_id"])
+    got = sorted(simhash.near_duplicates(df).collect(), key=repr)
+    codes = [plain_fingerprint(r[1]) for r in rows]
+    ids = [r[0] for r in rows]
+    want = sorted(
+        zip(ids, [f"{c:016x}" for c in codes], plain_components(ids, codes), strict=True), key=repr
+    )
+    assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in got), key=repr) == want
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_query_against_brute_force(spark, small):
+    got = simhash.op2_simhash(spark, small)
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    codes = [plain_fingerprint(r.text) for r in docs]
+    want = plain_components([r.doc_id for r in docs], codes)
+    want = sorted((r.doc_id, f"{c:016x}", w) for r, c, w in zip(docs, codes, want, strict=True))
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got.collect()) == want
