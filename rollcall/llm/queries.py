@@ -1,6 +1,6 @@
 """Every query of this subpackage, by name."""
 
-from rollcall.llm import simhash  # noqa: F401
+from rollcall.llm import mixing, packing, quality_rules, simhash  # noqa: F401
 from rollcall.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
