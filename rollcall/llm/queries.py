@@ -1,6 +1,13 @@
 """Every query of this subpackage, by name."""
 
-from rollcall.llm import mixing, packing, quality_rules, simhash  # noqa: F401
+from rollcall.llm import (  # noqa: F401
+    mixing,
+    packing,
+    quality_gam,
+    quality_rules,
+    simhash,
+    toxicity,
+)
 from rollcall.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
