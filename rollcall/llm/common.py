@@ -9,9 +9,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Matches one run of the six ASCII white-space characters that separate words.
-SPACES = "[\\x20\\x09-\\x0D]+"
-SPACE_CHARS = " \t\n\x0b\x0c\r"
+#: A word: what stands between the six ASCII white-space characters.
+WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]"
 
 _own: dict[str, str] = {}
 
@@ -55,10 +55,7 @@ def held_out(doc_id: str, modulus: int, value: int) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(
-        F.split(trimmed, SPACES)
-    )
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
 def salted_lookup(

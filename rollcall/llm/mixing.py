@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import table, written
+from rollcall.llm.common import WORD, table, words_of, written
 from rollcall.llm.registry import query
 
 WEIGHTS = (5, 2, 1)
@@ -32,7 +32,7 @@ GOLDEN = (math.sqrt(5) - 1) / 2
 
 def n_words(text: Column) -> Column:
     """Words of a text; null has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def sized(
@@ -222,9 +222,8 @@ def mixed_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     both = both.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     here = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
     whole = F.col(f"_row.{text}")
-    words = F.regexp_extract_all(whole, F.lit(r"([^\x20\x09-\x0D]+)"), 1)
     cut = F.when(here == F.col("size"), whole).otherwise(
-        F.array_join(F.slice(words, 1, here.cast("int")), " ")
+        F.array_join(F.slice(words_of(whole), 1, here.cast("int")), " ")
     )
     return both.select(*((cut if c == text else F.col(f"_row.{c}")).alias(c) for c in docs.columns))
 

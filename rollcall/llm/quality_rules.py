@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import SPACE_CHARS, salted_lookup, table, words_of, written
+from rollcall.llm.common import SPACE, WORD, salted_lookup, table, words_of, written
 from rollcall.llm.registry import query
 
 WINDOW = 8
@@ -39,28 +39,32 @@ def with_metrics(df: DataFrame, text: str) -> DataFrame:
     """Add the metrics, as longs, and n_lines. Null and blank texts have zero of everything."""
     plain = F.coalesce(F.col(text), F.lit(""))
 
-    def without(characters: str) -> Column:
-        return F.char_length(F.translate(plain, characters, ""))
-
-    lines = F.filter(F.split(plain, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
+    lines = F.filter(F.split(plain, "\n"), lambda x: x.rlike(WORD))
     count = F.size("_words")
-    # A word is hashed once, a window from its words' hashes.
-    windows = F.when(
-        count >= WINDOW,
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(count - WINDOW + 1, F.lit(1))),
-            lambda i: F.xxhash64(F.slice("_hashes", i, WINDOW)),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
     df = (
         df.withColumn("_words", words_of(F.col(text)))
         .withColumn("_lines", lines)
-        .withColumn("_hashes", F.transform("_words", lambda x: F.xxhash64(x)))
-        .withColumn("_windows", windows)
-        .withColumn("_repeats", F.size(F.array_distinct("_windows")) < F.size("_windows"))
+        .withColumn("_runs1", F.transform("_words", lambda x: F.xxhash64(x)))
     )
+    # Runs of 2, 4 and 8 words, each hashed from two runs of half the length. Every step is a
+    # column of its own that the next one reads twice, so that no array is made anew per element.
+    for half in (1, 2, 4):
+        size = F.size(f"_runs{half}") - half
+        df = df.withColumn(
+            f"_runs{2 * half}",
+            F.when(
+                size > 0,
+                F.zip_with(
+                    F.slice(f"_runs{half}", F.lit(1), size),
+                    F.slice(f"_runs{half}", F.lit(half + 1), size),
+                    lambda a, b: F.xxhash64(a, b),
+                ),
+            ).otherwise(F.array().cast("array<bigint>")),
+        )
+    df = df.withColumnRenamed(f"_runs{WINDOW}", "_windows")
+    df = df.withColumn("_repeats", F.size(F.array_distinct("_windows")) < F.size("_windows"))
     # Only texts that repeat a window need its places.
-    places = F.array_sort(
+    places = F.sort_array(
         F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     )
     df = df.withColumn("_sorted", F.when(F.col("_repeats"), places))
@@ -69,7 +73,7 @@ def with_metrics(df: DataFrame, text: str) -> DataFrame:
         lambda x, k: x.h.eqNullSafe(F.get("_sorted", k - 1).h)
         | x.h.eqNullSafe(F.get("_sorted", k + 1).h),
     )
-    df = df.withColumn("_starts", F.array_sort(F.transform(found, lambda x: x.i)))
+    df = df.withColumn("_starts", F.sort_array(F.transform(found, lambda x: x.i)))
     covered = F.aggregate(
         "_starts",
         F.struct(F.lit(0).alias("total"), F.lit(0).alias("end")),
@@ -82,8 +86,8 @@ def with_metrics(df: DataFrame, text: str) -> DataFrame:
     return df.select(
         *(c for c in df.columns if not c.startswith("_") or c == "_row"),
         count.cast("long").alias("n_words"),
-        without(SPACE_CHARS).cast("long").alias("word_chars"),
-        (F.char_length(plain) - without(SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.char_length(plain) - F.regexp_count(plain, F.lit(SPACE))).cast("long").alias("word_chars"),
+        F.regexp_count(plain, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size("_lines").cast("long").alias("n_lines"),
         F.coalesce(F.when(F.col("_repeats"), covered), F.lit(0)).cast("long").alias("n_repeat_words"),
