@@ -1,12 +1,15 @@
 """Every query of this subpackage, by name."""
 
 from rollcall.llm import (  # noqa: F401
+    hnsw,
+    licenses,
     mixing,
     packing,
     quality_gam,
     quality_rules,
     simhash,
     toxicity,
+    warc,
 )
 from rollcall.llm.registry import ORACLES, QUERIES
 
