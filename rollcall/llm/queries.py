@@ -2,6 +2,7 @@
 
 from rollcall.llm import (  # noqa: F401
     hnsw,
+    language_model,
     licenses,
     mixing,
     packing,
