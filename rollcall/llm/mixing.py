@@ -221,11 +221,11 @@ def mixed_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
     both = both.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     here = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
-    whole = F.col(f"_row.{text}")
+    whole = F.col("_row")[text]
     cut = F.when(here == F.col("size"), whole).otherwise(
         F.array_join(F.slice(words_of(whole), 1, here.cast("int")), " ")
     )
-    return both.select(*((cut if c == text else F.col(f"_row.{c}")).alias(c) for c in docs.columns))
+    return both.select(*((cut if c == text else F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 SQL = f"""

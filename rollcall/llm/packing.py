@@ -394,10 +394,14 @@ def sequences(packed: DataFrame) -> DataFrame:
     )
 
 
+def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece."""
+    rows = placed(pieces(docs, text, (doc_id,)))
+    long = ("length", "offset", "sequence_id", "start", "ids_crc32")
+    columns = (F.col(c).cast("long").alias(c) if c in long else F.col(c) for c in OUT)
+    return rows.select(F.col("_row")[doc_id].alias("doc_id"), *columns)
+
+
 @query("op8_packing")
 def op8_packing(spark, sf_dir):
-    packed = placed(pieces(table(spark, sf_dir, "documents")))
-    return packed.select(
-        "_row.doc_id", "piece", "start", F.col("length").cast("long").alias("length"),
-        "ids_crc32", "sequence_id", "offset",
-    )
+    return packed(table(spark, sf_dir, "documents"))

@@ -150,12 +150,16 @@ def judged(
     not carried do no harm whatever their names.
     """
     rows = docs.select(
-        F.struct(*carry).alias("_row"), F.col(text).alias("_text"), host_of(F.col(source)).alias("host")
+        F.struct(*(F.col(c) for c in carry)).alias("_row"),
+        F.col(text).alias("_text"),
+        host_of(F.col(source)).alias("host"),
+        # Rows of one host are told apart by where they were read.
+        F.monotonically_increasing_id().alias("spread"),
     )
     measured = written(with_metrics(rows, "_text"), "measured")
     failed = rule_failures()
     hosts = host_verdicts(measured)
-    both = salted_lookup(measured, hosts, "host", ["n_words", "word_chars", "n_lines", *(f"_row.{c}" for c in carry if c in ("doc_id",))])
+    both = salted_lookup(measured, hosts, "host", ["spread"]).drop("spread")
     distrusted = reduce(
         Column.__or__, (failed[x] & (F.col(f"{x}_rate") >= TRUST) for x in SOFT_RULES)
     )
@@ -165,6 +169,12 @@ def judged(
     )
 
 
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The documents that the rules keep, with their columns."""
+    rows = judged(docs, carry=tuple(docs.columns)).filter("kept")
+    return rows.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
+
+
 SQL = f"""
 with d as (
   select row_number() over () as rid, doc_id, coalesce(text, '') as t,

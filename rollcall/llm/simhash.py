@@ -268,17 +268,8 @@ def links(codes: DataFrame) -> DataFrame:
 # -- documents ---------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id, copies) for every row of ``docs``.
-
-    component_id is the least doc_id that can be reached over links, copies the number of rows
-    with the same fingerprint. A null or blank text has fingerprint zero and links like any other.
-    A null doc_id is never the least unless the whole component has none; equal rows each get a row.
-    """
-    prints = written(
-        docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text)).alias("code")),
-        "fingerprints",
-    )
+def _labelled(prints: DataFrame) -> DataFrame:
+    """Add component_id and copies to written (row, doc_id, code) rows."""
     codes = written(
         prints.groupBy("code").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")),
         "codes",
@@ -287,11 +278,46 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         codes.select(F.col("code").alias("node"), "first"), "node"
     )
     least = unique_side(rooted, "root", [F.min("first").alias("component")])
-    reached = rooted.join(least, "root").select(F.col("node").alias("code"), "component")
+    reached = rooted.join(least, "root").select(F.col("node").alias("code"), F.col("root"), "component")
     labels = codes.join(reached, "code", "left").select(
-        "code", "copies", F.coalesce("component", "first").alias("component_id")
+        "code", "copies", F.coalesce("component", "first").alias("component_id"), F.coalesce("root", "code").alias("root")
+    )
+    return salted_lookup(prints, labels, "code", ["row"])
+
+
+def _prints(docs: DataFrame, doc_id: str, text: str, *carry) -> DataFrame:
+    return written(
+        docs.select(
+            *carry,
+            F.monotonically_increasing_id().alias("row"),
+            F.col(doc_id).alias("doc_id"),
+            fingerprint_column(F.col(text)).alias("code"),
+        ),
+        "fingerprints",
     )
-    return salted_lookup(prints, labels, "code", ["doc_id"]).select(
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of every component, with its columns: that with the smallest doc_id.
+
+    Of rows that share it the first read stays; a component without any doc_id keeps one row too.
+    """
+    prints = _prints(docs, doc_id, text, F.struct("*").alias("kept"))
+    groups = _labelled(prints.select("row", "doc_id", "code"))
+    # The least (id, row) of a component; a null id comes last.
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    first = groups.groupBy("root").agg(best.alias("best")).select("best.row")
+    return prints.join(first, "row", "left_semi").select(*(F.col("kept")[c].alias(c) for c in docs.columns))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id, copies) for every row of ``docs``.
+
+    component_id is the least doc_id that can be reached over links, copies the number of rows
+    with the same fingerprint. A null or blank text has fingerprint zero and links like any other.
+    A null doc_id is never the least unless the whole component has none; equal rows each get a row.
+    """
+    return _labelled(_prints(docs, doc_id, text)).select(
         "doc_id",
         F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"),
         "component_id",
