@@ -1,11 +1,58 @@
-"""A corpus from raw documents to packed sequences: each stage reads what the one before kept."""
+"""A corpus from raw documents to packed sequences.
+
+Five stages, each on all that the one before kept: toxic documents go, documents that fail the
+quality rules go, one document of each group of near-duplicates stays, sources are mixed to their
+target weights, and the mix is packed into sequences. Every stage but the last returns the columns
+of ``documents``; ``run`` writes each stage as Parquet in the shared folder and reads it again, so
+a lost executor never reaches back over a stage.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from rollcall.llm import mixing, packing, quality_rules, simhash, toxicity
+from rollcall.llm.common import table, written
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity stays under the threshold of their language."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules and whose host does."""
+    return quality_rules.kept_documents(docs)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of every group of near-duplicates."""
+    return simhash.representatives(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as the mix takes them, repeated or cut where the targets say so."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("quality_rules", quality_stage),
+    ("simhash", dedup_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+#: The toxicity network and the tokenizer are not SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
     return docs
