@@ -94,9 +94,14 @@ def fix_values(c: Column | str, fixes: Mapping[str, str]) -> Column:
     return c if repaired is None else repaired.otherwise(c)
 
 
+def is_in(c: Column | str, values: Sequence[object]) -> Column:
+    """Literal list membership that is never null: a null value is in no list."""
+    return F.coalesce(col_of(c).isin(list(values)), F.lit(False))
+
+
 def not_in(c: Column | str, values: Sequence[object]) -> Column:
     """Literal negated list that keeps nulls."""
-    return ~F.coalesce(col_of(c).isin(list(values)), F.lit(False))
+    return ~is_in(c, values)
 
 
 def if_else(condition: Column, yes: Column, no: Column) -> Column:

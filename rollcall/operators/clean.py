@@ -19,7 +19,10 @@ from rollcall.operators.keys import first_by
 
 
 def exclude(df: DataFrame, *conditions: Column) -> DataFrame:
-    """Drop the rows where any condition holds or is unknown."""
+    """Drop the rows where any condition holds or is unknown.
+
+    Comparisons with a null are unknown; list membership by ``is_in`` never is.
+    """
     for condition in conditions:
         df = df.where(~condition)
     return df

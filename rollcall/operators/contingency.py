@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -21,12 +22,24 @@ def _add(columns: Sequence[Column]) -> Column:
     return reduce(Column.__add__, columns)
 
 
-def g_test(counts: DataFrame, cells: Sequence[str], *, with_p: bool = True) -> DataFrame:
+def g_test(
+    counts: DataFrame,
+    cells: Sequence[str],
+    *,
+    with_p: bool = True,
+    group: str | None = None,
+    null_group: bool = True,
+) -> DataFrame:
     """G, df and p of a table whose rows are groups and whose columns are ``cells``.
 
     One aggregation and no join: with row totals R, column totals C and N in all,
-    G = 2 (sum O ln(O/R) - sum C ln(C/N)).
+    G = 2 (sum O ln(O/R) - sum C ln(C/N)). A null group counts like any other, as in
+    ``pairwise_g_test``; with ``group`` and ``null_group=False`` it is left out.
     """
+    if not null_group:
+        if group is None:
+            raise ValueError("name the group column to leave its null out")
+        counts = counts.where(F.col(group).isNotNull())
     row_total = _add([F.col(c) for c in cells])
     sums = counts.agg(
         F.sum(_add([_n_log(F.col(c), row_total) for c in cells])).alias("_rows"),
@@ -86,17 +99,24 @@ def pairwise_g_test(
     cells: tuple[str, str],
     *,
     with_p: bool = True,
-    blocks: int = 8,
+    null_group: bool = True,
+    blocks: int | None = None,
 ) -> DataFrame:
     """The 2 x 2 G-test of every unordered pair of groups, p unadjusted.
 
-    The result is all k (k - 1) / 2 pairs of already grouped counts. Groups are dealt into
-    ``blocks`` and joined by equal block pair, so the pairs are spread over blocks^2 join keys
-    and neither side is broadcast or crossed.
+    The result is all k (k - 1) / 2 pairs, by definition: this is meant for grouped counts, not
+    for rows. Groups are dealt into ``blocks`` and joined by equal block pair, so the pairs are
+    spread over blocks^2 join keys (by default at least as many as shuffle partitions) and neither
+    side is broadcast or crossed. The null group, if counted, comes last in a pair.
     """
     a, b = cells
+    if blocks is None:
+        partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = max(8, math.isqrt(partitions) + 1)
+    if not null_group:
+        counts = counts.where(F.col(group).isNotNull())
     block = F.pmod(F.xxhash64(group), F.lit(blocks)).cast("int")
-    dealt = counts.where(F.col(group).isNotNull()).select(group, a, b, block.alias("_block"))
+    dealt = counts.select(group, a, b, block.alias("_block"))
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_other")
     left = dealt.select(
         F.col(group).alias("group_a"),
@@ -116,7 +136,9 @@ def pairwise_g_test(
         right,
         (F.col("_block_a") == F.col("_want_a"))
         & (F.col("_want_b") == F.col("_block_b"))
-        & (F.col("group_a") < F.col("group_b")),
+        & F.when(F.col("group_b").isNull(), F.col("group_a").isNotNull()).otherwise(
+            F.coalesce(F.col("group_a") < F.col("group_b"), F.lit(False))
+        ),
     )
     a1, a2, b1, b2 = (F.col(c) for c in ("_a1", "_a2", "_b1", "_b2"))
     n = a1 + a2 + b1 + b2

@@ -37,7 +37,7 @@ def membership(
 ) -> DataFrame:
     """One row per key of any input, with row counts ``in_range`` and one count per listing.
 
-    ``carry`` columns are taken from the range rows (smallest value per key).
+    ``carry`` columns are taken together from one range row, the smallest by these columns.
     """
     keys = as_list(keys)
     names = ["in_range", *listings]
@@ -54,9 +54,12 @@ def membership(
         DataFrame.unionByName,
         [marked(range_, "in_range"), *(marked(df, name) for name, df in listings.items())],
     )
-    return stacked.groupBy(*keys).agg(
-        *(F.min(c).alias(c) for c in carry), *(F.sum(n).alias(n) for n in names)
-    )
+    sums = [F.sum(n).alias(n) for n in names]
+    if len(carry) < 2:
+        return stacked.groupBy(*keys).agg(*(F.min(c).alias(c) for c in carry), *sums)
+    row = F.min(F.when(F.col("in_range") == 1, F.struct(*carry))).alias("_row")
+    picked = stacked.groupBy(*keys).agg(row, *sums)
+    return picked.select(*keys, *(F.col("_row")[c].alias(c) for c in carry), *names)
 
 
 def entity_status(
@@ -211,15 +214,17 @@ def range_coverage(
 ) -> DataFrame:
     """Per entity on both lists: regions it occurs in, regions that list it, and their ratio.
 
-    A listing in a region outside the entity's range counts too, so the ratio may exceed 1;
-    ``within_range`` counts only regions on both lists.
+    Rows are counted, so a repeated row or a listing in a region outside the entity's range
+    counts too and the ratio may exceed 1; ``within_range`` counts every region once and only
+    regions on both lists.
     """
     if within_range:
         pairs = membership(range_, {"on_list": listing.select(region, entity)}, [region, entity])
-        both = (F.col("in_range") > 0) & F.col(region).isNotNull()
+        occurs = F.col("in_range") > 0
+        both = occurs & (F.col("on_list") > 0) & F.col(region).isNotNull()
         counts = pairs.groupBy(entity).agg(
-            F.sum("in_range").alias("regions_occur"),
-            F.sum(F.when(both, F.col("on_list")).otherwise(0)).alias("regions_listed"),
+            F.count_if(occurs).alias("regions_occur"),
+            F.count_if(both).alias("regions_listed"),
             F.sum("on_list").alias("_anywhere"),
         )
         counts = counts.where("regions_occur > 0 and _anywhere > 0").drop("_anywhere")

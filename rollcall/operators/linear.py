@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.functions.tails import t_quantile, t_sf, t_two_sided
+from rollcall.functions.tails import f_tail, t_quantile, t_sf, t_two_sided
 from rollcall.operators.keys import REGION, Keys, as_list
-from rollcall.operators.moments import PARTS, Moments, merge_moments, pair_moments
+from rollcall.operators.moments import PARTS, Moments, merge_all, pair_moments
 
 INTERCEPT = "(Intercept)"
 
@@ -121,11 +121,16 @@ class _Model:
         return beta / s, inverse / np.outer(s, s), max(rss, 0.0)
 
     def criterion(self, columns: Sequence[int], penalty: float, corrected: bool) -> float:
-        """n ln(RSS / n) + penalty x coefficients, with the small-sample term if ``corrected``."""
+        """n ln(RSS / n) + penalty x coefficients, with the small-sample term if ``corrected``.
+
+        NaN where the model leaves no residual freedom or fits exactly: there is nothing to compare.
+        """
         columns = self.estimable(columns)
         size = len(columns) + 1
         rss = self.fit(columns)[2]
-        value = (self.n * math.log(rss / self.n) if rss > 0 else -math.inf) + penalty * size
+        if self.n <= size or rss <= 0:
+            return math.nan
+        value = self.n * math.log(rss / self.n) + penalty * size
         if corrected:
             free = self.n - size - 2
             value += 2.0 * (size + 1) * (size + 2) / free if free > 0 else math.inf
@@ -166,6 +171,15 @@ def _coefficients(m: _Model, xs: Sequence[str], columns: Sequence[int], level: f
         "sigma": math.sqrt(variance) if variance == variance else math.nan,
         "r2": 1.0 - rss / total if total > 0 else math.nan,
     }
+    size = len(kept)
+    explained = (total - rss) / size if size else math.nan
+    f = explained / variance if variance > 0 else math.nan
+    shared |= {
+        "adj_r2": 1.0 - (rss / free) / (total / (m.n - 1)) if total > 0 and free > 0 else math.nan,
+        "f": f,
+        "f_df": size,
+        "f_p": f_tail(f, size, free),
+    }
     return [row | shared for row in out]
 
 
@@ -179,6 +193,10 @@ _FIT_FIELDS = [
     T.StructField("df_residual", T.LongType()),
     T.StructField("sigma", T.DoubleType()),
     T.StructField("r2", T.DoubleType()),
+    T.StructField("adj_r2", T.DoubleType()),
+    T.StructField("f", T.DoubleType()),
+    T.StructField("f_df", T.LongType()),
+    T.StructField("f_p", T.DoubleType()),
 ]
 
 
@@ -232,9 +250,18 @@ def _search(
     corrected: bool,
 ) -> list[dict]:
     """The path of a stepwise search: the start and each accepted move."""
+    # One column order per model, whatever the order of the moves, so that a model has one value.
+    def value(columns: list[int]) -> float:
+        return m.criterion(sorted(columns, key=lambda c: xs[c - 1]), penalty, corrected)
+
+    # Rounding of n ln(RSS / n) grows with n; a gain below it is no gain.
+    tolerance = 1e-9 + 1e-14 * m.n
     current = list(start)
-    best = m.criterion(current, penalty, corrected)
-    path = [{"move": "start", "columns": list(current), "criterion": best}]
+    best = value(current)
+    path = [{"move": "start", "columns": list(current), "criterion": best, "reason": None}]
+    if math.isnan(best):
+        path[0]["reason"] = "no residual freedom"
+        return path
     while True:
         moves = []
         if direction in ("backward", "both"):
@@ -249,11 +276,15 @@ def _search(
                 for c, x in enumerate(xs, start=1)
                 if c not in current
             ]
-        scored = sorted((m.criterion(cols, penalty, corrected), move, cols) for move, cols in moves)
-        if not scored or scored[0][0] >= best - 1e-9:
+        scored = [(value(cols), move, cols) for move, cols in moves]
+        scored = [s for s in scored if not math.isnan(s[0])]
+        least = min((s[0] for s in scored), default=math.inf)
+        if least >= best - tolerance:
             return path
-        best, move, current = scored[0]
-        path.append({"move": move, "columns": list(current), "criterion": best})
+        best, move, current = min(
+            (s for s in scored if s[0] <= least + tolerance), key=lambda s: s[1]
+        )
+        path.append({"move": move, "columns": list(current), "criterion": best, "reason": None})
 
 
 def _check_step(direction: str, xs: list[str], start: Sequence[str], lower: Sequence[str]) -> None:
@@ -281,7 +312,8 @@ def step_aic(
     One row per step: step number, move, terms and criterion; the last step is the chosen model.
     ``start`` defaults to no terms for forward and all of them otherwise. ``penalty`` 2 is AIC,
     ``None`` is ln(n), that is BIC; ``corrected`` adds the small-sample term. Moves with equal
-    criterion are taken in name order.
+    criterion are taken in name order. A group whose first model leaves no residual freedom has
+    one row with a null criterion and the ``reason``; moves to such models are not taken.
     """
     by, xs = as_list(by), list(xs)
     first = ([] if direction == "forward" else xs) if start is None else list(start)
@@ -301,6 +333,7 @@ def step_aic(
                 "criterion": p["criterion"],
                 "is_final": int(i == len(path) - 1),
                 "n": m.n,
+                "reason": p["reason"],
             }
             for i, p in enumerate(path)
         ]
@@ -312,6 +345,7 @@ def step_aic(
         T.StructField("criterion", T.DoubleType()),
         T.StructField("is_final", T.LongType()),
         T.StructField("n", T.LongType()),
+        T.StructField("reason", T.StringType()),
     ]
     return _per_model(moments(df, [y, *xs], by), by, fields, rows_of)
 
@@ -356,7 +390,7 @@ def ols_leave_each_out(
     """
     xs = list(xs)
     per_region = moments(df.where(F.col(region).isNotNull()), [y, *xs], region)
-    total = merge_moments(per_region).select(F.struct(*PARTS)).scalar()
+    total = merge_all(per_region).select(F.struct(*PARTS)).scalar()
     columns = list(range(1, len(xs) + 1))
     fields = [per_region.schema[region], *_FIT_FIELDS]
     schema = T.StructType(fields)

@@ -3,8 +3,8 @@
 A Spark aggregate per column pair gets slow quickly: 120 covariances took 25 s where this takes
 about 4 s on the same 8 million rows, and sums of products around a known mean need a second
 scan. Here every task folds its Arrow batches into p x p matrices, one stack of them for all groups
-of a batch, and the matrices are merged in two keyed steps, so the last task sees a fixed number
-of them however many input partitions there are.
+of a batch, and the matrices are merged by a keyed tree, so the last task sees a fixed number of
+them however many input partitions there are.
 
 Values are centred batch by batch and merged around the joint mean, so columns with a large mean
 and a small spread keep their digits. Null and NaN count as missing.
@@ -186,40 +186,77 @@ def pair_moments(df: DataFrame, cols: Sequence[str], by: Keys = ()) -> DataFrame
             yield from _rows_of(whole, None, arrow).to_batches()
 
     def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Running moments of the groups seen so far; they leave the task only when they are many.
         held: list[pa.RecordBatch] = []
+        running: list[pa.Table] = []
 
-        def reduced() -> list[pa.RecordBatch]:
+        def reduce_held() -> None:
             table = pa.Table.from_batches(held)
+            held.clear()
             order, starts = _by_group(table, by)
             found = Moments.of_rows(numbers(table)[order], starts)
-            return _rows_of(found, table.select(by).take(order[starts]), arrow).to_batches()
+            running.append(_rows_of(found, table.select(by).take(order[starts]), arrow))
+            if len(running) > 1:
+                running[:] = [_merged(pa.concat_tables(running), by, arrow)]
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
             if sum(b.num_rows for b in held) >= limit:
-                yield from reduced()
-                held.clear()
+                reduce_held()
+                if running[0].nbytes > HELD_BYTES:
+                    yield from running.pop().to_batches()
         if held:
-            yield from reduced()
+            reduce_held()
+        for table in running:
+            yield from table.to_batches()
 
     parts = rows.mapInArrow(by_group if by else all_rows, schema)
-    bucket = F.pmod(F.spark_partition_id(), F.lit(MERGE_FAN_IN)).alias("_bucket")
-    return merge_moments(merge_moments(parts.withColumn("_bucket", bucket), [*by, "_bucket"]), by)
+    return _merge_tree(parts.withColumn("_bucket", F.spark_partition_id().cast("long")), by)
+
+
+def _merge_tree(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Merge rows with a ``_bucket`` number per group, ``MERGE_FAN_IN`` buckets at a time.
+
+    The depth covers as many input partitions as Spark can number (a 31-bit number), so a merge
+    holds a fixed count of matrices however many partitions there are.
+    """
+    for level in (2, 1):
+        bucket = F.pmod(F.col("_bucket"), F.lit(MERGE_FAN_IN**level)).alias("_bucket")
+        parts = merge_moments(parts.withColumn("_bucket", bucket), [*by, "_bucket"])
+    return merge_moments(parts, by)
+
+
+def merge_all(found: DataFrame) -> DataFrame:
+    """One row for all moment rows, merged by a tree: no task sees more than a share of them."""
+    bucket = F.pmod(F.xxhash64(*(c for c in found.columns if c not in PARTS)), F.lit(1 << 24))
+    return _merge_tree(found.select(*PARTS, bucket.alias("_bucket")), [])
+
+
+def _merged(table: pa.Table, by: list[str], arrow: pa.Schema) -> pa.Table:
+    """One row per group of a table of moment rows."""
+    order, starts = _by_group(table, by)
+    flat = [table.column(p).combine_chunks().flatten().to_numpy() for p in PARTS]
+    size = int(round((len(flat[0]) // table.num_rows) ** 0.5))
+    stack = Moments(*(values.reshape(-1, size, size) for values in flat))
+    keys = table.select(by).take(order[starts]) if by else None
+    return _rows_of(stack.take(order).combined(starts), keys, arrow)
 
 
 def merge_moments(found: DataFrame, by: Keys = ()) -> DataFrame:
-    """Merge moment rows that share ``by``. The rows of a group meet in one task."""
+    """Merge moment rows that share ``by``. The rows of a group come to one task batch by batch
+    and are folded as they come, so a group of any size needs the memory of a few rows.
+    """
     by = as_list(by)
     schema = T.StructType([found.schema[c] for c in (*by, *PARTS)])
     arrow = to_arrow_schema(schema)
 
-    def merged(table: pa.Table) -> pa.Table:
-        order, starts = _by_group(table, by)
-        flat = [table.column(p).combine_chunks().flatten().to_numpy() for p in PARTS]
-        size = int(round((len(flat[0]) // table.num_rows) ** 0.5))
-        stack = Moments(*(values.reshape(-1, size, size) for values in flat))
-        keys = table.select(by).take(order[starts]) if by else None
-        return _rows_of(stack.take(order).combined(starts), keys, arrow)
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).cast(arrow)
+            whole = _merged(table if whole is None else pa.concat_tables([whole, table]), by, arrow)
+        if whole is not None:
+            yield from whole.to_batches()
 
     return found.select(*by, *PARTS).groupBy(*by).applyInArrow(merged, schema)

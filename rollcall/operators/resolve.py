@@ -85,6 +85,17 @@ def deletion_keys(names: DataFrame, name: str, max_dist: int, out: str = "_key")
     return rows.select(name, F.xxhash64("_rest").alias(out))
 
 
+def _of_like_length(
+    names: DataFrame, name: str, other: DataFrame, other_name: str, max_dist: int
+) -> DataFrame:
+    """The names whose length is among the other side's lengths, widened by the distance."""
+    reach = F.explode(F.sequence(F.lit(-max_dist), F.lit(max_dist)))
+    near = other.select(F.length(other_name).alias("_length")).distinct()
+    near = near.select("_length", reach.alias("_step"))
+    near = near.select((F.col("_length") + F.col("_step")).alias("_length"))
+    return names.join(unique_side(near, "_length"), F.length(name) == F.col("_length"), "left_semi")
+
+
 def fuzzy_resolve(
     df: DataFrame,
     backbone: DataFrame,
@@ -100,15 +111,18 @@ def fuzzy_resolve(
     without a match are kept. ``min_similarity`` is a confidence floor on
     1 - distance / length of the longer name.
 
-    Every pair within ``max_dist`` is found, and names are compared only when they share a
-    deletion key. All names that share one are within twice the distance of each other, so no
+    Every pair within ``max_dist`` is found: names that close differ in length by no more, so only
+    names of a length that the other side has, give or take the distance, are expanded at all, and
+    names are compared only when they share a deletion key. All names that share one are within twice the distance of each other, so no
     common prefix, genus or word makes a hot group. Distinct names are expanded, not rows.
     """
     wanted = df.select(name).where(F.col(name).isNotNull()).distinct()
     known = backbone.select(F.col(standard).alias("_known")).where("_known is not null").distinct()
     exact = attach(wanted, known.select(F.col("_known").alias(name), F.lit(1).alias("_hit")), name)
-    left = deletion_keys(exact.where("_hit is null").select(name), name, max_dist)
-    right = deletion_keys(known, "_known", max_dist, "_known_key")
+    open_names = exact.where("_hit is null").select(name)
+    left = deletion_keys(_of_like_length(open_names, name, known, "_known", max_dist), name, max_dist)
+    right = _of_like_length(known, "_known", open_names, name, max_dist)
+    right = deletion_keys(right, "_known", max_dist, "_known_key")
     distance = F.levenshtein(F.col(name), F.col("_known"), max_dist)
     similarity = 1 - F.col("_distance") / F.greatest(F.length(name), F.length("_known"))
     near = (

@@ -342,7 +342,8 @@ def range_coverage_national(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def range_coverage_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = Lists(spark, sf_dir)
-    merged = keys.merge_lists([q.national, q.local])
+    # Which list a row comes from does not matter here, so its columns are not read.
+    merged = keys.any_of([q.national, q.local], [REGION, ENTITY]).distinct()
     return cov.range_coverage(q.range_, merged)
 
 

@@ -21,34 +21,53 @@ def read_list(
     drop_index: bool = False,
     multi_line: bool = False,
     null_value: str = "NA",
+    mode: str = "FAILFAST",
+    corrupt_column: str | None = None,
 ) -> DataFrame:
-    """Read a headed CSV with a declared schema; ``NA`` and empty fields become null.
+    """Read a headed CSV by column name; ``NA`` and empty fields become null.
 
-    ``drop_index`` drops an unnamed or row-number first column that is not in ``schema``.
+    Columns are found by their names in the header, in any order; columns that ``schema`` does
+    not name are left out, and a name that the header lacks is an error. ``drop_index`` says that
+    the file begins with an unnamed or row-number column, which ``schema`` must not name.
     ``multi_line`` allows line breaks inside quotes, at the price of unsplittable files.
+
+    A cell that is not of its column's type ends the read, unless ``mode`` is ``PERMISSIVE`` (it
+    becomes null; with ``corrupt_column`` the raw line is kept there) or ``DROPMALFORMED``.
     """
     fields = _struct(schema)
-    read_schema = fields
-    if drop_index:
-        read_schema = T.StructType([T.StructField("_index", T.StringType()), *fields.fields])
-    df = (
-        spark.read.schema(read_schema)
-        .option("header", True)
+    reader = (
+        spark.read.option("header", True)
         .option("nullValue", null_value)
         .option("quote", '"')
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .option("multiLine", multi_line)
-        .csv(path)
     )
+    # Without a schema Spark reads the header line only, and every column is a string.
+    header = reader.csv(path).columns
+    declared = {f.name: f for f in fields.fields}
+    if missing := [name for name in declared if name not in header]:
+        raise ValueError(f"{path} has no column {missing}; its header is {header}")
+    if drop_index and header[0] in declared:
+        raise ValueError(f"the first column of {path} is {header[0]!r}, not an index")
+    in_file = [declared.get(name, T.StructField(name, T.StringType())) for name in header]
+    # Several files must agree; an unnamed column cannot be compared.
+    reader = reader.option("enforceSchema", any(name.startswith("_c") for name in header))
+    if corrupt_column:
+        mode = "PERMISSIVE"
+        in_file.append(T.StructField(corrupt_column, T.StringType()))
+        reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
+    df = reader.option("mode", mode).schema(T.StructType(in_file)).csv(path)
+    kept = [F.col(f"`{corrupt_column}`")] if corrupt_column else []
     return df.select(
         *(
             F.nullif(F.col(f"`{f.name}`"), F.lit("")).alias(f.name)
             if isinstance(f.dataType, T.StringType)
             else F.col(f"`{f.name}`")
             for f in fields.fields
-        )
+        ),
+        *kept,
     )
 
 
