@@ -38,12 +38,12 @@ END = ""
 HEAD, HEAD_CLASSES = 1024, 16
 #: At most so many words (the most frequent) go to the tasks with their counts.
 KNOWN = 1 << 18
-HIDDEN, WINDOW, GRADIENT_EVERY = 24, 16, 4
+HIDDEN, WINDOW, GRADIENT_EVERY = 16, 16, 4
 #: Texts that start the weights, and how often they are read.
 WARM_ROWS, WARM_EPOCHS, WARM_SIDE_BY_SIDE = 600, 2, 48
 RATE = 0.1
 #: Words that a task holds at once, texts side by side in scoring and in training.
-CHUNK_WORDS, SIDE_BY_SIDE, TRAIN_SIDE_BY_SIDE = 4_000_000, 2048, 256
+CHUNK_WORDS, SIDE_BY_SIDE, TRAIN_SIDE_BY_SIDE = 4_000_000, 8192, 1024
 #: Words that a counting task holds, floats in a block of weights, partial means of a block.
 COUNTED, BLOCK, SLOTS = 1_000_000, 1 << 14, 256
 
@@ -448,8 +448,11 @@ def _chunks(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, column: i
 def trained(learn: DataFrame, words: Vocabulary, doc_id: str = "doc_id", text: str = "text") -> Network:
     """Weights from all training texts."""
     spark = learn.sparkSession
-    first = learn.select(text).orderBy(F.xxhash64(F.col(doc_id), F.lit(FOLDS)), text).limit(WARM_ROWS)
-    sample = [words.encode(tokens(x))[0] for x in first.toArrow()[text].to_pylist()]
+    # The texts with the smallest hashes; only hashes are ordered, so that no task gathers texts.
+    place = F.xxhash64(F.col(doc_id), F.lit(FOLDS))
+    last = learn.select(place.alias("place")).orderBy("place").limit(WARM_ROWS).agg(F.max("place")).first()[0]
+    first = learn.filter(place <= last).select(place.alias("place"), text).orderBy("place", text).limit(WARM_ROWS)
+    sample = [words.encode(tokens(x))[0] for x in first.toArrow()[text].to_pylist()] if last is not None else []
     net = Network()
     if not sample:
         return net
@@ -523,10 +526,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                         pa.array([len(x) for x in known[part]], pa.int64()),
                         pa.array([float(words.base[x].sum()) for x in known[part]]),
                         pa.array(model[part] + [float(words.inner_score[x].sum()) for x in known[part]]),
-                        pa.array(
-                            [[{"token": w.decode(), "n": n, "within": float(words.within[form(w)])} for w, n in x.items()] for x in rare[part]],
-                            pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64()), ("within", pa.float64())])),
-                        ),
+                        rare_words(rare[part], words),
                     ],
                     names=["doc_id", "held_out", "n_tokens", "known", "base", "model", "rare"],
                 )
@@ -534,6 +534,16 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     def batch_type(who):
         return who[0][0].schema.field(0).type
 
+    def rare_words(some: list[dict[bytes, int]], words: Vocabulary) -> pa.Array:
+        flat = [w for x in some for w in x]
+        parts = [
+            pa.array(flat, pa.binary()).cast(pa.string()),
+            pa.array([n for x in some for n in x.values()], pa.int64()),
+            pa.array(words.within[np.array([form(w) for w in flat], np.int64)] if flat else [], pa.float64()),
+        ]
+        ends = np.cumsum([0, *map(len, some)]).astype(np.int32)
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, ["token", "n", "within"]))
+
     kind = (
         f"doc_id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, model double, "
         "rare array<struct<token string, n bigint, within double>>"
