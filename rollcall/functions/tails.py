@@ -154,6 +154,16 @@ def _t_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(a, b) for a, b in zip(t, df)], dtype="float64")
 
 
+def t_reach(df: Column, level: float) -> Column:
+    """The t with P(|T| <= t) = level, of a column of degrees of freedom; null where undefined."""
+
+    @F.pandas_udf(T.DoubleType())
+    def reach(df: pd.Series) -> pd.Series:
+        return pd.Series([t_quantile(level, x) for x in df], dtype="float64")
+
+    return F.nanvl(reach(df.cast("double")), F.lit(None).cast("double"))
+
+
 def chi2_sf(x: Column, df: Column) -> Column:
     """Upper chi-squared tail of a column; null where undefined."""
     return F.nanvl(_chi2_udf(x.cast("double"), df.cast("double")), F.lit(None).cast("double"))

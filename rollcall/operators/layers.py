@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.functions.tails import t_reach
 from rollcall.operators.keys import REGION, attach
 from rollcall.operators.linear import fit_line
 
@@ -46,13 +47,31 @@ def region_layer(
     )
 
 
-def scatter_layer(df: DataFrame, x: str, y: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Every point with the height of the regression line at its x; null where x is missing.
+def scatter_layer(
+    df: DataFrame, x: str, y: str, keep: Sequence[str] = (), *, level: float = 0.95
+) -> DataFrame:
+    """Every point with the regression line, its confidence band, and the label of the plot.
 
-    The line is one aggregated row that each task reads as a constant. Its R2 and p are
-    ``fit_line``'s.
+    ``fitted``, ``se_fit``, ``ci_low`` and ``ci_high`` are the line's height at the point's x, its
+    standard error and the band at ``level``; null where x is missing or the line has no residual
+    freedom. ``r2`` and ``p`` are the line's own. The line is one aggregated row that each task
+    reads as a constant.
     """
-    line = fit_line(df, x, y, with_p=False).select(F.struct("slope", "intercept")).scalar()
-    points = df.select(*keep, x, y).withColumn("_line", line)
-    height = F.col("_line.intercept") + F.col("_line.slope") * F.col(x)
-    return points.withColumn("fitted", height).drop("_line")
+    line = fit_line(df, x, y, band=True).withColumn("reach", t_reach(F.col("n") - 2, level))
+    parts = ("n", "slope", "intercept", "mean_x", "sxx", "rss", "reach", "r2", "p")
+    at = F.col(x).cast("double")
+    points = df.select(*keep, x, y).withColumn("_line", line.select(F.struct(*parts)).scalar())
+    part = {name: F.col(f"_line.{name}") for name in parts}
+    free = part["n"] - 2
+    gap = at - part["mean_x"]
+    spread = 1 / part["n"] + F.when(part["sxx"] > 0, gap * gap / part["sxx"])
+    error = F.when(free > 0, F.sqrt(part["rss"] / F.nullif(free, F.lit(0)) * spread))
+    height = part["intercept"] + part["slope"] * at
+    return points.withColumns({"fitted": height, "se_fit": error}).withColumns(
+        {
+            "ci_low": F.col("fitted") - part["reach"] * F.col("se_fit"),
+            "ci_high": F.col("fitted") + part["reach"] * F.col("se_fit"),
+            "r2": part["r2"],
+            "p": part["p"],
+        }
+    ).drop("_line")

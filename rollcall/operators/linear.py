@@ -50,9 +50,12 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], *, by: Keys = ()) -> DataFra
 
 
 def fit_line(
-    df: DataFrame, x: str, y: str, *, by: Keys = (), with_p: bool = True
+    df: DataFrame, x: str, y: str, *, by: Keys = (), with_p: bool = True, band: bool = False
 ) -> DataFrame:
-    """Regression line of ``y`` on ``x``: n, r, r2, slope, intercept and the p value of r."""
+    """Regression line of ``y`` on ``x``: n, r, r2, slope, intercept and the p value of r.
+
+    ``band`` adds what a confidence band needs: mean and centred squares of x, residual squares.
+    """
     xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
     out = df.groupBy(*as_list(by)).agg(
         F.regr_count(ys, xs).alias("n"),
@@ -60,7 +63,12 @@ def fit_line(
         F.regr_r2(ys, xs).alias("r2"),
         F.regr_slope(ys, xs).alias("slope"),
         F.regr_intercept(ys, xs).alias("intercept"),
+        *([F.regr_avgx(ys, xs).alias("mean_x"), F.regr_sxx(ys, xs).alias("sxx")] if band else []),
+        *([F.regr_syy(ys, xs).alias("_syy")] if band else []),
     )
+    if band:
+        rss = F.greatest(F.col("_syy") * (1 - F.col("r2")), F.lit(0.0))
+        out = out.withColumn("rss", rss).drop("_syy")
     if not with_p:
         return out
     free = F.col("n") - 2

@@ -79,6 +79,87 @@ def apply_policy(
     return attach(local, pairs, keys, "left_anti", null_safe=[entity])
 
 
+def policy_marks(
+    range_: DataFrame,
+    local: DataFrame,
+    national: DataFrame,
+    policy: DataFrame,
+    *,
+    rules: Mapping[str, Column] | None = None,
+    region: str = REGION,
+    entity: str = ENTITY,
+    rule: str = "rule",
+) -> DataFrame:
+    """One row per (region, entity) with counts ``in_range``, ``local``, ``national``, ``imported``.
+
+    ``imported`` counts the national rows that the region's policy takes over. Listed before is
+    ``local > 0 or national > 0``, left afterwards is ``local > 0 and imported = 0``: an imported
+    row is one more mark, so no list is shuffled twice and nothing is taken away by a join. A null
+    region has no policy, so nothing is imported there.
+    """
+    rules = standard_rules() if rules is None else rules
+    chosen = reduce(
+        Column.__or__,
+        ((F.col(rule) == F.lit(name)) & condition for name, condition in rules.items()),
+    )
+    rules_of = policy.select(F.col(region).alias("_policy_region"), rule)
+    ruled = national.join(
+        unique_side(rules_of, ["_policy_region", rule]),
+        F.col(region) == F.col("_policy_region"),
+        "left",
+    )
+    names = ("in_range", "local", "national", "imported")
+
+    def marked(df: DataFrame, **marks: Column) -> DataFrame:
+        return df.select(region, entity, *(marks.get(n, F.lit(0)).alias(n) for n in names))
+
+    one = F.lit(1)
+    stacked = reduce(
+        DataFrame.unionByName,
+        [
+            marked(range_, in_range=one),
+            marked(local, local=one),
+            marked(ruled, national=one, imported=F.when(chosen, 1).otherwise(0)),
+        ],
+    )
+    return stacked.groupBy(region, entity).agg(*(F.sum(n).alias(n) for n in names))
+
+
+def policy_change_by_region(
+    marks: DataFrame, *, regions: DataFrame | None = None, region: str = REGION
+) -> DataFrame:
+    """Per region: range rows on either list before, on the reduced local list after, and the loss."""
+    known = F.col(region).isNotNull()
+    before = known & ((F.col("local") > 0) | (F.col("national") > 0))
+    after = known & (F.col("local") > 0) & (F.col("imported") == 0)
+    counts = (
+        marks.where("in_range > 0")
+        .groupBy(region)
+        .agg(
+            F.sum(F.when(after, F.col("in_range")).otherwise(0)).alias("after"),
+            F.sum(F.when(before, F.col("in_range")).otherwise(0)).alias("before"),
+        )
+    )
+    if regions is not None:
+        counts = attach(regions, counts, region, null_safe=()).fillna(0, ["after", "before"])
+    return _with_loss(counts)
+
+
+def policy_change_by_group(
+    marks: DataFrame, attrs: DataFrame, group: str, *, entity: str = ENTITY
+) -> DataFrame:
+    """Per group of range entities: those on the local list before and after, and the loss."""
+    left = (F.col("local") > 0) & (F.col("imported") == 0)
+    entities = marks.groupBy(entity).agg(
+        F.max((F.col("in_range") > 0).cast("int")).alias("_in_range"),
+        F.max((F.col("local") > 0).cast("int")).alias("_before"),
+        F.max(left.cast("int")).alias("_after"),
+    )
+    typed = attach(entities.where("_in_range = 1"), attrs, entity, null_safe=())
+    counts = typed.groupBy(group).agg(F.sum("_after").alias("after"), F.sum("_before").alias("before"))
+    return _with_loss(counts)
+
+
 def coverage_delta(
     before: DataFrame,
     after: DataFrame,

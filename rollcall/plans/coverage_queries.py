@@ -579,6 +579,10 @@ def policy_left(q: Lists) -> DataFrame:
     return scenario.apply_policy(q.local, q.national_typed, q.policy, rules=q.rules)
 
 
+def marks(q: Lists) -> DataFrame:
+    return scenario.policy_marks(q.range_, q.local, q.national_typed, q.policy, rules=q.rules)
+
+
 @query("policy_removal", f"{LISTS_SQL}\nselect region_key, entity_key, ranking from local_left")
 def policy_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy_left(Lists(spark, sf_dir))
@@ -611,10 +615,7 @@ left join after_rows a on a.region_key = n_nationkey""",
 def coverage_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range rows that lose all cover: on either list before, on the reduced local list after."""
     q = Lists(spark, sf_dir)
-    regions = q.regions.select(REGION)
-    return scenario.coverage_change(
-        q.range_, [q.local, q.national], policy_left(q), regions=regions
-    )
+    return scenario.policy_change_by_region(marks(q), regions=q.regions.select(REGION))
 
 
 @query(
@@ -634,9 +635,7 @@ from marked group by p_type""",
 )
 def coverage_delta_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = Lists(spark, sf_dir)
-    before = cov.coverage_by(q.range_, q.local, "p_type", attrs=q.types)
-    after = cov.coverage_by(q.range_, policy_left(q), "p_type", attrs=q.types)
-    return scenario.coverage_delta(before, after, keys="p_type")
+    return scenario.policy_change_by_group(marks(q), q.types, "p_type")
 
 
 @query(

@@ -66,7 +66,29 @@ PAIR_SQL = """
 )"""
 
 
-PAIR_ROWS = "\nselect group_a, group_b, round(g, 6) as g, 1 as df from g"
+def erf_sql(x: str) -> str:
+    """The error function as a series of positive terms, for x from 0 to about 10."""
+    return f"""case when {x} <= 0 then 0.0 when {x} > 10 then 1.0 else list_sum(list_transform(
+      range(0, 400), lambda k: exp((2 * k + 1) * ln({x}) - {x} * {x} - lgamma(k + 1.5)))) end"""
+
+
+def t_tail_sql(t: str, free: str) -> str:
+    """P(|T| >= t) for an odd whole number of degrees of freedom, as a finite sum."""
+    angle = f"atan(abs({t}) / sqrt({free}))"
+    terms = f"""list_sum(list_transform(range(0, ({free} - 1)::int // 2), lambda k:
+      exp(k * ln(4.0) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * cos({angle}) ** (2 * k)))"""
+    return f"(1 - 2 / pi() * ({angle} + sin({angle}) * cos({angle}) * {terms}))"
+
+
+def large_t_tail_sql(t: str, free: str) -> str:
+    """The same for many degrees of freedom: the normal tail and its first correction."""
+    density = f"exp(-{t} * {t} / 2) / sqrt(2 * pi())"
+    normal = erf_sql(f"(abs({t}) / sqrt(2.0))")
+    return f"(1 - ({normal}) + {density} * (abs({t}) ** 3 + abs({t})) / (2 * {free}))"
+
+
+PAIR_P = "round(1 - (" + erf_sql("sqrt(g / 2)") + "), 6)"
+PAIR_ROWS = f"\nselect group_a, group_b, round(g, 6) as g, 1 as df, {PAIR_P} as p from g"
 
 
 def test_of(df: DataFrame) -> DataFrame:
@@ -74,8 +96,7 @@ def test_of(df: DataFrame) -> DataFrame:
 
 
 def pairs_of(df: DataFrame, group: str) -> DataFrame:
-    out = contingency.pairwise_g_test(df, group, CELLS, with_p=False)
-    return rounded(out, "g", places=G_PLACES)
+    return rounded(contingency.pairwise_g_test(df, group, CELLS), "g", "p", places=G_PLACES)
 
 
 ROLLED = counts_sql(BIG, "local_list", having="count(*) >= 10")
@@ -176,16 +197,16 @@ def pairwise_g_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     + PAIR_SQL
     + "\nselect group_b, "
     + ", ".join(
-        f"coalesce(max(round(g, 6)) filter (where group_a = '{t}'), -1) as \"{t}\""
+        f"coalesce(max({PAIR_P}) filter (where group_a = '{t}'), -1) as \"{t}\""
         for t in ROLLED_TYPES[:-1]
     )
     + " from g group by group_b",
 )
 def pairwise_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lower triangle of G; -1 marks the empty half."""
+    """Lower triangle of p; -1 marks the empty half."""
     q = Lists(spark, sf_dir)
     pairs = pairs_of(rolled_up(q, q.local), "p_type")
-    return contingency.to_matrix(pairs, "g", columns=ROLLED_TYPES[:-1]).fillna(-1.0)
+    return contingency.to_matrix(pairs, "p", columns=ROLLED_TYPES[:-1]).fillna(-1.0)
 
 
 @query(
@@ -264,15 +285,22 @@ def fit_line_leave_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "scatter_layer",
     """with f as (
-  select regr_slope(o_totalprice, o_custkey) as b, regr_intercept(o_totalprice, o_custkey) as a
+  select regr_slope(o_totalprice, o_custkey) as b, regr_intercept(o_totalprice, o_custkey) as a,
+    count(*) as n, avg(o_custkey) as m, regr_sxx(o_totalprice, o_custkey) as sxx,
+    regr_r2(o_totalprice, o_custkey) as r2,
+    regr_syy(o_totalprice, o_custkey) * (1 - regr_r2(o_totalprice, o_custkey)) as rss
   from orders
 )
-select o_orderkey, o_custkey, o_totalprice, round(a + b * o_custkey, 4) as fitted from orders, f""",
+select o_orderkey, o_custkey, o_totalprice, round(a + b * o_custkey, 4) as fitted,
+  round(sqrt(rss / (n - 2) * (1.0 / n + (o_custkey - m) * (o_custkey - m) / sxx)), 4) as se_fit,
+  round(r2, 8) as r2
+from orders, f""",
 )
 def scatter_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = Lists(spark, sf_dir).table("orders")
     out = layers.scatter_layer(orders, "o_custkey", "o_totalprice", keep=["o_orderkey"])
-    return rounded(out, "fitted", places=4)
+    out = out.drop("ci_low", "ci_high", "p")
+    return rounded(rounded(out, "fitted", "se_fit", places=4), "r2", places=8)
 
 
 @query(
@@ -352,9 +380,70 @@ def ols_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PREDICTORS = MEASURES
+_NAMES = "[" + ", ".join(f"'{x}'" for x in PREDICTORS) + "]"
+_SIZE = len(PREDICTORS) + 1
+_COLUMNS = ["charge", *PREDICTORS]
+_CROSS = ", ".join(f"count(*) * covar_pop({a}, {b})" for a in _COLUMNS for b in _COLUMNS)
+
+
+def _eliminated(a: str, k: str) -> str:
+    """The cross-products ``a`` after taking out what variable number ``k`` explains."""
+    return f"""list_transform(range(0, {_SIZE * _SIZE}), lambda p:
+      {a}[p + 1] - {a}[(p // {_SIZE}) * {_SIZE} + {k} + 1] * {a}[{k} * {_SIZE} + p % {_SIZE} + 1]
+        / {a}[{k} * {_SIZE} + {k} + 1])"""
+
+
+def _swept(a: str, k: str) -> str:
+    """The sweep by variable ``k``: slopes, minus the inverse, and what is left come out."""
+    pivot = f"{a}[{k} * {_SIZE} + {k} + 1]"
+    row, column = f"(p // {_SIZE})", f"(p % {_SIZE})"
+    return f"""list_transform(range(0, {_SIZE * _SIZE}), lambda p: case
+      when {row} = {k} and {column} = {k} then -1 / {pivot}
+      when {row} = {k} or {column} = {k} then {a}[p + 1] / {pivot}
+      else {a}[p + 1] - {a}[{row} * {_SIZE} + {k} + 1] * {a}[{k} * {_SIZE} + {column} + 1] / {pivot} end)"""
+
+
+def search_sql(penalty: str, start: int, moves: str) -> str:
+    """All subsets of the predictors by elimination, then the path of the search over them."""
+    full = len(PREDICTORS)
+    return f"""{LINES_SQL.replace("with lines", "with recursive lines")}, c as (
+  select *, l_extendedprice * (1 - l_discount) * (1 + l_tax) as charge from lines
+), size as (select count(*)::double as n from c
+), base as (
+  select count(*)::double as n, [{_CROSS}] as a, [{", ".join(f"avg({x})" for x in _COLUMNS)}] as means
+  from c
+), subsets as (
+  select 0 as k, 0 as mask, a, n from base
+  union all
+  select k + 1, mask + b * (1 << k)::int, case b when 1 then {_eliminated("a", "(k + 1)")} else a end, n
+  from subsets, (select unnest([0, 1]) as b) where k < {full}
+), crit as (
+  select mask, n * ln(a[1] / n) + {penalty} * (bit_count(mask) + 1) as c from subsets where k = {full}
+), path as (
+  select 0 as step, mask, 'start' as move, {_NAMES if start else "[]::varchar[]"} as terms, c
+  from crit where mask = {start}
+  union all
+  select step, mask, move, terms, c from (
+    select p.step + 1 as step, x.mask,
+      case when x.mask < p.mask then '- ' else '+ ' end || name as move,
+      case when x.mask < p.mask then list_filter(terms, lambda t: t <> name)
+           else list_append(terms, name) end as terms, x.c
+    from (select *, unnest(range(0, {full})) as j from path) p
+    join crit x on x.mask = xor(p.mask, (1 << p.j)::int),
+    lateral (select ({_NAMES})[p.j + 1] as name)
+    where x.c < p.c - 1e-9 and {moves}
+    qualify row_number() over (order by x.c, move) = 1)
+)"""
 
 
-@query("step_aic")
+@query(
+    "step_aic",
+    search_sql("2", 63, "true")
+    + """
+select step::bigint as step, move, terms, round(c, 4) as criterion,
+  (step = max(step) over ())::int::bigint as is_final, n::bigint as n, null::varchar as reason
+from path, size""",
+)
 def step_aic(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = charged_lines(Lists(spark, sf_dir))
     out = linear.step_aic(lines, "charge", PREDICTORS, direction="both")
@@ -394,41 +483,159 @@ def step_aic_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "criterion", places=3).select("step", "move", "criterion", "n")
 
 
-@query("step_fit")
+@query(
+    "step_fit",
+    search_sql("ln(n)", 0, "x.mask > p.mask")
+    + f""", chosen as (select mask, terms from path order by step desc limit 1
+), sweeps as (
+  select 0 as k, a from base
+  union all
+  select k + 1, case when (mask >> k) & 1 = 1 then {_swept("a", "(k + 1)")} else a end
+  from sweeps, chosen where k < {len(PREDICTORS)}
+), done as (
+  select s.a, b.a[1] as total, means, n, n - len(terms) - 1 as free, s.a[1] / (n - len(terms) - 1) as v,
+    list_filter(range(1, {_SIZE}), lambda j: (mask >> (j - 1)) & 1 = 1) as js
+  from sweeps s, base b, chosen where s.k = {len(PREDICTORS)}
+), fit as (
+  select ({_NAMES})[j] as term, a[j + 1] as estimate, sqrt(-v * a[j * {_SIZE} + j + 1]) as std_error,
+    n, free, 1 - a[1] / total as r2
+  from (select *, unnest(js) as j from done)
+  union all
+  select '(Intercept)',
+    means[1] - coalesce(list_sum(list_transform(js, lambda j: a[j + 1] * means[j + 1])), 0),
+    sqrt(v * (1 / n - coalesce(list_sum(list_transform(js, lambda i: list_sum(list_transform(js, lambda j:
+      means[i + 1] * a[i * {_SIZE} + j + 1] * means[j + 1])))), 0))), n, free, 1 - a[1] / total
+  from done
+)
+select term, round(estimate, 4) as estimate, round(std_error, 6) as std_error,
+  round(estimate / std_error, 3) as t,
+  round(greatest(0, {large_t_tail_sql("(estimate / std_error)", "free")}), 5) as p,
+  n::bigint as n, round(r2, 8) as r2
+from fit""",
+)
 def step_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = charged_lines(Lists(spark, sf_dir))
     out = linear.step_fit(lines, "charge", PREDICTORS, direction="forward", penalty=None)
-    return out.select("term", "estimate", "std_error", "t", "p", "n", "r2")
+    out = out.select("term", "estimate", "std_error", "t", "p", "n", "r2")
+    for column, places in (("estimate", 4), ("std_error", 6), ("t", 3), ("p", 5), ("r2", 8)):
+        out = rounded(out, column, places=places)
+    return out
 
 
-@query(
-    "region_model",
-    f"""{LISTS_SQL}, listed as (
+REGION_FACTS_SQL = f"""{LISTS_SQL}, listed as (
   select region_key, count(*) as n from local_list group by region_key
 ), facts as (
-  select c_nationkey as region_key, count(*) as customers from customer group by c_nationkey
+  select c_nationkey as region_key, count(*) as customers, avg(c_acctbal) as balance
+  from customer group by c_nationkey
 ), t as (
-  select n_nationkey, log10(coalesce(n, 0) + 1) as y, log10(coalesce(customers, 0) + 1) as x
+  select n_nationkey, log10(coalesce(n, 0) + 1) as y, log10(coalesce(customers, 0) + 1) as x, balance
   from nation left join listed l on l.region_key = n_nationkey
   left join facts f on f.region_key = n_nationkey
+), line as (
+  select count(*)::double as n, count(*)::double - 2 as free, avg(x) as mx, regr_sxx(y, x) as sxx,
+    regr_slope(y, x) as b, regr_intercept(y, x) as a, corr(y, x) as r, regr_syy(y, x) as syy,
+    regr_syy(y, x) * (1 - regr_r2(y, x)) as rss
+  from t
+)"""
+
+
+def region_facts(q: Lists) -> DataFrame:
+    """One row per region: logged listed entities and logged customers."""
+    customers = q.table("customer").select(F.col("c_nationkey").alias(REGION))
+    facts = cov.counts_by_region(customers, q.regions, out="customers").drop("n_name")
+    table = attach(cov.counts_by_region(q.local, q.regions), facts, REGION, null_safe=())
+    return with_transforms(table, log10p1=["n", "customers"])
+
+
+@query(
+    "region_model",
+    f"""{REGION_FACTS_SQL}, e as (
+  select '(Intercept)' as term, a as estimate, sqrt(rss / free * (1 / n + mx * mx / sxx)) as se, line.* from line
+  union all select 'log10p1_customers', b, sqrt(rss / free / sxx), line.* from line
 )
-select '(Intercept)' as term, round(regr_intercept(y, x), 6) as estimate,
-       round(regr_r2(y, x), 6) as r2, count(*) as n from t
-union all
-select 'log10p1_customers', round(regr_slope(y, x), 6), round(regr_r2(y, x), 6), count(*) from t""",
+select term, round(estimate, 6) as estimate, round(se, 6) as std_error, round(estimate / se, 5) as t,
+  round({t_tail_sql("(estimate / se)", "free")}, 6) as p, round(1 - rss / syy, 6) as r2,
+  round(1 - rss / free / (syy / (n - 1)), 6) as adj_r2, round((syy - rss) / (rss / free), 4) as f,
+  round({t_tail_sql("sqrt((syy - rss) / (rss / free))", "free")}, 6) as f_p, n::bigint as n
+from e""",
 )
 def region_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zero-filled counts per region, joined to region facts, logged and fitted."""
-    q = Lists(spark, sf_dir)
-    customers = q.table("customer").select(F.col("c_nationkey").alias(REGION))
-    facts = cov.counts_by_region(customers, q.regions, out="customers").drop("n_name")
-    table = attach(cov.counts_by_region(q.local, q.regions), facts, REGION, null_safe=())
-    logged = with_transforms(table, log10p1=["n", "customers"])
-    fit = linear.ols(logged, "log10p1_n", ["log10p1_customers"])
-    return rounded(fit.select("term", "estimate", "r2", "n"), "estimate", "r2", places=6)
+    fit = linear.ols(region_facts(Lists(spark, sf_dir)), "log10p1_n", ["log10p1_customers"])
+    fit = fit.select("term", "estimate", "std_error", "t", "p", "r2", "adj_r2", "f", "f_p", "n")
+    fit = rounded(fit, "estimate", "std_error", "p", "r2", "adj_r2", "f_p", places=6)
+    return rounded(rounded(fit, "t", places=5), "f", places=4)
+
+
+@query(
+    "region_line",
+    f"""{REGION_FACTS_SQL}
+select n::bigint as n, round(r, 6) as r, round(r * r, 6) as r2, round(b, 6) as slope,
+  round(a, 6) as intercept, round({t_tail_sql("(r * sqrt(free / (1 - r * r)))", "free")}, 6) as p
+from line""",
+)
+def region_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same model as a line with the p value of its correlation."""
+    out = linear.fit_line(region_facts(Lists(spark, sf_dir)), "log10p1_customers", "log10p1_n")
+    return rounded(out, "r", "r2", "slope", "intercept", "p", places=6)
+
+
+@query(
+    "region_correlations",
+    f"""{REGION_FACTS_SQL}, pairs as (
+  select 'log10p1_n' as x, 'log10p1_customers' as y, corr(y, x) as r, count(*)::double as n from t
+  union all select 'log10p1_n', 'n_nationkey', corr(y, n_nationkey), count(*)::double from t
+  union all select 'log10p1_customers', 'n_nationkey', corr(x, n_nationkey), count(*)::double from t
+)
+select x, y, round(r, 6) as r, n::bigint as n,
+  round({t_tail_sql("(r * sqrt((n - 2) / (1 - r * r)))", "(n - 2)")}, 6) as p from pairs""",
+)
+def region_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of three regional columns with their p values."""
+    table = region_facts(Lists(spark, sf_dir)).withColumn("n_nationkey", F.col(REGION))
+    out = linear.corr_matrix(table, ["log10p1_n", "log10p1_customers", "n_nationkey"])
+    return rounded(out, "r", "p", places=6)
+
+
+SPLIT_SQL = f"""{LISTS_SQL}, sides as (
+  select region_key, case when p_type = '{PLANT}' then 'plants' else 'animals' end as model, count(*) as n
+  from local_list join part on p_partkey = entity_key group by 1, 2
+), facts as (
+  select c_nationkey as region_key, count(*) as customers, avg(c_acctbal) as balance
+  from customer group by c_nationkey
+), t as (
+  select m.model, log10(coalesce(s.n, 0) + 1) as y, f.balance as x1, log10(coalesce(customers, 0) + 1) as x2
+  from nation cross join (select unnest(['plants', 'animals']) as model) m
+  left join sides s on s.region_key = n_nationkey and s.model = m.model
+  left join facts f on f.region_key = n_nationkey
+  where f.balance is not null
+), m as (
+  select model, count(*)::double as n, var_pop(x1) as s11, var_pop(x2) as s22, covar_pop(x1, x2) as s12,
+         covar_pop(x1, y) as s1y, covar_pop(x2, y) as s2y, var_pop(y) as syy
+  from t group by model
+), a as (
+  select model, n, n * ln(syy) + 2 as a0, n * ln(syy - s1y * s1y / s11) + 4 as a1,
+         n * ln(syy - s2y * s2y / s22) + 4 as a2,
+         n * ln(syy - (s22 * s1y * s1y - 2 * s12 * s1y * s2y + s11 * s2y * s2y)
+                      / (s11 * s22 - s12 * s12)) + 6 as a12
+  from m
+), b as (select *, least(a1, a2) as one, a1 <= a2 as keeps_1 from a
+), path as (
+  select model, n, 0 as step, 'start' as move, ['balance', 'log10p1_customers'] as terms, a12 as criterion from b
+  union all
+  select model, n, 1, case when keeps_1 then '- log10p1_customers' else '- balance' end,
+    case when keeps_1 then ['balance'] else ['log10p1_customers'] end, one from b where one < a12
+  union all
+  select model, n, 2, case when keeps_1 then '- balance' else '- log10p1_customers' end,
+    []::varchar[], a0 from b where one < a12 and a0 < one
+)
+select model, step::bigint as step, move, terms, round(criterion, 6) as criterion,
+  (step = max(step) over (partition by model))::int::bigint as is_final, n::bigint as n,
+  null::varchar as reason
+from path"""
 
 
-@query("region_model_split")
+@query("region_model_split", SPLIT_SQL)
 def region_model_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The selection rerun on the plant and on the animal rows, both models from one pass."""
     q = Lists(spark, sf_dir)

@@ -146,3 +146,14 @@ def test_t_tail_and_quantile(t, df):
 def test_t_tail_of_one_df_is_cauchy():
     for t in (0.1, 1.0, 5.0, 300.0):
         assert tails.t_two_sided(t, 1) == pytest.approx(1 - 2 * math.atan(t) / math.pi, rel=1e-9)
+
+
+def test_null_group_counts_alike_in_both_tests(spark):
+    df = spark.createDataFrame([("a", 3, 9), ("b", 5, 2), (None, 7, 7)], "g string, no long, yes long")
+    cells = ("no", "yes")
+    assert contingency.g_test(df, cells).first()["df"] == 2
+    pairs = contingency.pairwise_g_test(df, "g", cells)
+    assert sorted((r["group_a"], r["group_b"]) for r in pairs.collect() if r["group_b"]) == [("a", "b")]
+    assert sorted(r["group_a"] for r in pairs.collect() if r["group_b"] is None) == ["a", "b"]
+    assert contingency.g_test(df, cells, group="g", null_group=False).first()["df"] == 1
+    assert contingency.pairwise_g_test(df, "g", cells, null_group=False).count() == 1

@@ -245,3 +245,40 @@ def test_policy_from_flags(spark):
     flags = spark.createDataFrame([("a", "Y"), ("b", "Y"), ("c", "N"), ("d", None)], "region_key string, f string")
     got = scenario.policy_from_flags(flags, "f", {"b": "E_ONLY", "c": "ALL"})
     assert rows(got) == [("a", "ALL"), ("b", "E_ONLY"), ("c", "NONE"), ("d", "NONE")]
+
+
+def test_repeated_listing_rows_count_a_region_once(spark):
+    range_ = spark.createDataFrame([("r1", "e"), ("r2", "e"), ("r2", "e")], LIST)
+    listing = spark.createDataFrame([("r1", "e"), ("r1", "e"), ("r3", "e")], LIST)
+    found = cov.range_coverage(range_, listing, within_range=True)
+    assert rows(found, "regions_occur", "regions_listed", "proportion_listed") == [(2, 1, 0.5)]
+    assert cov.fully_covered(found).count() == 0
+
+
+def test_carried_columns_come_from_one_row(spark):
+    range_ = spark.createDataFrame([("r", "e", "b", "x"), ("r", "e", "a", "y")], LIST + ", p string, q string")
+    listing = spark.createDataFrame([("r", "e")], LIST)
+    found = cov.coverage_by(range_, listing, ["p", "q"])
+    assert rows(found, "p", "q", "total", "listed") == [("a", "y", 1, 1)]
+
+
+def test_policy_marks_agree_with_removing_rows(data, spark):
+    _, (r, l, n) = data
+    policy = spark.createDataFrame(
+        [(f"r{i}", ["ALL", "E_ONLY", "NON_PLANT", "NONE"][i % 4]) for i in range(7)], "region_key string, rule string"
+    )
+    national = n.withColumns({"status": F.when(F.hash("entity_key") % 2 == 0, "E").otherwise("T"), "group": F.col("grp")})
+    left = scenario.apply_policy(l, national, policy)
+    keys = ["region_key", "entity_key"]
+    marks = scenario.policy_marks(r, l, national, policy)
+    want = scenario.coverage_change(r, [l.select(keys), n.select(keys)], left)
+    assert rows(scenario.policy_change_by_region(marks), *want.columns) == rows(want)
+    types = r.select("entity_key", "grp").distinct()
+    want = scenario.coverage_delta(
+        cov.coverage_by(r, l, "grp", attrs=types), cov.coverage_by(r, left, "grp", attrs=types), keys="grp"
+    )
+    got = scenario.policy_change_by_group(marks, types, "grp")
+    columns = ["grp", "before", "after", "lost"]
+    assert [x for x in rows(got, *columns) if x[0]] == [x for x in rows(want, *columns) if x[0]]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plan

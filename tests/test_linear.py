@@ -8,6 +8,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from rollcall.operators import linear
 from rollcall.operators.moments import Moments, pair_moments
 
@@ -241,3 +243,58 @@ def test_groups_over_several_reductions(spark, monkeypatch):
     finally:
         spark.conf.set(with_small_batches, old)
     assert got == {g: (10.0, g + 60 * 4.5) for g in range(60)}
+
+
+def test_path_does_not_depend_on_the_order_of_candidates(frame):
+    def path(xs):
+        found = linear.step_aic(frame, "y", xs, direction="both").orderBy("step").collect()
+        return [(r["move"], sorted(r["terms"]), r["criterion"]) for r in found]
+
+    assert path(XS) == path(XS[::-1])
+
+
+def test_model_without_residual_freedom_says_so(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0)] + [("b", float(i), float(i * i)) for i in range(9)], "g string, y double, x double")
+    found = linear.step_aic(df, "y", ["x"], by="g", direction="both").orderBy("g", "step").collect()
+    first = found[0]
+    assert (first["g"], first["criterion"], first["reason"]) == ("a", None, "no residual freedom")
+    assert found[1]["criterion"] is not None and found[1]["reason"] is None
+
+
+def test_adjusted_r2_and_f(frame, spark):
+    rows = [(float(i), float(i % 4), float((7 * i) % 5), 2.0 * i + (i % 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double")
+    fit = linear.ols(df, "y", ["a", "b", "c"]).first()
+    x = np.column_stack([np.ones(40), np.array(rows)[:, :3]])
+    y = np.array(rows)[:, 3]
+    rss = float(np.sum((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2))
+    tss = float(np.sum((y - y.mean()) ** 2))
+    assert fit["adj_r2"] == pytest.approx(1 - (rss / 36) / (tss / 39))
+    assert fit["f"] == pytest.approx(((tss - rss) / 3) / (rss / 36)) and fit["f_df"] == 3
+    assert 0 <= fit["f_p"] < 1e-9
+
+
+def test_leave_each_out_has_no_single_task_merge(frame):
+    """The last merge sees one row per bucket; the regions themselves are dealt out before."""
+    fits = linear.ols_leave_each_out(frame, "y", ["a"])
+    plan = fits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") >= 3 + 3
+    keyed = [line for line in plan.splitlines() if "FlatMapGroupsInArrow [_bucket" in line]
+    assert len(keyed) >= 2
+
+
+def test_many_partials_of_one_group(spark, monkeypatch):
+    from rollcall.operators import moments as module
+
+    df = spark.range(20_000, numPartitions=40).selectExpr(
+        "if(id % 3 = 0, 0, id % 50) as g", "id * 0.5 + 1e6 as x", "(id * id) % 97 as y"
+    )
+    want = {r["g"]: r for r in module.pair_moments(df, ["x", "y"], "g").collect()}
+    # Tasks flush early and merges take three at a time.
+    monkeypatch.setattr(module, "HELD_BYTES", 4000)
+    monkeypatch.setattr(module, "MERGE_FAN_IN", 3)
+    got = {r["g"]: r for r in module.pair_moments(df, ["x", "y"], "g").collect()}
+    assert got.keys() == want.keys()
+    for g, row in want.items():
+        for part in module.PARTS:
+            assert got[g][part] == pytest.approx(row[part], rel=1e-9, abs=1e-6)

@@ -169,3 +169,18 @@ def test_fuzzy_expansion_is_never_broadcast(spark, small):
 
 def test_leave_each_out_scans_the_rows_once(spark, small):
     assert "ReusedExchange" in final_plan(QUERIES["leave_each_out"](spark, small))
+
+
+def test_what_if_shuffles_the_local_list_once(spark, small):
+    for name in ("coverage_delta", "coverage_delta_by_type"):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" not in plan
+        assert plan.count("l_returnflag") and plan.lower().count("union") == 1
+
+
+def test_hot_key_is_split_without_the_forced_setting(settings, hot, listing):
+    """The join is the last step here; a session does not need the forced split for it."""
+    plain = SKEW | {"spark__sql__adaptive__forceOptimizeSkewedJoin": "false"}
+    with settings(**plain):
+        assert "skew=true" in final_plan(keys.covered(hot, listing))
+        assert "skew=true" in final_plan(keys.uncovered(hot, listing))

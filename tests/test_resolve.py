@@ -119,3 +119,24 @@ def test_extend_names_adds_only_missing_names_with_a_match(spark):
     got = resolve.extend_names(table, df, backbone, patterns=[r"\s(sp).$"])
     assert rows(got) == [("Aa bb", "Xx yy"), ("Cc dx", "Cc dd")]
     assert rows(resolve.unresolved(df, got, patterns=[r"\s(sp).$"])) == [("Qq rr",)]
+
+
+def test_long_name_is_expanded_only_if_one_of_its_length_is_known(spark, monkeypatch):
+    expanded = []
+    plain = resolve.deletion_keys
+
+    def counted(names, name, max_dist, out="_key"):
+        keys = plain(names, name, max_dist, out)
+        expanded.append(keys.count())
+        return keys
+
+    monkeypatch.setattr(resolve, "deletion_keys", counted)
+    long = "x" * 20_000
+    df = spark.createDataFrame([("Aa bb",), (long,)], "species string")
+    backbone = spark.createDataFrame([("Aa bc",), ("Quite another name",)], "standard_name string")
+    found = {r["species"]: r["match_type"] for r in resolve.fuzzy_resolve(df, backbone).collect()}
+    assert found == {"Aa bb": "fuzzy", long: "none"}
+    # Five characters: the name itself and one string for each deletion, on either side.
+    assert expanded == [6, 6]
+    close = spark.createDataFrame([(long[:-1],)], "standard_name string")
+    assert {r["distance"] for r in resolve.fuzzy_resolve(df, close).collect()} == {None, 1}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from conftest import rows
 
 from rollcall.sources import lists
@@ -52,3 +53,31 @@ def test_round_trips(spark, tmp_path):
 def test_region_dimension(spark):
     df = lists.inline_list(spark, [("a",), ("a",), (None,), ("b",)], "k string")
     assert rows(lists.region_dimension(df, "k")) == [("a",), ("b",)]
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text("species,note,state,n\nAa bb,x,Ohio,3\n")
+    df = lists.read_list(spark, str(path), "state string, species string, n int")
+    assert rows(df) == [("Ohio", "Aa bb", 3)]
+
+
+def test_missing_column_is_an_error(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text("species,state\nAa bb,Ohio\n")
+    with pytest.raises(ValueError, match="has no column"):
+        lists.read_list(spark, str(path), "state string, n int")
+    with pytest.raises(ValueError, match="not an index"):
+        lists.read_list(spark, str(path), "species string", drop_index=True)
+
+
+@pytest.mark.parametrize("bad", ["4.5", "x7"])
+def test_bad_cell(spark, tmp_path, bad):
+    path = tmp_path / "in.csv"
+    path.write_text(f"state,n\nOhio,{bad}\nUtah,2\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ_FILE|FAILFAST"):
+        lists.read_list(spark, str(path), "state string, n int").collect()
+    kept = lists.read_list(spark, str(path), "state string, n int", mode="PERMISSIVE")
+    assert rows(kept) == sorted([("Ohio", None), ("Utah", 2)], key=repr)
+    raw = lists.read_list(spark, str(path), "state string, n int", corrupt_column="bad")
+    assert rows(raw) == sorted([("Ohio", None, f"Ohio,{bad}"), ("Utah", 2, None)], key=repr)

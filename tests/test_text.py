@@ -28,13 +28,13 @@ def test_remove_first_only(spark):
 
 def test_strip_parens(spark):
     data = [
-        "Albatross, short-tailed Wherever found (Phoebastria (=Diomedea) albatrus)",
-        "Whale, sperm Wherever found (Physeter catodon (=macrocephalus))",
-        "Bear, polar Wherever found (Ursus maritimus)",
+        "Heron, marsh Everywhere (Ardella (=Botaura) palustra)",
+        "Seal, grey Everywhere (Halica grisea (=marina))",
+        "Fox, dune Everywhere (Vulpina arenosa)",
         "no brackets",
         None,
     ]
-    want = ["Phoebastria albatrus", "Physeter catodon ", "Ursus maritimus", None, None]
+    want = ["Ardella palustra", "Halica grisea ", "Vulpina arenosa", None, None]
     assert values(spark, data, text.strip_parens("s")) == want
 
 
