@@ -71,9 +71,15 @@ def deletion_keys(names: DataFrame, name: str, max_dist: int, out: str = "_key")
     none = F.lit(0)
     for _ in range(max_dist):
         length, start, at = F.length("_rest"), F.col("_from"), F.col("_at")
-        positions = F.when(
-            start <= length, F.concat(F.array(none), F.sequence(start, length))
-        ).otherwise(F.array(none))
+        # Any character of a run of equal ones leaves the same string; the first stands for all.
+        rest = F.col("_rest")
+        firsts = F.filter(
+            F.sequence(start, length),
+            lambda p: (p == start) | (F.substring(rest, p, F.lit(1)) != F.substring(rest, p - 1, F.lit(1))),
+        )
+        positions = F.when(start <= length, F.concat(F.array(none), firsts)).otherwise(
+            F.array(none)
+        )
         shorter = F.concat(
             F.substring("_rest", F.lit(1), at - 1), F.substring(F.col("_rest"), at + 1, length)
         )
