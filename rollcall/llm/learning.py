@@ -32,6 +32,8 @@ def labelled(
         .orderBy(order, "_id")
         .limit(rows)
     )
-    found = docs.join(F.broadcast(picked), F.col(doc_id) == F.col("_id")).select("_id", "_label", text.alias("_text"))
+    # Two columns only, so that no name of the documents can clash.
+    texts = docs.select(F.col(doc_id).alias("_doc"), text.alias("_text"))
+    found = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id"))
     found = found.orderBy(order, "_id", "_text").limit(rows)
     return found.select(F.col("_label").alias("label"), F.col("_text").alias("text"))

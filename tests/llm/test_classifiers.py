@@ -31,7 +31,7 @@ def toxic_corpus(n=900, seed=1):
 
 
 def tables(spark, documents, rows, labels, tmp_path):
-    documents(rows, ["'x' as score", "1 as label", "2 as text_"]).write.parquet(f"{tmp_path}/documents.parquet")
+    documents(rows, ["'x' as score", "1 as label", "2 as _id", "3 as _label", "4 as _text"]).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     return str(tmp_path)
 
