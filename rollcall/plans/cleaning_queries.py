@@ -68,7 +68,7 @@ def raw_list(q: Lists) -> DataFrame:
   join part on l_partkey = p_partkey
 ), first_raw as (
   select * from (select *, row_number() over (partition by state, species
-    order by l_orderkey, l_linenumber, ranking, l_partkey) as k from raw) where k = 1
+    order by l_orderkey, l_linenumber, ranking nulls first, l_partkey) as k from raw) where k = 1
 ), ruled as (
   select case state when 'nation_1' then 'nation_10' when 'nation_2' then 'nation_20'
               else state end as state,
@@ -78,7 +78,7 @@ def raw_list(q: Lists) -> DataFrame:
 )
 select state, species, ranking, l_orderkey, l_linenumber, l_partkey from (
   select *, row_number() over (partition by state, species
-    order by l_orderkey, l_linenumber, ranking, l_partkey) as k
+    order by l_orderkey, l_linenumber, ranking nulls first, l_partkey) as k
   from ruled
   where state not in ('nation_7', 'nation_8')
     and coalesce(ranking not in ('X'), true) and not (state = 'nation_3' and ranking = 'N')
