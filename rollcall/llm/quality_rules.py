@@ -26,6 +26,8 @@ WINDOW = 8
 MIN_WORDS = 20
 #: Percent of words inside repeated windows, percent of symbols, percent of equal lines.
 MAX_REPEATED, MAX_SYMBOLS, MAX_EQUAL_LINES = 30, 10, 30
+#: Fewer equal lines than this are no sign of junk: one repeated line of three is 33 percent.
+LEAST_EQUAL_LINES = 3
 SYMBOLS = "#*$%&|<>"
 HOST_LIMIT, TRUST = 0.6, 0.01
 #: Bounds of the prior's weight, in documents.
@@ -104,7 +106,8 @@ def rule_failures() -> dict[str, Column]:
         "short": F.col("n_words") < MIN_WORDS,
         "repeated": 100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"),
         "symbols": 100 * F.col("n_symbols") > MAX_SYMBOLS * F.col("word_chars"),
-        "equal_lines": 100 * F.col("n_dup_lines") > MAX_EQUAL_LINES * F.col("n_lines"),
+        "equal_lines": (F.col("n_dup_lines") >= LEAST_EQUAL_LINES)
+        & (100 * F.col("n_dup_lines") > MAX_EQUAL_LINES * F.col("n_lines")),
     }
 
 
@@ -200,7 +203,8 @@ m as (
 f as (
   select *, (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED} * n_words) as base_failed,
     100 * n_symbols > {MAX_SYMBOLS} * word_chars as symbols,
-    100 * n_dup_lines > {MAX_EQUAL_LINES} * n_lines as equal_lines
+    n_dup_lines >= {LEAST_EQUAL_LINES}
+      and 100 * n_dup_lines > {MAX_EQUAL_LINES} * n_lines as equal_lines
   from m),
 h as (
   select host, count(*) as n, sum((base_failed or symbols or equal_lines)::int) as a,
