@@ -9,8 +9,8 @@ and one unseen word per class add up to one.
 **Model.** A gated recurrent unit reads the words; a softmax over classes and, for the frequent
 words, a softmax within the class give the next word. Training cuts the backpropagation after
 ``WINDOW`` words while the state goes on through the text. A bounded sample starts the weights;
-then every task reads all training texts of its partition, takes gradients in every
-``GRADIENT_EVERY``-th window, and the tasks' weights are averaged.
+then every task reads all training texts of its partition, takes gradients in every window, and
+the tasks' weights are averaged.
 
 **Scoring** carries the state through the whole text, many texts side by side. Counts of words
 outside a bounded table of known words are joined afterwards.
@@ -38,7 +38,7 @@ END = ""
 HEAD, HEAD_CLASSES = 1024, 16
 #: At most so many words (the most frequent) go to the tasks with their counts.
 KNOWN = 1 << 18
-HIDDEN, WINDOW, GRADIENT_EVERY = 16, 16, 4
+HIDDEN, WINDOW = 16, 16
 #: Texts that start the weights, and how often they are read.
 WARM_ROWS, WARM_EPOCHS, WARM_SIDE_BY_SIDE = 600, 2, 48
 RATE = 0.1
@@ -336,30 +336,32 @@ class Network:
             words[c], bias[c] = whole[some].T @ e, e.sum(0)
             back[some] += e @ self.p["words"][c].T
         slopes |= {"words": words, "word_bias": bias}
-        gates, fresh = np.zeros_like(self.p["gates"]), np.zeros_like(self.p["fresh"])
-        shift = np.zeros_like(self.p["shift"])
-        rows, moves = [], []
+        r, z, inner, fresh_state = (np.concatenate([memory[i] for memory in kept]) for i in range(1, 5))
+        # What a step multiplies by, for the whole window at once.
+        stay = 1 - z
+        to_fresh = stay * (1 - fresh_state * fresh_state)
+        to_update = (whole - fresh_state) * z * stay
+        to_reset = inner * r * (1 - r)
+        rows = group.inputs[flat]
+        moves = np.empty((len(flat), 3 * HIDDEN), back.dtype)
+        di = np.empty((len(flat), HIDDEN), back.dtype)
+        both, dn = moves[:, : 2 * HIDDEN], moves[:, 2 * HIDDEN :]
         ends = np.cumsum([len(x) for x in places])
-        carried = np.zeros((0, HIDDEN), np.float32)
+        carried = np.zeros((0, HIDDEN), back.dtype)
         for t in range(len(places) - 1, -1, -1):
             n = len(places[t])
+            at = slice(ends[t] - n, ends[t])
             # What later steps say about the state after this one.
-            ahead = np.zeros((n, HIDDEN), np.float32)
-            ahead[: len(carried)] = carried
-            before, r, z, inner, fresh_state = kept[t]
-            dn = ahead * (1 - z) * (1 - fresh_state * fresh_state)
-            dz = ahead * (before - fresh_state) * z * (1 - z)
-            dr = dn * inner * r * (1 - r)
-            di = dn * r
-            both = np.concatenate([dr, dz], 1)
-            gates += before.T @ both
-            fresh += before.T @ di
-            shift += di.sum(0)
-            rows.append(group.inputs[places[t]])
-            moves.append(np.concatenate([both, dn], 1))
-            carried = ahead * z + both @ self.p["gates"].T + di @ self.p["fresh"].T + back[ends[t] - n : ends[t]]
-        slopes |= {"gates": gates, "fresh": fresh, "shift": shift}
-        rows, moves = np.concatenate(rows), np.concatenate(moves)
+            ahead = carried
+            if len(carried) < n:
+                ahead = np.zeros((n, HIDDEN), back.dtype)
+                ahead[: len(carried)] = carried
+            np.multiply(ahead, to_fresh[at], out=dn[at])
+            np.multiply(dn[at], to_reset[at], out=both[at, :HIDDEN])
+            np.multiply(ahead, to_update[at], out=both[at, HIDDEN:])
+            np.multiply(dn[at], r[at], out=di[at])
+            carried = ahead * z[at] + both[at] @ self.p["gates"].T + di[at] @ self.p["fresh"].T + back[at]
+        slopes |= {"gates": whole.T @ both, "fresh": whole.T @ di, "shift": di.sum(0)}
         order = np.argsort(rows, kind="stable")
         which, starts = np.unique(rows[order], return_index=True)
         for name, slope in slopes.items():
@@ -465,7 +467,7 @@ def trained(learn: DataFrame, words: Vocabulary, doc_id: str = "doc_id", text: s
         words, flat = shared.value
         own, size = Network().load(flat), 0
         for _, texts, _ in _chunks(batches, words, 0):
-            train(own, words, texts, TRAIN_SIDE_BY_SIDE, GRADIENT_EVERY)
+            train(own, words, texts, TRAIN_SIDE_BY_SIDE)
             size += sum(map(len, texts))
         if size:
             yield blocks(own.flat().astype(np.float64), float(size))

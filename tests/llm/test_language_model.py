@@ -154,6 +154,21 @@ def test_training_helps_on_unseen_texts(monkeypatch):
     assert lm.log_likelihoods(net, words, unseen).sum() > before + 100
 
 
+def test_every_word_gives_a_gradient(spark, documents, monkeypatch):
+    """One task's weights are those of a plain pass that learns from every word of every text."""
+    monkeypatch.setattr(lm, "WARM_EPOCHS", 0)
+    texts = [*corpus(50), "ab1", "", "cd2 " * 100]
+    words, net, counts = made(texts)
+    net = lm.Network()
+    net.start_from(words)
+    learn, seen = net.learn, []
+    monkeypatch.setattr(net, "learn", lambda h, group, places, v: (seen.extend(map(len, places)), learn(h, group, places, v))[1])
+    lm.train(net, words, [words.encode(lm.tokens(t))[0] for t in texts], lm.TRAIN_SIDE_BY_SIDE)
+    assert sum(seen) == sum(counts.values())
+    got = lm.trained(documents(list(enumerate(texts))).coalesce(1), words)
+    assert got.flat() == pytest.approx(net.flat(), abs=1e-4)
+
+
 def compare(rows, got):
     want, _ = plain_base(rows)
     mine = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got]
