@@ -8,9 +8,12 @@ layer above, so that every vector can be reached. Candidates come from products
 shard with the shard, which is bounded; links are flat arrays.
 
 A search goes down the layers with a whole block of queries at once: in every step each query
-opens the best vector of its beam that is not yet open. Block and shard pairs are grouped by
-Spark, a task holds one shard and one block. The nearest of each shard are scored again in double
-precision on the original vectors and merged.
+opens the best vector of its beam that is not yet open. Graph and search rank in double precision,
+so that near copies, whose cosines differ by less than single precision holds, are told apart.
+Where more vectors than the beam has room for lie within rounding of the nearest, the search goes
+on along the links until it has met all of them. Block and shard pairs are grouped by Spark, a task
+holds one shard and one block. All that a shard's search finds is scored again on the original
+vectors, and the nearest are merged.
 
 Equal vectors are one entry that keeps its smallest ids, since no answer can hold more of them.
 """
@@ -42,7 +45,7 @@ FOUND = "query_id bigint, vec_id bigint, score double"
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
     scaled = vectors / np.abs(vectors).max(1, keepdims=True)
-    return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def _links(unit: np.ndarray, nodes: np.ndarray, most: int) -> np.ndarray:
@@ -62,7 +65,7 @@ def _links(unit: np.ndarray, nodes: np.ndarray, most: int) -> np.ndarray:
             to_self = near[i, row]
             among = own[row] @ own[row].T
             taken = np.zeros(k, bool)
-            closest = np.full(k, -2, np.float32)
+            closest = np.full(k, -2.0)
             for c in range(k):
                 # Nearer to the node than to any neighbour that is chosen already.
                 if to_self[c] >= closest[c]:
@@ -134,6 +137,27 @@ class Graph:
                 entry = np.searchsorted(self.layers[level - 1], held)
         return found
 
+    def within_rounding(self, query: np.ndarray, found: np.ndarray, nearest: int) -> np.ndarray:
+        """``found`` and, if its last lies within rounding of the ``nearest``-th, all linked ones that do."""
+        found = found[found >= 0]
+        scores = self.unit[found] @ query
+        if len(found) <= nearest:
+            return found
+        # A product of unit vectors is off by less than this; both of those compared are.
+        least = -np.partition(-scores, nearest - 1)[nearest - 1] - 4 * (len(query) + 4) * np.finfo(float).eps
+        if scores.min() < least:
+            return found
+        seen = np.zeros(len(self.unit) + 1, bool)
+        seen[found] = seen[-1] = True
+        parts = [found]
+        while len(parts[-1]):
+            # -1 is no link and the last place of ``seen``.
+            new = np.unique(self.links[0][parts[-1]])
+            new = new[~seen[new]]
+            seen[new] = True
+            parts.append(new[self.unit[new] @ query >= least])
+        return np.concatenate(parts)
+
     def _layer(self, queries, entry, level, beam) -> np.ndarray:
         unit, links = self.unit[self.layers[level]], self.links[level]
         n, m = len(unit), len(queries)
@@ -143,7 +167,7 @@ class Graph:
         entry = np.sort(entry, 1)
         entry[:, 1:][entry[:, 1:] == entry[:, :-1]] = -1
         place = np.full((m, beam), -1, np.int64)
-        score = np.full((m, beam), -np.inf, np.float32)
+        score = np.full((m, beam), -np.inf)
         width = min(beam, entry.shape[1])
         place[:, :width] = entry[:, :width]
         here = place[:, :width] >= 0
@@ -166,7 +190,7 @@ class Graph:
             seen[active[:, None], near] = True
             # Links of all opened vectors at once, but only those that are new.
             who, which = np.nonzero(new)
-            values = np.full(near.shape, -np.inf, np.float32)
+            values = np.full(near.shape, -np.inf)
             values[who, which] = np.einsum("ij,ij->i", unit[near[who, which]], queries[active[who]])
             scores = np.concatenate([score[active], values], 1)
             places = np.concatenate([place[active], near], 1)
@@ -241,10 +265,11 @@ def _found(row: dict, query_ids: np.ndarray, queries: np.ndarray, nearest: int)
     numbers = np.frombuffer(row["ids"], np.int64).reshape(len(whole), -1)
     layers = [np.frombuffer(x, np.int32) for x in row["layers"]]
     links = [np.frombuffer(x, np.int32).reshape(len(a), -1) for x, a in zip(row["links"], layers, strict=True)]
-    places = Graph(_unit(whole), layers, links).search(_unit(queries))[:, : 3 * nearest + 1]
+    graph, units = Graph(_unit(whole), layers, links), _unit(queries)
     out = []
-    for query_id, q, some in zip(query_ids.tolist(), queries, places, strict=True):
-        some = some[some >= 0]
+    for query_id, q, unit, some in zip(query_ids.tolist(), queries, units, graph.search(units), strict=True):
+        # One more than asked for, since the query itself may be among them.
+        some = graph.within_rounding(unit, some, nearest + 1)
         scores = cosines(q, whole[some])
         pairs = [
             (-s, i)

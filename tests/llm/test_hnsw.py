@@ -75,6 +75,34 @@ def test_edges_against_brute_force(spark, monkeypatch):
     assert hnsw.search(hnsw.index(table.limit(0)), table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("noise", [1e-3, 3e-4, 1e-5])
+def test_recall_in_a_group_of_near_copies(spark, noise):
+    """A third of the rows differ by less than single precision can rank."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 64))
+    x[:1000] = x[0] + noise * rng.normal(size=(1000, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    table = hnsw.vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    got = hnsw.search(hnsw.index(table), table.filter("vec_id % 20 = 0 and vec_id < 1000")).collect()
+    want = {q: some for q, some in brute(rows, 20).items() if q < 1000}
+    assert recall(got, want) > 0.95
+
+
+def test_ties_do_not_end_at_the_beam():
+    """Of many multiples of one vector the smallest ids are the nearest."""
+    n = 1000
+    x = np.random.default_rng(9).normal(size=(n, 16))
+    x[: n // 2] = x[0] * 2.0 ** np.random.default_rng(2).permutation(n // 2)[:, None]
+    ids = np.random.default_rng(4).permutation(n)
+    graph = hnsw.Graph.build(hnsw._unit(x), 0)
+    row = {
+        "dim": 16, "vectors": x.tobytes(), "ids": np.column_stack([np.ones(n, np.int64), ids]).tobytes(),
+        "layers": [a.tobytes() for a in graph.layers], "links": [a.tobytes() for a in graph.links],
+    }
+    got = [i for _, i, _ in hnsw._found(row, np.array([-1]), x[:1], 5)]
+    assert got == sorted(ids[: n // 2].tolist())[:5]
+
+
 def test_query_recall(spark, small):
     got = hnsw.op9_hnsw(spark, small).collect()
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
