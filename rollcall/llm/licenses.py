@@ -1,9 +1,10 @@
 """Licence scans: phrases and tags by Aho-Corasick, licence expressions by a shunting yard.
 
 A text becomes its words (lower case, no punctuation) with single spaces. One automaton over it
-finds every phrase at word borders, however they overlap, in one pass over the whole text. Where
-it meets the words of an SPDX tag, the expression behind the tag is read from the raw text,
-brought into postfix order and evaluated: ``or`` is the licensee's choice (the freer side),
+finds every phrase at word borders, however they overlap, in one pass over the whole text. Wherever
+it meets the words of an SPDX tag, one expression is read from the raw text between this tag and the
+next. It may begin on a later line than the tag and goes on over line ends that leave an operator or
+a bracket open. It is brought into postfix order and evaluated: ``or`` is the licensee's choice (the freer side),
 ``and`` binds to both (the stricter side), ``with`` adds an exception and binds strongest.
 """
 
@@ -70,7 +71,7 @@ _WORD_TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
     for c in range(256)
 )
-_RAW_TAG = re.compile(rb"spdx[^a-z0-9\n]+license[^a-z0-9\n]+identifier[^a-z0-9\n(]*(?=[a-z0-9(])([^\n]*)")
+_BEGIN = re.compile(r"[a-z0-9(]")
 _TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+:-]*")
 
 OUT = T.StructType([
@@ -159,11 +160,37 @@ def evaluate(tokens: list[str]) -> tuple[set[str], float] | None:
     return stack[0] if len(stack) == 1 else None
 
 
+def behind(text: str) -> str:
+    """The expression in the text behind a tag: up to the first line end at which nothing is open."""
+    text = text.lower()
+    begin = _BEGIN.search(text)
+    taken, depth, last = [], 0, "("
+    for line in text[begin.start() :].split("\n") if begin else []:
+        taken.append(line)
+        for last in _TOKEN.findall(line):  # noqa: B007
+            depth += (last == "(") - (last == ")")
+        if depth <= 0 and last != "(" and last not in BINDING:
+            break
+    return "\n".join(taken)
+
+
+def tagged(raw: bytes, places: list[int]) -> list[tuple[set[str], float | None]]:
+    """What the expression of each tag says; ``places`` are the numbers of the tags' first words."""
+    spans = [x.span() for x in re.finditer(rb"[^ ]+", raw.translate(_WORD_TABLE))]
+    ends = [*(spans[x][0] for x in places[1:]), len(raw)]
+    out = []
+    for place, end in zip(places, ends, strict=True):
+        tokens = postfix(behind(raw[spans[place + TAG.count(" ")][1] : end].decode(errors="replace")))
+        result = evaluate(tokens) if tokens else None
+        out.append(result or ({"spdx:invalid"}, None))
+    return out
+
+
 def scan(text: str | None) -> dict:
     """All counts and labels of one whole text. Null and empty texts have none and score 0."""
     raw = (text or "").encode()
     words = raw.translate(_WORD_TABLE).split()
-    base, notices, tagged = [], set(), False
+    base, notices, tags = [], set(), []
     if words:
         joined = b" " + b" ".join(words) + b" "
         counted = at = 0
@@ -174,17 +201,17 @@ def scan(text: str | None) -> dict:
             elif kind == "notice":
                 notices.add(label)
             else:
-                tagged = True
+                tags.append(end - len(phrase) - 1)
         for start, label in sorted(starts):
             counted += joined.count(b" ", at, start)
             at = start
             base.append((counted, label))
-    expressions = []
-    if tagged:
-        for match in _RAW_TAG.finditer(raw.lower()):
-            tokens = postfix(match[1].decode(errors="replace"))
-            result = evaluate(tokens) if tokens else None
-            expressions.append(result or ({"spdx:invalid"}, None))
+        counted = at = 0
+        for i, start in enumerate(tags):
+            counted += joined.count(b" ", at, start)
+            at = start
+            tags[i] = counted
+    expressions = tagged(raw, tags) if tags else []
     base_labels = {label for _, label in base}
     own = notices.union(*(x for x, _ in expressions))
     doubt = (1 - PHRASE_WEIGHT) ** len(base_labels)

@@ -74,6 +74,24 @@ def test_tags():
     assert licenses.scan("SPDX-License-Identifier: MIT AND (")["labels"] == "spdx:invalid"
 
 
+@pytest.mark.parametrize(
+    ("text", "labels", "freedom"),
+    [
+        ("SPDX-License-Identifier: MIT SPDX-License-Identifier: GPL-2.0-only", "gpl,mit", 0.3),
+        ("x SPDX-License-Identifier: MIT OR GPL-2.0 x SPDX-License-Identifier: MPL-2.0 y", "gpl,mit,mpl", 0.6),
+        ("SPDX-License-Identifier: SPDX-License-Identifier: MIT", "mit,spdx:invalid", 1.0),
+        ("é SPDX-License-\n * Identifier: GPL-2.0-only", "gpl", 0.3),
+        ("# SPDX-License-Identifier:\r\n#   MIT\nor not", "mit", 1.0),
+        ("SPDX-License-Identifier: (MIT AND\n// GPL-2.0)\nand code", "gpl,mit", 0.3),
+        ("SPDX-License-Identifier: MIT OR\n  Apache-2.0\nand code", "apache,mit", 1.0),
+        ("MPL-2.0 SPDX-License-Identifier:", "spdx:invalid", None),
+    ],
+)
+def test_every_tag_has_its_expression(text, labels, freedom):
+    row = licenses.scan(text)
+    assert row["labels"] == labels and row["freedom"] == (freedom if freedom is None else pytest.approx(freedom))
+
+
 def test_query(spark, small, documents):
     df = documents(list(enumerate(TEXTS)) + [(None, "mit license")], ["1 as n_words", "2 as score", "'l' as labels"])
     from pyspark.sql import functions as F
