@@ -43,7 +43,7 @@ HIDDEN, WINDOW = 16, 16
 WARM_ROWS, WARM_EPOCHS, WARM_SIDE_BY_SIDE = 600, 2, 48
 RATE = 0.1
 #: Words that a task holds at once, texts side by side in scoring and in training.
-CHUNK_WORDS, SIDE_BY_SIDE, TRAIN_SIDE_BY_SIDE = 3_000_000, 4096, 1024
+CHUNK_WORDS, SIDE_BY_SIDE, TRAIN_SIDE_BY_SIDE = 3_000_000, 4096, 256
 #: Words that a counting task holds, floats in a block of weights, partial means of a block.
 COUNTED, BLOCK, SLOTS = 1_000_000, 1 << 14, 256
 
