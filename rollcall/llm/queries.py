@@ -1,6 +1,7 @@
 """Every query of this subpackage, by name."""
 
 from rollcall.llm import (  # noqa: F401
+    alignment,
     hnsw,
     language_model,
     licenses,

@@ -1,0 +1,127 @@
+from __future__ import annotations
+
+import hashlib
+from collections import Counter
+
+import public_tokenizers as P
+import pyarrow as pa
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from rollcall.llm import alignment as al
+from rollcall.llm.common import table
+
+ODD = [
+    "", " ", "a", "  two  spaces ", "tab\tand\nline \n\n end", "<|endoftext|> </s> <s> <unk> <0x41>",
+    "U+2581 ▁ here", "naïve café – “quoted” 12,345.67 €", "日本語のテキスト", "🙂🙂 emoji", "\x00 nul \x1c \x85   x",
+    "it's we'll they've I'd", "a \n b\n c", "x\r\n y", "word " * 400, "é combining", "　wide  em", "a b ​ c",
+    "x" * 3000, "end space ", " front space", "a\n  b", "''' \"\"\" ``` --- ...", "1234567890 12 345",
+]
+
+
+def plain(texts: list[str | None]) -> list[tuple]:
+    """Whole texts through both tokenizers, token by token."""
+    a = Tokenizer.from_file(P.path(al.VOCABULARY_A))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=P.path(al.VOCABULARY_B))
+    of_a = {v: k for k, v in a.get_vocab().items()}
+    symbols = al.byte_symbols()
+
+    def piece(i):
+        p = b.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode()
+
+    read = []
+    for text in texts:
+        ia = a.encode(" " + text, add_special_tokens=False).ids if text else []
+        ib = b.encode(text) if text else []
+        ba, bb = [bytes(symbols[c] for c in of_a[i]) for i in ia], [piece(i) for i in ib]
+        if not text or not b"".join(ba) == b"".join(bb) == (" " + text).encode():
+            read.append(([], [], [], ""))
+            continue
+        ends_a, ends_b, at = {}, {}, 0
+        for k, x in enumerate(ba):
+            at += len(x)
+            ends_a[at] = k
+        at = 0
+        for k, x in enumerate(bb):
+            at += len(x)
+            ends_b[at] = k
+        both = sorted(set(ends_a) & set(ends_b))
+        groups, last_a, last_b = [], 0, 0
+        for end in both:
+            ka, kb = ends_a[end] + 1, ends_b[end] + 1
+            groups.append(",".join(map(str, ia[last_a:ka])) + "|" + ",".join(map(str, ib[last_b:kb])))
+            last_a, last_b = ka, kb
+        links = [(ia[ends_a[e]], ib[ends_b[e]]) for e in both]
+        read.append((ia, ib, links, hashlib.sha256(";".join(groups).encode()).hexdigest()))
+    count = Counter(x for r in read for x in r[2])
+    most = Counter()
+    for (_, ib), n in count.items():
+        most[ib] = max(most[ib], n)
+    return [
+        (len(ia), len(ib), len(links), len(links), sum(count[x] == most[x[1]] for x in links), sum(count[x] for x in links), digest)
+        for ia, ib, links, digest in read
+    ]
+
+
+COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def check(found, ids, texts):
+    want = sorted(zip(ids, plain(texts), strict=True), key=repr)
+    got = sorted(((r["doc_id"], tuple(r[c] for c in COLUMNS)) for r in found.collect()), key=repr)
+    assert got == want
+
+
+def test_odd_texts_and_edges(spark, documents):
+    texts = [*ODD, None, ODD[7], ODD[7]]
+    ids = [*range(len(ODD)), None, 7, 7]
+    docs = documents(list(zip(ids, texts, strict=True)), ["1 as chunk", "2 as links", "3 as pair", "4 as n_a"])
+    check(al.alignment(docs.repartition(3)), ids, texts)
+    assert al.alignment(documents([])).collect() == []
+    check(al.alignment(documents([(1, None), (2, "")])), [1, 2], [None, ""])
+
+
+def test_small_chunks(spark, documents, monkeypatch):
+    monkeypatch.setattr(al, "CHUNK_BYTES", 10)
+    a, b = al.sides(P.path(al.VOCABULARY_A), P.path(al.VOCABULARY_B))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(ODD))), pa.array(ODD)], ["doc_id", "text"])
+    parts = list(al._slices(batch))
+    assert sum(p.num_rows for p in parts) == len(ODD) and len(parts) > 10
+    for p in parts:
+        numbers, digests, links, _ = al.aligned(a, b, p.column(1))
+        want = plain(p.column(1).to_pylist())
+        assert [tuple(x) for x in zip(*(numbers[c].tolist() for c in al.NUMBERS), strict=True)] == [w[:3] for w in want]
+        assert digests.to_pylist() == [w[6] for w in want]
+
+
+def test_words_alone_give_the_tokens_of_the_text():
+    """Encoding between single spaces is encoding the whole text, for many scripts."""
+    a, b = al.sides(P.path(al.VOCABULARY_A), P.path(al.VOCABULARY_B))
+    some = [chr(c) for c in range(33, 0x2600) if not 0xD800 <= c < 0xE000 and c != 0x2581]
+    words = ["".join(some[i : i + 3]) + x for i in range(0, len(some), 3) for x in ("", "\n", "1s")]
+    for at in range(0, len(words), 40):
+        text = " ".join(words[at : at + 40])
+        for side in (a, b):
+            whole, = side.encode([text])
+            assert [i for w in side.encode(words[at : at + 40]) for i in w] == whole
+
+
+def test_ranks_give_the_ids_of_the_tokenizer():
+    """Every character of the fast way, beside letters, digits, marks, white space and each other."""
+    a, _ = al.sides(P.path(al.VOCABULARY_A), P.path(al.VOCABULARY_B))
+    some = [chr(c) for c in range(ord(al.PLAIN))]
+    sides = ["x", "7", "!", " ", "\n", "'", "é", "  ", "'s"]
+    texts = [left + c + right for c in some for left in sides for right in ("", *sides)]
+    texts += [c + d for c in some for d in some]
+    assert a.ranked is not None and a.encode(texts) == a.exact(texts)
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_table_against_plain(spark, small, partitions):
+    docs = table(spark, small, "documents").repartition(partitions)
+    listed = docs.select("doc_id", "text").collect()
+    check(al.alignment(docs.withColumn("best", F.lit(1))), [r[0] for r in listed], [r[1] for r in listed])
