@@ -9,6 +9,7 @@ from rollcall.llm import (  # noqa: F401
     packing,
     quality_gam,
     quality_rules,
+    runs,
     simhash,
     toxicity,
     warc,

@@ -1,0 +1,121 @@
+from __future__ import annotations
+
+import hashlib
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from rollcall.llm import runs as r
+from rollcall.llm.common import table
+
+
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def plain_runs(words: list) -> list[tuple[int, int, int]]:
+    """Every period, every stretch where words q apart are the same; smallest period per stretch."""
+    n, found = len(words), {}
+    for q in range(1, n):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            length = j - i + q
+            if length >= max(6, 4 * q):
+                found.setdefault((i, length), q)
+            i = j
+    return sorted((s, length, q) for (s, length), q in found.items())
+
+
+def plain(doc_id, text: str | None) -> tuple:
+    words = (text or "").encode().split()
+    n = len(words)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    runs = plain_runs(words)
+    best = min(runs, key=lambda x: (-Fraction(x[1], x[2]), x[0], x[2]), default=None)
+    dropped = {i for s, length, q in runs for i in range(s + q, s + length)}
+    kept = b" ".join(w for i, w in enumerate(words) if i not in dropped).decode()
+    numbers = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+    return doc_id, len(runs), *numbers, sha("".join(f"{s},{m},{q}\n" for s, m, q in runs)), sha(kept)
+
+
+def check(found, rows):
+    got = sorted((tuple(x) for x in found.collect()), key=repr)
+    assert got == sorted((plain(*x) for x in rows), key=repr)
+
+
+words = st.lists(st.integers(0, 2), max_size=60)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.builds(lambda a, b, k, c: a + b * k + c, words, st.lists(st.integers(0, 2), max_size=9), st.integers(0, 12), words), max_size=5))
+def test_runs_against_every_period(texts):
+    lengths = np.array([len(t) for t in texts], np.int64)
+    found = r.runs_of(np.array([w for t in texts for w in t], np.int64), lengths).to_numpy().tolist()
+    want = [[i, *run] for i, t in enumerate(texts) for run in plain_runs(t)]
+    assert found == sorted(want)
+
+
+@pytest.mark.parametrize("letters", [1, 2, 3, 40])
+def test_extensions_against_comparing(letters):
+    rng = np.random.default_rng(letters)
+    inner = np.concatenate([rng.integers(0, letters, 300), np.tile(rng.integers(0, letters, 7), 50), np.zeros(90, int)])
+    s = np.concatenate([[-1], inner, [-2]])
+    grammar = r.Grammar(s)
+    i, j = rng.integers(1, len(s) - 1, (2, 4000))
+    i, j = i[i != j], j[i != j]
+
+    def alike(a, b, step):
+        n = 0
+        while s[a] == s[b]:
+            a, b, n = a + step, b + step, n + 1
+        return n
+
+    for step in (1, -1):
+        assert grammar.agree(i, j, step).tolist() == [alike(a, b, step) for a, b in zip(i, j, strict=True)]
+
+
+def test_grammar_shrinks():
+    rng = np.random.default_rng(5)
+    s = np.concatenate([[-1], rng.integers(0, 3, 20_000), [-2]])
+    sizes = [len(x.symbols) for x in r.Grammar(s).rounds]
+    assert len(sizes) < 60 and sum(sizes) < 8 * len(s)
+
+
+def test_small_texts(spark, documents, monkeypatch):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0][:6]
+    rows = [
+        (1, None), (2, ""), (3, " \n\t "), (4, "a " * 6), (5, "a " * 5), (6, "a b " * 4), (7, "a b " * 3 + "a"),
+        (8, "x " + "a b c " * 9 + "a b y " + "q " * 30), (9, "a a a a a a b " * 5), (10, "é x é x " * 5),
+        (None, "z " * 9), (4, "a " * 6), (4, "a " * 6), (11, "w " * 3000), (12, "a b a b a b a b a a a a a a"),
+        *((i, "one two three four five six seven eight nine ten " * 3) for i in ids), (ids[0], "alone"), (ids[1], None),
+    ]
+    docs = documents(rows, ["7 as n_runs", "8 as start", "'x' as runs_sha256"])
+    check(r.run_summary(docs, plant=True), rows)
+    monkeypatch.setattr(r, "ASKED", 50)
+    assert r.summarised([x[1].encode().split() for x in rows[3:10]]) == [
+        plain(None, x[1])[1:] for x in rows[3:10]
+    ]
+    assert r.run_summary(documents([])).collect() == []
+
+
+def test_table_against_plain(spark, small):
+    docs = table(spark, small, "documents").repartition(3)
+    rows = [(x["doc_id"], x["text"]) for x in docs.collect() if len(x["text"] or "") < 12_000]
+    found = r.run_summary(docs.filter("text is null or length(text) < 12000"), plant=True)
+    assert any(zlib.crc32(str(x[0]).encode()) % 10 == 0 for x in rows)
+    check(found, rows)
