@@ -3,6 +3,7 @@
 from rollcall.llm import (  # noqa: F401
     alignment,
     hnsw,
+    language_id,
     language_model,
     licenses,
     mixing,
