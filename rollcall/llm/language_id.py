@@ -3,9 +3,8 @@
 **Letters.** Texts are read in lower case, and everything between letters is one space; a text
 without a letter has no language. Characters get a number where they occur in the samples.
 
-**Samples.** Labelled texts are picked by a hash of the id, a bounded number for each language; of
-all their pieces of ``PIECE`` characters, wherever they stand in a text, those with the smallest
-hashes are kept until a language has its share of ``SAMPLE`` characters.
+**Samples.** Labelled texts are picked by a hash of the id, about as many of each language; of their pieces of ``PIECE`` characters, wherever they stand in a text, those with the smallest hashes
+are kept until a language has its share of ``SAMPLE`` characters.
 
 **Automaton.** A suffix automaton of each language's pieces accepts exactly the strings that occur in
 one of them. A text is parsed greedily: a phrase goes on while the automaton accepts it, the next
@@ -34,7 +33,7 @@ from rollcall.llm.registry import query
 
 FOLDS, HELD = 3, 1
 UNKNOWN = "und"
-#: Labelled texts of a language to take pieces from; characters of a piece.
+#: Labelled texts of a language to take pieces from, as hashes fall; characters of a piece.
 LEARN_ROWS, PIECE = 1_000, 256
 #: Characters of all languages' samples together, and of one language's at most.
 SAMPLE, OF_ONE = 1 << 18, 1 << 15
@@ -185,7 +184,7 @@ class Languages:
 def learned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Languages:
     """Automata from a bounded sample of the labelled texts that are not held out.
 
-    Texts without an id, a language or a letter count for nothing. Of a language with fewer than
+    Texts without an id, a language or a letter count for nothing. Of a language with at most
     ``LEARN_ROWS`` texts all are used; rows that repeat an id are taken or left together.
     """
     spark = docs.sparkSession
@@ -194,11 +193,11 @@ def learned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     known = docs.filter(wanted & ~held_out(doc_id, FOLDS, HELD)).select(
         F.col(lang).cast("string").alias("lang"), order.alias("order"), F.col(text).alias("text")
     )
-    # Only hashes are ranked; every task keeps the first of each language before the shuffle.
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    first = known.select("lang", "order").withColumn("place", place).filter(F.col("place") <= LEARN_ROWS)
-    last = first.groupBy(F.col("lang").alias("of")).agg(F.max("order").alias("last")).collect()
-    # One row a language, as many as there are automata here.
+    # The share of hashes that gives a language its rows; one row a language, as many as automata.
+    sizes = known.groupBy("lang").count().collect()
+    span = (1 << 64) - 1
+    last = [(r["lang"], min(1.0, LEARN_ROWS / r["count"])) for r in sizes]
+    last = [(name, int(part * span) - (1 << 63) if part < 1 else (1 << 63) - 1) for name, part in last]
     limits = F.broadcast(spark.createDataFrame(last, "of string, last bigint"))
     some = known.join(limits, (F.col("lang") == F.col("of")) & (F.col("order") <= F.col("last")))
 
