@@ -42,7 +42,7 @@ from rollcall.llm.registry import query
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that a task works on at once (a longer text: by itself).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Strings below this character have the same ids in both libraries for A.
 PLAIN = "\u0250"
 #: An id pair as one number: A's id in the upper half.
