@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from rollcall.llm import alignment as al
 from rollcall.llm.common import table
+from tables import documents  # noqa: F401
 
 ODD = [
     "", " ", "a", "  two  spaces ", "tab\tand\nline \n\n end", "<|endoftext|> </s> <s> <unk> <0x41>",

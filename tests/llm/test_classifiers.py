@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from rollcall.llm import quality_gam, toxicity
+from tables import documents  # noqa: F401
 
 NEUTRAL = [f"word{i}" for i in range(300)]
 TOXIC = ["vilefool", "vilemess", "rotbrain"]

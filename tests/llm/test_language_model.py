@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from rollcall.llm import language_model as lm
+from tables import documents  # noqa: F401
 
 
 def plain_tokens(text):

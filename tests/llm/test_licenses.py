@@ -6,6 +6,7 @@ import re
 import pytest
 
 from rollcall.llm import licenses
+from tables import documents  # noqa: F401
 
 TEXTS = [
     None, "", " \n", "MIT License", "the MIT  license, mit-license; MIT LICENSES", "mit license mit license",

@@ -8,6 +8,7 @@ import pytest
 from oracle import same
 
 from rollcall.llm import mixing
+from tables import documents  # noqa: F401
 
 
 def plain_targets(sizes):

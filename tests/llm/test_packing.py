@@ -10,6 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from rollcall.llm import packing
+from tables import documents  # noqa: F401
 
 PATH = public_tokenizers.path(packing.VOCABULARY)
 

@@ -12,6 +12,7 @@ from test_packing import check
 from test_simhash import plain_components, plain_fingerprint
 
 from rollcall.llm import mixing, quality_rules, toxicity
+from tables import documents  # noqa: F401
 
 
 @pytest.fixture

@@ -7,6 +7,7 @@ from collections import Counter
 from oracle import same
 
 from rollcall.llm import quality_rules as rules
+from tables import documents  # noqa: F401
 
 CASES = [
     None, "", " \n\t ", "one", "a b c d e f g h", "a b c d e f g h " * 3, "x " * 50,

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 
 from rollcall.llm import runs as r
 from rollcall.llm.common import table
+from tables import documents  # noqa: F401
 
 
 def sha(text: str) -> str:

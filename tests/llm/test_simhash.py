@@ -8,6 +8,7 @@ import xxhash
 
 from rollcall.llm import simhash
 from rollcall.llm.components import components
+from tables import documents  # noqa: F401
 
 
 def plain_fingerprint(text):
