@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import subprocess
 import sys
 from pathlib import Path
 
@@ -36,3 +37,15 @@ def test_contract(spark, small):
     assert set(contract.queries()) >= set(QUERIES)
     assert set(contract.oracle_sql()) >= set(QUERIES)
     assert contract.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("module", ["xxhash", "rollcall.llm.common", "rollcall.llm.queries"])
+def test_entry_without_a_library_of_the_training_data_part(module):
+    """Whatever the training-data part cannot import, the other queries stay."""
+    code = (
+        f"import sys, warnings; sys.modules[{module!r}] = None; warnings.simplefilter('ignore')\n"
+        "import __spark_entry__ as e; from rollcall.plans.catalogue import QUERIES\n"
+        "assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(QUERIES)"
+    )
+    root = Path(__file__).resolve().parents[1]
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
