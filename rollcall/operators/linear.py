@@ -14,13 +14,15 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rollcall.functions.tails import f_tail, t_quantile, t_sf, t_two_sided
 from rollcall.operators.keys import REGION, Keys, as_list
-from rollcall.operators.moments import PARTS, Moments, merge_all, pair_moments
+from rollcall.operators.moments import MERGE_FAN_IN, PARTS, Moments, moment_rows, pair_moments, stack_of
 
 INTERCEPT = "(Intercept)"
 
@@ -89,6 +91,10 @@ def moments(df: DataFrame, cols: Sequence[str], by: Keys = ()) -> DataFrame:
     return pair_moments(numeric.dropna(subset=list(cols)), list(cols), by)
 
 
+#: A column whose share not explained by the model's columns is smaller is a combination of them.
+TOLERANCE = 1e-10
+
+
 class _Model:
     """Means and centred cross-products with the response in column 0."""
 
@@ -98,23 +104,14 @@ class _Model:
         self.cross = m.cross
         self.scale = np.sqrt(np.maximum(np.diag(self.cross), 0.0))
 
-    def estimable(self, columns: Sequence[int], tolerance: float = 1e-10) -> list[int]:
+    def estimable(self, columns: Sequence[int]) -> list[int]:
         """The columns that are not a linear combination of earlier ones."""
-        kept: list[int] = []
-        for c in columns:
-            if self.scale[c] == 0:
-                continue
-            if kept:
-                r = self._scaled(kept)
-                v = self.cross[kept, c] / (self.scale[kept] * self.scale[c])
-                if 1.0 - v @ np.linalg.solve(r, v) < tolerance:
-                    continue
-            kept.append(c)
-        return kept
-
-    def _scaled(self, columns: Sequence[int]) -> np.ndarray:
-        s = self.scale[list(columns)]
-        return self.cross[np.ix_(columns, columns)] / np.outer(s, s)
+        return _Swept(self, columns).kept
+
+    def correlations(self) -> np.ndarray:
+        """Cross-products in units of the columns' scales; a column without spread has zeros."""
+        s = np.where(self.scale > 0, self.scale, 1.0)
+        return np.where(np.outer(self.scale, self.scale) > 0, self.cross / np.outer(s, s), 0.0)
 
     def fit(self, columns: Sequence[int]) -> tuple[np.ndarray, np.ndarray, float]:
         """Slopes, the inverse of the centred cross-products, and the residual sum of squares."""
@@ -123,28 +120,84 @@ class _Model:
             return np.zeros(0), np.zeros((0, 0)), total
         columns = list(columns)
         s = self.scale[columns]
-        inverse = np.linalg.inv(self._scaled(columns))
+        inverse = np.linalg.inv(self.cross[np.ix_(columns, columns)] / np.outer(s, s))
         beta = inverse @ (self.cross[columns, 0] / s)
         rss = total - beta @ (self.cross[columns, 0] / s)
         return beta / s, inverse / np.outer(s, s), max(rss, 0.0)
 
-    def criterion(self, columns: Sequence[int], penalty: float, corrected: bool) -> float:
+    def criterion(self, share: float, columns: int, penalty: float, corrected: bool) -> float:
         """n ln(RSS / n) + penalty x coefficients, with the small-sample term if ``corrected``.
 
-        NaN where the model leaves no residual freedom or fits exactly: there is nothing to compare.
+        ``share`` is RSS in units of the response's sum of squares. NaN where the model leaves no
+        residual freedom or fits exactly: there is nothing to compare.
         """
-        columns = self.estimable(columns)
-        size = len(columns) + 1
-        rss = self.fit(columns)[2]
-        if self.n <= size or rss <= 0:
+        size = columns + 1
+        if self.n <= size or share <= 0 or self.cross[0, 0] <= 0:
             return math.nan
-        value = self.n * math.log(rss / self.n) + penalty * size
+        value = self.n * math.log(share * self.cross[0, 0] / self.n) + penalty * size
         if corrected:
             free = self.n - size - 2
             value += 2.0 * (size + 1) * (size + 2) / free if free > 0 else math.inf
         return value
 
 
+class _Swept:
+    """The scaled cross-products with a model's columns swept in.
+
+    A sweep of one column takes p^2 steps. Afterwards the response's own entry is the residual sum
+    of squares, and one division says what it would be with any other column in, or any column of
+    the model out.
+    """
+
+    def __init__(self, m: _Model, columns: Sequence[int]):
+        self.a = m.correlations()
+        #: Columns in the model, and columns that are combinations of these.
+        self.kept: list[int] = []
+        self.spare: list[int] = []
+        for c in columns:
+            self.add(c)
+
+    def add(self, c: int) -> None:
+        if self.a[c, c] < TOLERANCE:
+            self.spare.append(c)
+        else:
+            self._sweep(c, 1.0)
+            self.kept.append(c)
+
+    def _sweep(self, c: int, sign: float) -> None:
+        a, d = self.a, self.a[c, c]
+        row = a[c].copy()
+        a -= np.outer(row, row / d)
+        a[c] = a[:, c] = sign * row / d
+        a[c, c] = -1.0 / d
+
+    @property
+    def share(self) -> float:
+        return self.a[0, 0]
+
+    def with_column(self, c: int) -> tuple[float, int]:
+        """RSS share and number of columns with one more column."""
+        d = self.a[c, c]
+        if c in self.spare or d < TOLERANCE:
+            return self.share, len(self.kept)
+        return self.share - self.a[0, c] ** 2 / d, len(self.kept) + 1
+
+    def without_column(self, c: int) -> tuple[float, int]:
+        """RSS share and number of columns with one column of the model less."""
+        if c in self.spare:
+            return self.share, len(self.kept)
+        if not self.spare:
+            return self.share - self.a[0, c] ** 2 / self.a[c, c], len(self.kept) - 1
+        # A combination of this column and others may take its place.
+        left = object.__new__(_Swept)
+        left.a, left.spare = self.a.copy(), []
+        left.kept = [k for k in self.kept if k != c]
+        left._sweep(c, -1.0)
+        for d in self.spare:
+            left.add(d)
+        return left.share, len(left.kept)
+
+
 def _coefficients(m: _Model, xs: Sequence[str], columns: Sequence[int], level: float) -> dict:
     kept = m.estimable(columns)
     slopes, inverse, rss = m.fit(kept)
@@ -259,39 +312,45 @@ def _search(
 ) -> list[dict]:
     """The path of a stepwise search: the start and each accepted move."""
     # One column order per model, whatever the order of the moves, so that a model has one value.
-    def value(columns: list[int]) -> float:
-        return m.criterion(sorted(columns, key=lambda c: xs[c - 1]), penalty, corrected)
+    def swept(columns: list[int]) -> _Swept:
+        return _Swept(m, sorted(columns, key=lambda c: xs[c - 1]))
+
+    def value(share: float, size: int) -> float:
+        return m.criterion(share, size, penalty, corrected)
 
     # Rounding of n ln(RSS / n) grows with n; a gain below it is no gain.
     tolerance = 1e-9 + 1e-14 * m.n
-    current = list(start)
-    best = value(current)
+    current, model = list(start), swept(start)
+    best = value(model.share, len(model.kept))
     path = [{"move": "start", "columns": list(current), "criterion": best, "reason": None}]
     if math.isnan(best):
         path[0]["reason"] = "no residual freedom"
         return path
     while True:
-        moves = []
+        scored = []
         if direction in ("backward", "both"):
-            moves += [
-                (f"- {xs[c - 1]}", [d for d in current if d != c])
+            scored += [
+                (value(*model.without_column(c)), f"- {xs[c - 1]}", [d for d in current if d != c])
                 for c in current
                 if c not in lower
             ]
         if direction in ("forward", "both"):
-            moves += [
-                (f"+ {x}", [*current, c])
+            scored += [
+                (value(*model.with_column(c)), f"+ {x}", [*current, c])
                 for c, x in enumerate(xs, start=1)
                 if c not in current
             ]
-        scored = [(value(cols), move, cols) for move, cols in moves]
         scored = [s for s in scored if not math.isnan(s[0])]
         least = min((s[0] for s in scored), default=math.inf)
         if least >= best - tolerance:
             return path
-        best, move, current = min(
-            (s for s in scored if s[0] <= least + tolerance), key=lambda s: s[1]
-        )
+        _, move, current = min((s for s in scored if s[0] <= least + tolerance), key=lambda s: s[1])
+        # Swept anew: rounding does not add up over the moves, and values fall from step to step.
+        model = swept(current)
+        reached = value(model.share, len(model.kept))
+        if not reached < best:
+            return path
+        best = reached
         path.append({"move": move, "columns": list(current), "criterion": best, "reason": None})
 
 
@@ -392,31 +451,42 @@ def ols_leave_each_out(
 ) -> DataFrame:
     """The fit without each region in turn, keyed by the region left out.
 
-    Rows are reduced to one moment row per region, the total is merged from those rows, and each
-    region is taken out of it by subtraction, so no fit costs a scan. Rows without a region are
-    not used. A region whose absence leaves no rows is not in the result.
+    Rows are reduced to one moment row per region, and what is left without a region is merged from
+    the others, never subtracted from a total: a region with nearly all rows, or with far larger
+    values, leaves the rest its digits. Regions are dealt into ``MERGE_FAN_IN`` buckets; each
+    bucket's others are merged from the other buckets, and within a bucket each region adds its
+    siblings, so no task holds all regions. Rows without a region are not used. A region whose
+    absence leaves no rows is not in the result.
     """
     xs = list(xs)
     per_region = moments(df.where(F.col(region).isNotNull()), [y, *xs], region)
-    total = merge_all(per_region).select(F.struct(*PARTS)).scalar()
-    columns = list(range(1, len(xs) + 1))
-    fields = [per_region.schema[region], *_FIT_FIELDS]
-    schema = T.StructType(fields)
+    bucket = F.pmod(F.xxhash64(region), F.lit(MERGE_FAN_IN))
+    keyed = per_region.withColumn("_bucket", bucket)
+    lists = T.StructType([T.StructField(p, T.ArrayType(T.DoubleType())) for p in PARTS])
+    keys = T.StructType([T.StructField("_bucket", T.LongType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for record in batch.to_dict("records"):
-                part = Moments.from_flat(*(record[p] for p in PARTS))
-                whole = Moments.from_flat(*(record["_all"][p] for p in PARTS))
-                if whole.n[0, 0] > part.n[0, 0]:
-                    rest = _Model(whole.without(part))
-                    rows += [
-                        {region: record[region]} | row
-                        for row in _coefficients(rest, xs, columns, level)
-                    ]
-            yield pd.DataFrame(rows, columns=schema.names)
+    def total(regions: pa.Table) -> pa.Table:
+        return moment_rows(stack_of(regions).combined([0]), regions.select(["_bucket"]).slice(0, 1))
 
-    out = per_region.withColumn("_all", total).mapInPandas(run, schema)
+    def outside(buckets: pa.Table) -> pa.Table:
+        return moment_rows(stack_of(buckets).others(), buckets.select(["_bucket"]))
+
+    totals = keyed.groupBy("_bucket").applyInArrow(lambda t: total(t), T.StructType([*keys, *lists]))
+    # One row per bucket, as many as the fan-in.
+    rest = totals.groupBy().applyInArrow(lambda t: outside(t), T.StructType([*keys, *lists]))
+    rest = rest.withColumnRenamed("_bucket", "_of")
+    columns = list(range(1, len(xs) + 1))
+    schema = T.StructType([per_region.schema[region], *_FIT_FIELDS])
+
+    def fits(regions: pa.Table, others: pa.Table) -> pa.Table:
+        left = stack_of(regions).others(stack_of(others))
+        rows = []
+        for i, name in enumerate(regions.column(region).to_pylist()):
+            m = Moments(*(getattr(left, p)[i] for p in PARTS))
+            if m.n[0, 0] > 0:
+                rows += [{region: name} | row for row in _coefficients(_Model(m), xs, columns, level)]
+        return pa.Table.from_pylist(rows, schema=to_arrow_schema(schema))
+
+    out = keyed.groupBy("_bucket").cogroup(rest.groupBy("_of")).applyInArrow(lambda r, o: fits(r, o), schema)
     doubles = [f.name for f in _FIT_FIELDS if isinstance(f.dataType, T.DoubleType)]
     return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in doubles})

@@ -3,8 +3,8 @@
 A Spark aggregate per column pair gets slow quickly: 120 covariances took 25 s where this takes
 about 4 s on the same 8 million rows, and sums of products around a known mean need a second
 scan. Here every task folds its Arrow batches into p x p matrices, one stack of them for all groups
-of a batch, and the matrices are merged by a keyed tree, so the last task sees a fixed number of
-them however many input partitions there are.
+of a batch, and the matrices are merged by a keyed tree whose depth follows the number of tasks, so
+that the last task sees a bounded number of them.
 
 Values are centred batch by batch and merged around the joint mean, so columns with a large mean
 and a small spread keep their digits. Null and NaN count as missing.
@@ -25,6 +25,8 @@ from rollcall.operators.keys import Keys, as_list
 
 # Partial results that are merged at a time: per task, and per group in the last step.
 MERGE_FAN_IN = 256
+# Bytes that a task reads, about; sets how many partial results to expect.
+SPLIT_BYTES = 128 << 20
 # Rows a task gathers before it reduces them by group, in bytes of numbers.
 HELD_BYTES = 64 << 20
 
@@ -104,20 +106,44 @@ class Moments:
             np.add.reduceat(self.cross + self.n * gap * gap.swapaxes(1, 2), starts),
         )
 
-    def without(self, part: Moments) -> Moments:
-        """Undo a merge with ``part``."""
-        n = self.n - part.n
-        safe = np.maximum(n, 1.0)
-        mean = self.mean + (self.mean - part.mean) * part.n / safe
-        gap = part.mean - mean
-        weight = n * part.n / np.maximum(self.n, 1.0)
+    def plus(self, other: Moments) -> Moments:
+        """Entry by entry, the moments of the rows of both."""
+        n = self.n + other.n
+        share = other.n / np.maximum(n, 1.0)
+        gap = other.mean - self.mean
+        weight = self.n * share
         return Moments(
             n,
-            mean,
-            self.spread - part.spread - gap**2 * weight,
-            self.cross - part.cross - gap * gap.swapaxes(-1, -2) * weight,
+            # The larger part's mean with a small correction, so that its digits stay.
+            np.where(share > 0.5, other.mean - gap * (1.0 - share), self.mean + gap * share),
+            self.spread + other.spread + gap**2 * weight,
+            self.cross + other.cross + gap * gap.swapaxes(-1, -2) * weight,
         )
 
+    @classmethod
+    def empty(cls, count: int, size: int) -> Moments:
+        return cls(*(np.zeros((count, size, size)) for _ in PARTS))
+
+    def others(self, outside: Moments | None = None) -> Moments:
+        """For every entry of a stack, all other entries (and ``outside``) merged.
+
+        Nothing is taken away from a total, so an entry that outweighs the rest leaves it its
+        digits. Pairs are merged up a tree; on the way down each node adds its sibling to what its
+        parent has already.
+        """
+        size = self.n.shape[-1]
+        levels = [self]
+        while len(levels[-1].n) > 1:
+            if len(levels[-1].n) % 2:
+                levels[-1] = Moments.stacked([levels[-1], Moments.empty(1, size)])
+            pairs = levels[-1]
+            levels.append(pairs.take(np.arange(0, len(pairs.n), 2)).plus(pairs.take(np.arange(1, len(pairs.n), 2))))
+        rest = Moments.empty(1, size) if outside is None else outside
+        for level in reversed(levels[:-1]):
+            places = np.arange(len(level.n))
+            rest = rest.take(places // 2).plus(level.take(places ^ 1))
+        return rest.take(np.arange(len(self.n)))
+
     @classmethod
     def stacked(cls, several: list[Moments]) -> Moments:
         return cls(*(np.concatenate([getattr(m, name) for m in several]) for name in PARTS))
@@ -133,6 +159,13 @@ class Moments:
         return cls(*(a.reshape(size, size) for a in arrays))
 
 
+def stack_of(table: pa.Table) -> Moments:
+    """The moment rows of a table as a stack."""
+    flat = [table.column(p).combine_chunks().flatten().to_numpy() for p in PARTS]
+    size = int(round((len(flat[0]) // table.num_rows) ** 0.5))
+    return Moments(*(values.reshape(-1, size, size) for values in flat))
+
+
 def _by_group(table: pa.Table, by: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """An order of the rows that puts groups together, and the place of each group's first row.
 
@@ -148,6 +181,12 @@ def _by_group(table: pa.Table, by: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.unique(code[order], return_index=True)[1]
 
 
+def moment_rows(found: Moments, keys: pa.Table) -> pa.Table:
+    """One row per entry of a stack, with the key columns as they are."""
+    lists = [pa.field(p, pa.list_(pa.float64())) for p in PARTS]
+    return _rows_of(found, keys, pa.schema([*keys.schema, *lists]))
+
+
 def _rows_of(found: Moments, keys: pa.Table | None, schema: pa.Schema) -> pa.Table:
     """One row per entry of a stack, with its key columns if it has any."""
     columns = [keys.column(c).cast(schema.field(c).type) for c in keys.column_names] if keys else []
@@ -212,33 +251,48 @@ def pair_moments(df: DataFrame, cols: Sequence[str], by: Keys = ()) -> DataFrame
             yield from table.to_batches()
 
     parts = rows.mapInArrow(by_group if by else all_rows, schema)
-    return _merge_tree(parts.withColumn("_bucket", F.spark_partition_id().cast("long")), by)
+    return _merge_tree(parts, by, expected_tasks(df))
 
 
-def _merge_tree(parts: DataFrame, by: list[str]) -> DataFrame:
-    """Merge rows with a ``_bucket`` number per group, ``MERGE_FAN_IN`` buckets at a time.
+def expected_tasks(df: DataFrame) -> int:
+    """About how many tasks read the rows, from the planner's size estimate and the settings.
 
-    The depth covers as many input partitions as Spark can number (a 31-bit number), so a merge
-    holds a fixed count of matrices however many partitions there are.
+    Only the depth of a merge depends on it, not its result. A session that shows no estimate is
+    taken for a large one.
     """
-    for level in (2, 1):
+    spark = df.sparkSession
+    try:
+        # What is read; the estimates of joins above multiply.
+        read = df._jdf.queryExecution().analyzed().collectLeaves()
+        size = sum(int(str(read.apply(i).stats().sizeInBytes())) for i in range(read.size()))
+        least = spark.sparkContext.defaultParallelism
+    except AttributeError:  # a remote session has neither
+        return MERGE_FAN_IN**2
+    return max(size // SPLIT_BYTES, least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _merge_tree(parts: DataFrame, by: list[str], tasks: int) -> DataFrame:
+    """Merge the partial rows of ``tasks`` tasks per group, about ``MERGE_FAN_IN`` at a time.
+
+    Where few tasks read the rows there is but one step; every further step divides the partials
+    of a group by the fan-in. A step folds its rows as they come, so more partials than expected
+    cost time, not memory.
+    """
+    levels = 0
+    while MERGE_FAN_IN ** (levels + 1) < tasks and levels < 2:
+        levels += 1
+    if levels:
+        parts = parts.withColumn("_bucket", F.spark_partition_id().cast("long"))
+    for level in range(levels, 0, -1):
         bucket = F.pmod(F.col("_bucket"), F.lit(MERGE_FAN_IN**level)).alias("_bucket")
         parts = merge_moments(parts.withColumn("_bucket", bucket), [*by, "_bucket"])
     return merge_moments(parts, by)
 
 
-def merge_all(found: DataFrame) -> DataFrame:
-    """One row for all moment rows, merged by a tree: no task sees more than a share of them."""
-    bucket = F.pmod(F.xxhash64(*(c for c in found.columns if c not in PARTS)), F.lit(1 << 24))
-    return _merge_tree(found.select(*PARTS, bucket.alias("_bucket")), [])
-
-
 def _merged(table: pa.Table, by: list[str], arrow: pa.Schema) -> pa.Table:
     """One row per group of a table of moment rows."""
     order, starts = _by_group(table, by)
-    flat = [table.column(p).combine_chunks().flatten().to_numpy() for p in PARTS]
-    size = int(round((len(flat[0]) // table.num_rows) ** 0.5))
-    stack = Moments(*(values.reshape(-1, size, size) for values in flat))
+    stack = stack_of(table)
     keys = table.select(by).take(order[starts]) if by else None
     return _rows_of(stack.take(order).combined(starts), keys, arrow)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from itertools import combinations
 
 import numpy as np
@@ -218,8 +219,13 @@ def test_moments_of_parts_merge_to_the_whole(holes):
     pairs = stack.combined([0, 4])
     same(pairs.take(np.array([1])), Moments.of_rows(x[40:]))
     same(pairs.combined([0]), whole)
-    rest = whole.without(stack.take(np.array([3])))
-    same(rest, Moments.of_rows(np.delete(x, slice(30, 40), axis=0)), atol=1e-4)
+    others = stack.others()
+    for i in range(9):
+        same(others.take(np.array([i])), Moments.of_rows(np.delete(x, slice(10 * i, 10 * i + 10), axis=0)))
+    outside = Moments.of_rows(x[::7])
+    more = stack.others(outside).take(np.array([4]))
+    same(more, Moments.of_rows(np.concatenate([np.delete(x, slice(40, 50), axis=0), x[::7]])))
+    assert (stack.take(np.array([0])).others().n == 0).all()
 
 
 def test_null_group_keys_stay_apart(spark):
@@ -274,13 +280,118 @@ def test_adjusted_r2_and_f(frame, spark):
     assert 0 <= fit["f_p"] < 1e-9
 
 
-def test_leave_each_out_has_no_single_task_merge(frame):
-    """The last merge sees one row per bucket; the regions themselves are dealt out before."""
+def test_leave_each_out_has_no_task_with_all_regions(frame):
+    """Regions are dealt into buckets before any of their rows meet; one step sees the buckets."""
     fits = linear.ols_leave_each_out(frame, "y", ["a"])
-    plan = fits._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("FlatMapGroupsInArrow") >= 3 + 3
-    keyed = [line for line in plan.splitlines() if "FlatMapGroupsInArrow [_bucket" in line]
-    assert len(keyed) >= 2
+    plan = fits._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    steps = [line for line in plan if "InArrow" in line and "MapInArrow" not in line]
+
+    assert sum("CoGroups" in line for line in steps) == 1
+    grouped = [line.split("InArrow ")[1] for line in steps if "CoGroups" not in line]
+    assert sum(line.startswith("[_bucket") for line in grouped) == 1
+    # Without a key: the bucket totals only.
+    assert sum(not line.startswith(("[_bucket", "[region_key")) for line in grouped) == 1
+
+
+def test_leaving_out_a_region_that_outweighs_all_others(spark):
+    """The others keep their digits beside a region with nearly all rows and far larger values."""
+    rng = np.random.default_rng(8)
+    small = [(r, float(x), float(x + 0.1 * e)) for r in range(1, 11) for x, e in rng.normal(size=(10, 2))]
+    x = rng.normal(size=100_000) * 1e6 + 5e6
+    hot = spark.createDataFrame(
+        [(0, float(a), float(b)) for a, b in zip(x, 3 * x + rng.normal(size=len(x)) * 1e6, strict=True)][:100_000],
+        "region_key int, x double, y double",
+    )
+    df = hot.unionByName(spark.createDataFrame(small, "region_key int, x double, y double"))
+    found = {
+        (r["region_key"], r["term"]): r for r in linear.ols_leave_each_out(df.repartition(5), "y", ["x"]).collect()
+    }
+    rest = np.array(small)[:, 1:]
+    centred = rest - rest.mean(axis=0)
+    slope = (centred[:, 0] @ centred[:, 1]) / (centred[:, 0] @ centred[:, 0])
+    assert found[(0, "x")]["estimate"] == pytest.approx(slope, rel=1e-9)
+    assert found[(0, "x")]["n"] == len(small) and len(found) == 2 * 11
+
+
+def test_leave_each_out_of_many_regions_against_refits(spark, monkeypatch):
+    monkeypatch.setattr(linear, "MERGE_FAN_IN", 4)
+    df = spark.range(0, 3000, 1, 7).selectExpr(
+        "if(id % 3 = 0, 0, id % 41) as region_key", "(id * 37 % 101) * 1.5 + 1000 as a", "(id * id) % 89 + id % 5 as y"
+    )
+    found = {(r["region_key"], r["term"]): r for r in linear.ols_leave_each_out(df, "y", ["a"]).collect()}
+    assert len(found) == 2 * 41
+    for left in (0, 1, 17, 40):
+        for r in linear.ols(df.where(f"region_key <> {left}"), "y", ["a"]).collect():
+            got = found[(left, r["term"])]
+            assert got["estimate"] == pytest.approx(r["estimate"], rel=1e-9)
+            assert got["std_error"] == pytest.approx(r["std_error"], rel=1e-9) and got["n"] == r["n"]
+
+
+def one_by_one(x, y, penalty):
+    """A stepwise search, both ways from no terms, that refits every candidate with lstsq."""
+    n = len(y)
+
+    def value(columns):
+        design = np.column_stack([np.ones(n), x[:, columns]])
+        rss = float(np.sum((y - design @ np.linalg.lstsq(design, y, rcond=None)[0]) ** 2))
+        return n * math.log(rss / n) + penalty * np.linalg.matrix_rank(design)
+
+    current, path = [], []
+    best = value(current)
+    while True:
+        moves = [(value([d for d in current if d != c]), f"- x{c:03}", [d for d in current if d != c]) for c in current]
+        moves += [(value([*current, c]), f"+ x{c:03}", [*current, c]) for c in range(x.shape[1]) if c not in current]
+        least = min(m[0] for m in moves)
+        if least >= best - 1e-7:
+            return path, best
+        best, move, current = min((m for m in moves if m[0] <= least + 1e-7), key=lambda m: m[1])
+        path.append(move)
+
+
+def made_model(seed, n, p, twins=()):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, p))
+    x[:, 1:] += 0.7 * x[:, :-1]
+    for a, b in twins:
+        x[:, a] = 2 * x[:, b] + 3
+    return x, x @ (rng.random(p) < 0.2) + rng.normal(size=n)
+
+
+@pytest.mark.parametrize("twins", [(), ((3, 7), (9, 4))])
+def test_sweeps_give_the_path_of_refits(twins):
+    x, y = made_model(4, 150, 18, twins)
+    model = linear._Model(Moments.of_rows(np.column_stack([y, x])).take(0))
+    names = [f"x{c:03}" for c in range(18)]
+    path = linear._search(model, names, [], set(), "both", 2.0, False)
+    want, best = one_by_one(x, y, 2.0)
+    assert [p["move"] for p in path[1:]] == want
+    assert path[-1]["criterion"] == pytest.approx(best, rel=1e-9)
+    back = linear._search(model, names, list(range(1, 19)), set(), "both", 2.0, False)
+    assert back[0]["criterion"] >= back[-1]["criterion"]
+    assert all(a["criterion"] > b["criterion"] for a, b in zip(back, back[1:], strict=False))
+
+
+def test_sweeping_in_and_out():
+    x, y = made_model(5, 80, 9)
+    model = linear._Model(Moments.of_rows(np.column_stack([y, x])).take(0))
+    swept = linear._Swept(model, [1, 2, 5, 8])
+    total = model.cross[0, 0]
+    assert swept.share * total == pytest.approx(model.fit([1, 2, 5, 8])[2])
+    assert swept.with_column(3)[0] * total == pytest.approx(model.fit([1, 2, 5, 8, 3])[2])
+    assert swept.without_column(5)[0] * total == pytest.approx(model.fit([1, 2, 8])[2])
+    swept._sweep(5, -1.0)
+    assert swept.a == pytest.approx(linear._Swept(model, [1, 2, 8]).a)
+
+
+def test_two_hundred_candidates():
+    x, y = made_model(6, 5000, 200)
+    model = linear._Model(Moments.of_rows(np.column_stack([y, x])).take(0))
+    names = [f"x{c:03}" for c in range(200)]
+    start = time.perf_counter()
+    forward = linear._search(model, names, [], set(), "both", math.log(5000), False)
+    backward = linear._search(model, names, list(range(1, 201)), set(), "both", math.log(5000), False)
+    assert time.perf_counter() - start < 30
+    assert forward[-1]["criterion"] == pytest.approx(backward[-1]["criterion"], rel=0.01)
 
 
 def test_many_partials_of_one_group(spark, monkeypatch):
