@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.functions.tails import chi2_sf
+from rollcall.functions.tails import chi2_sf, chi2_sf_one
 
 
 def _n_log(n: Column, by: Column) -> Column:
@@ -153,7 +153,7 @@ def pairwise_g_test(
     out = pairs.select(
         "group_a", "group_b", F.greatest(g, F.lit(0.0)).alias("g"), F.lit(1).alias("df")
     )
-    return out.withColumn("p", chi2_sf(F.col("g"), F.col("df"))) if with_p else out
+    return out.withColumn("p", chi2_sf_one(F.col("g"))) if with_p else out
 
 
 def to_long(

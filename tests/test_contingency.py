@@ -157,3 +157,9 @@ def test_null_group_counts_alike_in_both_tests(spark):
     assert sorted(r["group_a"] for r in pairs.collect() if r["group_b"] is None) == ["a", "b"]
     assert contingency.g_test(df, cells, group="g", null_group=False).first()["df"] == 1
     assert contingency.pairwise_g_test(df, "g", cells, null_group=False).count() == 1
+
+
+def test_all_pairs_stay_in_the_jvm(spark):
+    counts = spark.createDataFrame([(g, 10 + g, 20 - g) for g in range(9)], "g int, a int, b int")
+    plan = contingency.pairwise_g_test(counts, "g", ("a", "b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

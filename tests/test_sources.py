@@ -81,3 +81,37 @@ def test_bad_cell(spark, tmp_path, bad):
     assert rows(kept) == sorted([("Ohio", None), ("Utah", 2)], key=repr)
     raw = lists.read_list(spark, str(path), "state string, n int", corrupt_column="bad")
     assert rows(raw) == sorted([("Ohio", None, f"Ohio,{bad}"), ("Utah", 2, None)], key=repr)
+
+
+def test_folder_of_files_with_different_headers(spark, tmp_path):
+    """Two orders, a column that only one file has, an unnamed index column, and an empty file."""
+    folder = tmp_path / "a [b] c%d"
+    folder.mkdir()
+    (folder / "1.csv").write_text('"","state","species"\n"1","Ohio","Aa bb"\n"2",NA,"Cc"\n')
+    (folder / "2.csv").write_text('"","species","note","state"\n"1","Dd","x, y","Utah"\n')
+    (folder / "3.csv").write_text('"","state","species"\r\n"1","Iowa","Ee"\r\n')
+    (folder / "4.csv").write_text("")
+    folder = str(folder).replace("[", "\\[").replace("]", "\\]")
+    df = lists.read_list(spark, folder, "species string, state string", drop_index=True)
+    assert df.columns == ["species", "state"]
+    want = [("Aa bb", "Ohio"), ("Cc", None), ("Dd", "Utah"), ("Ee", "Iowa")]
+    assert rows(df) == sorted(want, key=repr)
+    with pytest.raises(ValueError, match="note"):
+        lists.read_list(spark, folder, "species string, note string", drop_index=True)
+
+
+def test_folders_named_after_values_with_different_headers(spark, tmp_path):
+    for year, text in ((2001, "state,n\nOhio,1\n"), (2002, "n,state\n2,Utah\n")):
+        (tmp_path / f"year={year}").mkdir()
+        (tmp_path / f"year={year}" / "part.csv").write_text(text)
+    df = lists.read_list(spark, str(tmp_path), "state string, n int, year int")
+    assert rows(df) == [("Ohio", 1, 2001), ("Utah", 2, 2002)]
+
+
+def test_headers_of_files_read_in_many_splits(spark, tmp_path, settings):
+    for name, head in (("a", "state,n"), ("b", "n,state")):
+        lines = [f"{'s'},{i}" if name == "a" else f"{i},s" for i in range(5000)]
+        (tmp_path / f"{name}.csv").write_text("\n".join([head, *lines]) + "\n")
+    with settings(spark__sql__files__maxPartitionBytes=4000, spark__sql__files__openCostInBytes=0):
+        df = lists.read_list(spark, str(tmp_path), "state string, n int")
+        assert df.groupBy("state").sum("n").collect()[0][1] == 2 * sum(range(5000))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+import time
+from decimal import Decimal, getcontext
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from rollcall.functions import tails
 
@@ -73,3 +76,75 @@ def test_f_tail_odd_and_bounds():
     assert tails.f_tail(2.5, 3, 1e9) == pytest.approx(tails.chi2_tail(7.5, 3), rel=1e-6)
     assert tails.f_tail(0, 3, 5) == 1 and tails.f_tail(math.inf, 3, 5) == 0
     assert math.isnan(tails.f_tail(1.0, 0, 5))
+
+
+getcontext().prec = 150
+
+
+def exact_chi2(x: float, df: int) -> Decimal:
+    """1 - P(df / 2, x / 2) from the lower series, with 150 digits."""
+    a, y = Decimal(df) / 2, Decimal(x) / 2
+    if a < 2000:
+        # gamma(a + 1) as a product, down to gamma(1) or gamma(1/2).
+        gamma, k = Decimal(1), a
+        while k > 0:
+            gamma *= k
+            k -= 1
+        gamma = gamma.ln() + (Decimal(PI).sqrt().ln() if df % 2 else 0)
+    else:
+        z = a + 1
+        gamma = (z - Decimal("0.5")) * z.ln() - z + (2 * Decimal(PI)).ln() / 2
+        for top, bottom, power in ((1, 12, 1), (-1, 360, 3), (1, 1260, 5), (-1, 1680, 7), (1, 1188, 9), (-691, 360360, 11), (1, 156, 13)):
+            gamma += Decimal(top) / (Decimal(bottom) * z**power)
+    total = term = Decimal(1)
+    n = a
+    while term > total * Decimal("1e-130"):
+        n += 1
+        term *= y / n
+        total += term
+    return 1 - (a * y.ln() - y - gamma).exp() * total
+
+
+PI = "3.14159265358979323846264338327950288419716939937510582097494459"
+
+
+@pytest.mark.parametrize("df", [1, 2, 3, 10, 49, 50, 199, 200, 201, 999, 10_000, 1_000_001, 10**8, 10**9])
+@pytest.mark.parametrize("z", [-6.0, -2.0, -0.3, 0.0, 0.7, 2.0, 5.0, 9.0])
+def test_chi2_tail_against_many_digits(df, z):
+    x = df + z * math.sqrt(2 * df)
+    if x <= 0:
+        x = df / 100
+    want = exact_chi2(x, df)
+    assert abs(Decimal(tails.chi2_tail(x, df)) / want - 1) < Decimal("1e-12")
+
+
+@pytest.mark.parametrize("df", [200, 777, 3000])
+@pytest.mark.parametrize("ratio", [0.3, 0.74, 0.76, 1.24, 1.26, 1.6])
+def test_chi2_tail_where_the_ways_meet(df, ratio):
+    want = exact_chi2(df * ratio, df)
+    assert abs(Decimal(tails.chi2_tail(df * ratio, df)) / want - 1) < Decimal("1e-12")
+
+
+def test_chi2_tail_far_out_and_bounds():
+    assert tails.chi2_tail(1600.0, 198) == pytest.approx(float(exact_chi2(1600.0, 198)), rel=1e-11)
+    assert tails.chi2_tail(math.inf, 5) == 0 and tails.chi2_tail(-1, 5) == 1 and tails.chi2_tail(1e-10, 150) == 1
+    assert math.isnan(tails.chi2_tail(math.nan, 5)) and math.isnan(tails.chi2_tail(1.0, 0))
+
+
+@pytest.mark.parametrize("df", [30, 199, 200, 10**4, 10**6, 10**9])
+def test_chi2_tail_takes_microseconds(df):
+    tails.chi2_tail(df * 1.1, df)
+    start = time.perf_counter()
+    for i in range(300):
+        tails.chi2_tail(df * (0.6 + i / 300), df)
+    assert (time.perf_counter() - start) / 300 < 2e-4
+
+
+def test_tail_for_one_degree_as_a_column(spark):
+    values = [0.0, 1e-12, 1e-4, 0.3, 1.0, 3.84, 7.999, 8.0, 8.001, 12.0, 40.0, 300.0, 1400.0, math.inf, -1.0]
+    rows = [(v,) for v in [*values, None, math.nan]]
+    df = spark.createDataFrame(rows, "x double").withColumn("p", tails.chi2_sf_one(F.col("x")))
+    found = {repr(r["x"]): r["p"] for r in df.collect()}
+    for v in values:
+        assert found[repr(v)] == pytest.approx(math.erfc(math.sqrt(max(v, 0) / 2)), rel=1e-12)
+    assert found["None"] is None and found["nan"] is None
