@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from conftest import rows
@@ -140,3 +141,59 @@ def test_long_name_is_expanded_only_if_one_of_its_length_is_known(spark, monkeyp
     assert expanded == [5, 6]
     close = spark.createDataFrame([(long[:-1],)], "standard_name string")
     assert {r["distance"] for r in resolve.fuzzy_resolve(df, close).collect()} == {None, 1}
+
+
+def deletions(name: str, most: int) -> set[str]:
+    found = {name}
+    for _ in range(most):
+        found |= {w[:i] + w[i + 1 :] for w in found for i in range(len(w))}
+    return found
+
+
+@pytest.mark.parametrize("max_dist", [0, 1, 2, 3])
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 18])
+def test_hashes_stand_for_the_strings_left(monkeypatch, max_dist, at_once):
+    """As many different hashes as strings, and two names share as many as they share strings."""
+    monkeypatch.setattr(resolve, "KEYS_AT_ONCE", at_once)
+    names = [*dict.fromkeys([*words(7, 40, "ab"), *words(8, 30, "abcé😀"), "", "aaaa", "😀"])]
+    keys: dict[int, set] = {i: set() for i in range(len(names))}
+    for row, key in resolve._deletion_hashes(names, max_dist):
+        for i, k in zip(row.tolist(), key.tolist(), strict=True):
+            keys[i].add(k)
+    strings = [deletions(n, max_dist) for n in names]
+    assert [len(keys[i]) for i in range(len(names))] == [len(s) for s in strings]
+    for i in range(len(names)):
+        for j in range(i):
+            assert len(keys[i] & keys[j]) == len(strings[i] & strings[j])
+
+
+def test_long_names_cost_linear_work(spark):
+    """Names of 20,000 characters with partners of like length: as many keys as characters."""
+    rng = random.Random(3)
+    long = ["".join(rng.choice("abcdefgh ") for _ in range(20_000)) for _ in range(40)]
+    df = names_of(spark, *long)
+    backbone = spark.createDataFrame([(n[:7000] + n[7001:],) for n in long[:30]], "standard_name string")
+    keyed = resolve.deletion_keys(df, "species", 1)
+    assert dict(keyed.dtypes) == {"species": "bigint", "_key": "bigint"}
+    assert keyed.count() <= 40 * 20_001
+    start = time.perf_counter()
+    found = resolve.fuzzy_resolve(df, backbone).select("species", "distance", "match_type").collect()
+    assert time.perf_counter() - start < 60
+    assert {r["species"]: r["distance"] for r in found} == dict.fromkeys(long[:30], 1) | dict.fromkeys(long[30:])
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_distance_along_diagonals(most):
+    some = [*words(11, 45, "ab"), *words(12, 25, "abcé")]
+    some += ["a" * 50, "a" * 47 + "b", "b" + "a" * 49, "ab" * 25, "ba" * 25]
+    for a in some:
+        for b in some:
+            d = distance(a, b)
+            assert resolve.near_distance(a, b, most) == (d if d <= most else -1)
+
+
+def test_long_names_along_diagonals_give_the_same_rows(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "LONG_NAME", 3)
+    known, dirty = words(1, 60, "abcé😀"), words(2, 80, "abcé😀")
+    backbone = spark.createDataFrame([(k,) for k in known], "standard_name string")
+    assert rows(resolve.fuzzy_resolve(names_of(spark, *dirty), backbone, max_dist=2)) == brute(dirty, known, 2)
