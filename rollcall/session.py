@@ -5,11 +5,15 @@ On a cluster the session is the caller's; nothing in the package changes its set
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "rollcall", **conf: object) -> SparkSession:
     """A local session with the settings the package is tuned for."""
+    # Tasks share the cores already; threads of their own inside numpy only wait for each other.
+    os.environ.setdefault("OMP_NUM_THREADS", "1")
     settings = {
         "spark.sql.shuffle.partitions": str(cores),
         "spark.sql.adaptive.enabled": "true",
