@@ -18,12 +18,14 @@ outside a bounded table of known words are joined afterwards.
 
 from __future__ import annotations
 
-from collections import Counter
+import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,8 +44,8 @@ HIDDEN, WINDOW = 16, 16
 #: Texts that start the weights, and how often they are read.
 WARM_ROWS, WARM_EPOCHS, WARM_SIDE_BY_SIDE = 600, 2, 48
 RATE = 0.1
-#: Words that a task holds at once, texts side by side in scoring and in training.
-CHUNK_WORDS, SIDE_BY_SIDE, TRAIN_SIDE_BY_SIDE = 3_000_000, 4096, 256
+#: Bytes of text that a task holds at once, texts side by side in scoring and in training.
+CHUNK_BYTES, SIDE_BY_SIDE, TRAIN_SIDE_BY_SIDE = 18 << 20, 4096, 256
 #: Words that a counting task holds, floats in a block of weights, partial means of a block.
 COUNTED, BLOCK, SLOTS = 1_000_000, 1 << 14, 256
 
@@ -81,22 +83,23 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(token, n) of all texts, the end included; written. Tasks add up what they have read."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def flushed():
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(seen.keys(), pa.binary()).cast(pa.string()), pa.array(seen.values(), pa.int64())], ["token", "n"]
-            )
-            seen.clear()
-            return out
-
-        for batch in batches:
-            for x in batch.column(0):
-                seen.update(tokens(x.as_py()))
-                if len(seen) > COUNTED:
-                    yield flushed()
-        if seen:
-            yield flushed()
+        held, words = [], 0
+
+        def added() -> pa.Table:
+            return pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("n", "sum")]).rename_columns(["token", "n"])
+
+        for batch in _slices(batches, 0):
+            found = pc.value_counts(split_words(batch.column(0))[0])
+            ends = pa.table({"token": [END], "n": pa.array([batch.num_rows], pa.int64())})
+            held += [pa.table({"token": found.field("values"), "n": found.field("counts")}), ends]
+            words += len(found)
+            if words > COUNTED:
+                # What has come together so far; passed on where it is still much.
+                held, words = [added()], 0
+                if held[0].num_rows > COUNTED // 2:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from added().to_batches()
 
     partial = docs.select(text).mapInArrow(count, "token string, n bigint")
     return written(partial.groupBy("token").agg(F.sum("n").alias("n")), "counts")
@@ -138,6 +141,11 @@ class Vocabulary:
         )
         self.base = np.log10(self.counts + 1) - np.log10(self.total + self.distinct + 1)
 
+    @functools.cached_property
+    def listed(self) -> pa.Array:
+        """The known words by place."""
+        return pa.array([w.decode() for w in self.place], pa.string())
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, dict[bytes, int]]:
         """Places of the words, those of unknown words as -1 - form, and counts of these words."""
         ids = np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
@@ -243,24 +251,43 @@ class Network:
             at += n
         return self
 
-    def step(self, h: np.ndarray, rows: np.ndarray):
-        """The next state, and what the way back needs."""
-        x = self.p["inputs"][rows]
+    def step(self, h: np.ndarray, x: np.ndarray):
+        """The next state after words with the input rows ``x``, and what the way back needs."""
         gates = _sigmoid(h @ self.p["gates"] + x[:, : 2 * HIDDEN])
         r, z = gates[:, :HIDDEN], gates[:, HIDDEN:]
         inner = h @ self.p["fresh"] + self.p["shift"]
         n = np.tanh(r * inner + x[:, 2 * HIDDEN :])
         return n + z * (h - n), (h, r, z, inner, n)
 
+    def read(self, group: Group, places: list[np.ndarray]) -> list[np.ndarray]:
+        """The input rows of a window's words, step by step."""
+        rows = self.p["inputs"][group.inputs[np.concatenate(places)]]
+        return np.split(rows, np.cumsum([len(x) for x in places])[:-1])
+
     def _heads(self, h: np.ndarray, classes: np.ndarray):
-        """For each class of frequent words: which rows have it, and their logits."""
+        """Rows with a frequent word, by class, and for each class its part of them and its logits."""
         head = np.flatnonzero(classes < HEAD_CLASSES)
         order = head[np.argsort(classes[head], kind="stable")]
         ends = np.searchsorted(classes[order], np.arange(HEAD_CLASSES + 1))
-        for c in range(HEAD_CLASSES):
-            some = order[ends[c] : ends[c + 1]]
-            if len(some):
-                yield c, some, h[some] @ self.p["words"][c] + self.p["word_bias"][c]
+        sorted_h = h[order]
+        weights = np.concatenate([self.p["words"], self.p["word_bias"][:, None]], axis=1)
+        parts = [
+            (c, slice(ends[c], ends[c + 1]), sorted_h[ends[c] : ends[c + 1]] @ weights[c])
+            for c in range(HEAD_CLASSES)
+            if ends[c + 1] > ends[c]
+        ]
+        return order, sorted_h, parts
+
+    def _of_classes(self, h: np.ndarray) -> np.ndarray:
+        """Logits of the classes."""
+        return h @ np.concatenate([self.p["classes"], self.p["class_bias"][None]])
+
+    @staticmethod
+    def _with_one(states: list[np.ndarray]) -> np.ndarray:
+        """States in a row, each with a one at its end, which the biases multiply."""
+        whole = np.ones((sum(map(len, states)), HIDDEN + 1), states[0].dtype)
+        np.concatenate(states, out=whole[:, :HIDDEN])
+        return whole
 
     def _bounded(self) -> None:
         """Keep every logit under 80, so that its exponential needs no look at the largest.
@@ -275,7 +302,10 @@ class Network:
                 self.p[bias] *= scale
 
     def scores(self, h: np.ndarray, vocabulary: Vocabulary, ids: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Natural log of P(class) P(word in class); words outside the head: P(class)."""
+        """Natural log of P(class) P(word in class); words outside the head: P(class).
+
+        ``h`` holds states with a one at their end.
+        """
 
         def chosen(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
             """Log of the softmax at one place per row. Logits are small (see ``_bounded``)."""
@@ -284,9 +314,12 @@ class Network:
             return np.log(logits[np.arange(len(at)), at] / sums)
 
         self._bounded()
-        score = chosen(h @ self.p["classes"] + self.p["class_bias"], classes)
-        for _, some, logits in self._heads(h, classes):
-            score[some] += chosen(logits, vocabulary.inner[ids[some]])
+        score = chosen(self._of_classes(h), classes)
+        order, _, parts = self._heads(h, classes)
+        inner, inside = vocabulary.inner[ids[order]], np.empty(len(order), score.dtype)
+        for _, some, logits in parts:
+            inside[some] = chosen(logits, inner[some])
+        score[order] += inside
         return score
 
     def outputs(self, h: np.ndarray, vocabulary: Vocabulary, ids: np.ndarray, classes: np.ndarray):
@@ -298,43 +331,52 @@ class Network:
             return logits
 
         self._bounded()
-        parts = [(c, some, softmax(x), vocabulary.inner[ids[some]]) for c, some, x in self._heads(h, classes)]
-        return softmax(h @ self.p["classes"] + self.p["class_bias"]), parts
+        order, sorted_h, heads = self._heads(h, classes)
+        inner = vocabulary.inner[ids[order]]
+        parts = [(c, some, softmax(x), inner[some]) for c, some, x in heads]
+        return softmax(self._of_classes(h)), order, sorted_h, parts
 
     def _move(self, name: str, slope: np.ndarray, rows=None) -> None:
         """One step with a rate for every weight (Adagrad)."""
-        slope = np.clip(slope, -1, 1)
+        np.minimum(slope, 1, out=slope)
+        np.maximum(slope, -1, out=slope)
         if rows is None:
             self.state[name] += slope * slope
             self.p[name] -= RATE * slope / np.sqrt(self.state[name])
         else:
-            self.state[name][rows] += slope * slope
-            self.p[name][rows] -= RATE * slope / np.sqrt(self.state[name][rows])
+            state = self.state[name][rows] + slope * slope
+            self.state[name][rows] = state
+            self.p[name][rows] -= RATE * slope / np.sqrt(state)
 
     def learn(self, h: np.ndarray, group: Group, places: list[np.ndarray], vocabulary: Vocabulary) -> np.ndarray:
         """Backpropagation through one window; returns the state after it."""
         kept, states = [], []
-        for x in places:
+        for x in self.read(group, places):
             h = h[: len(x)]
             states.append(h)
-            h, memory = self.step(h, group.inputs[x])
+            h, memory = self.step(h, x)
             kept.append(memory)
-        whole, flat = np.concatenate(states), np.concatenate(places)
+        with_one, flat = self._with_one(states), np.concatenate(places)
+        whole = with_one[:, :HIDDEN]
         flat_classes = group.classes[flat]
-        of_class, parts = self.outputs(whole, vocabulary, group.ids[flat], flat_classes)
+        of_class, order, sorted_h, parts = self.outputs(with_one, vocabulary, group.ids[flat], flat_classes)
         # One text-step counts as one; the mean keeps the rate alike for all sizes.
         scale = np.float32(1 / max(1, len(whole)) * 8)
         d = of_class
         d[np.arange(len(d)), flat_classes] -= 1
         d *= scale
-        slopes = {"classes": whole.T @ d, "class_bias": d.sum(0)}
+        slope = with_one.T @ d
+        slopes = {"classes": slope[:HIDDEN], "class_bias": slope[HIDDEN]}
         back = d @ self.p["classes"].T
         words, bias = np.zeros_like(self.p["words"]), np.zeros_like(self.p["word_bias"])
+        inside = np.empty((len(order), HIDDEN), back.dtype)
         for c, some, e, inner in parts:
             e[np.arange(len(e)), inner] -= 1
             e *= scale
-            words[c], bias[c] = whole[some].T @ e, e.sum(0)
-            back[some] += e @ self.p["words"][c].T
+            slope = sorted_h[some].T @ e
+            words[c], bias[c] = slope[:HIDDEN], slope[HIDDEN]
+            np.matmul(e, self.p["words"][c].T, out=inside[some])
+        back[order] += inside
         slopes |= {"words": words, "word_bias": bias}
         r, z, inner, fresh_state = (np.concatenate([memory[i] for memory in kept]) for i in range(1, 5))
         # What a step multiplies by, for the whole window at once.
@@ -393,16 +435,12 @@ class Group:
             yield [self.starts[: np.searchsorted(-self.lengths, -t, "left")] + t for t in steps]
 
 
-def train(net: Network, vocabulary: Vocabulary, texts: list[np.ndarray], width: int, every: int = 1) -> None:
-    """Read the texts once; gradients in every ``every``-th window, the state goes on in all."""
-    for number, (some, group) in enumerate(Group.all(vocabulary, texts, width)):
+def train(net: Network, vocabulary: Vocabulary, texts: list[np.ndarray], width: int) -> None:
+    """Read the texts once, with gradients in every window; the state goes on through the text."""
+    for some, group in Group.all(vocabulary, texts, width):
         h = np.zeros((len(some), HIDDEN), np.float32)
-        for at, places in enumerate(group.windows()):
-            if (at + number) % every == 0:
-                h = net.learn(h[: len(places[0])], group, places, vocabulary)
-                continue
-            for x in places:
-                h, _ = net.step(h[: len(x)], group.inputs[x])
+        for places in group.windows():
+            h = net.learn(h[: len(places[0])], group, places, vocabulary)
 
 
 def log_likelihoods(net: Network, vocabulary: Vocabulary, texts: list[np.ndarray], width: int = SIDE_BY_SIDE) -> np.ndarray:
@@ -413,12 +451,12 @@ def log_likelihoods(net: Network, vocabulary: Vocabulary, texts: list[np.ndarray
         sums = np.zeros(len(some))
         for places in group.windows():
             states = []
-            for x in places:
+            for x in net.read(group, places):
                 h = h[: len(x)]
                 states.append(h)
-                h, _ = net.step(h, group.inputs[x])
+                h, _ = net.step(h, x)
             flat = np.concatenate(places)
-            score = net.scores(np.concatenate(states), vocabulary, group.ids[flat], group.classes[flat])
+            score = net.scores(net._with_one(states), vocabulary, group.ids[flat], group.classes[flat])
             at = 0
             for x in places:
                 sums[: len(x)] += score[at : at + len(x)]
@@ -427,28 +465,127 @@ def log_likelihoods(net: Network, vocabulary: Vocabulary, texts: list[np.ndarray
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, column: int):
-    """Rows of the batches with their encoded texts, some million words at a time."""
-    rows, texts, rare, size = [], [], [], 0
+@dataclass
+class Chunk:
+    """Rows of a batch with their coded texts, and what unknown words they have."""
+
+    rows: pa.RecordBatch
+    texts: list[np.ndarray]
+    #: For every unknown word of a text: the text, the word's place in ``words``, how often.
+    rare: tuple[np.ndarray, np.ndarray, np.ndarray]
+    words: pa.Array
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-case words of all texts in a row, and the text of each."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = parts.flatten()
+    owner = pc.list_parent_indices(parts).to_numpy()
+    # White space at either end of a text leaves empty strings.
+    full = pc.greater(pc.binary_length(words), 0)
+    return words.filter(full), owner[full.to_numpy(zero_copy_only=False)]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: int, width: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows that hold about ``CHUNK_BYTES`` together: of text, or of lists of ``width`` bytes a word."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            ids, unknown = vocabulary.encode(tokens(batch.column(column)[i].as_py()))
-            rows.append((batch, i))
-            texts.append(ids)
-            rare.append(unknown)
-            size += len(ids)
-            if size > CHUNK_WORDS:
-                yield rows, texts, rare
-                rows, texts, rare, size = [], [], [], 0
-    if rows:
-        yield rows, texts, rare
+        sizes = (pc.list_value_length if width else pc.binary_length)(batch.column(column))
+        sizes = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64) * max(1, width)
+        total = int(sizes.sum())
+        each = max(1, -(-total // max(1, -(-total // CHUNK_BYTES))))
+        chunk = (np.cumsum(sizes) - sizes) // each
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), batch.num_rows]
+        for at, end in zip(cuts, cuts[1:], strict=False):
+            if end > at:
+                yield batch.slice(at, end - at)
+
+
+def coded(batch: pa.RecordBatch, vocabulary: Vocabulary, column: int) -> Chunk:
+    """All texts of a batch coded at once; every text ends with the end."""
+    flat, owner = split_words(batch.column(column))
+    size = batch.num_rows
+    found = pc.index_in(flat, value_set=vocabulary.listed)
+    unknown = found.is_null().to_numpy(zero_copy_only=False)
+    ids = pc.fill_null(found, -1).to_numpy().astype(np.int32)
+    listed = flat.filter(pa.array(unknown)).dictionary_encode()
+    words, code = listed.dictionary, listed.indices.to_numpy()
+    forms = np.array([form(w.encode()) for w in words.to_pylist()], np.int32)
+    if len(code):
+        ids[unknown] = -1 - forms[code]
+    pairs, often = np.unique(owner[unknown].astype(np.int64) * max(1, len(words)) + code, return_counts=True)
+    rare = [(pairs // max(1, len(words))), pairs % max(1, len(words)), often]
+    # Room for the end after each text's words.
+    lengths = np.bincount(owner, minlength=size)
+    last = np.cumsum(lengths + 1) - 1
+    end = vocabulary.place.get(END.encode())
+    if end is None:
+        end = -1 - form(END.encode())
+        # Without training texts the end is a word like any other.
+        words = pa.concat_arrays([words.cast(pa.string()), pa.array([END])])
+        rare = [np.concatenate(x) for x in zip(rare, (np.arange(size), np.full(size, len(words) - 1), np.ones(size, np.int64)), strict=True)]
+    whole = np.full(len(ids) + size, end, np.int32)
+    whole[np.arange(len(ids)) + owner] = ids
+    return Chunk(batch, np.split(whole, last[:-1] + 1) if size else [], tuple(rare), words)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, column: int) -> Iterator[Chunk]:
+    for part in _slices(batches, column):
+        yield coded(part, vocabulary, column)
+
+
+def _lists(ids: pa.Array) -> list[np.ndarray]:
+    """The coded texts of a column."""
+    lengths = pc.list_value_length(ids).to_numpy()
+    return np.split(ids.flatten().to_numpy(), np.cumsum(lengths)[:-1]) if len(ids) else []
+
+
+def rare_words(chunk: Chunk, words: Vocabulary) -> pa.Array:
+    """For every text its unknown words, how often each occurs, and the class's share of it."""
+    text, word, often = chunk.rare
+    order = np.argsort(text, kind="stable")
+    text, word, often = text[order], word[order], often[order]
+    within = words.within[np.array([form(w.encode()) for w in chunk.words.to_pylist()], np.int64)]
+    parts = [
+        chunk.words.take(pa.array(word, pa.int64())).cast(pa.string()), pa.array(often, pa.int64()),
+        pa.array(within[word] if len(word) else [], pa.float64()),
+    ]
+    ends = np.searchsorted(text, np.arange(chunk.rows.num_rows + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, ["token", "n", "within"]))
+
+
+def coded_texts(rows: DataFrame, words: Vocabulary) -> DataFrame:
+    """The rows with ``ids`` (the coded text) and ``rare`` (unknown words) in the place of ``text``.
+
+    Each text is split and coded once; training and scoring read the numbers.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+    kept = [c for c in rows.columns if c != "text"]
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for chunk in _chunks(batches, words, len(kept)):
+            ends = np.cumsum([0, *map(len, chunk.texts)]).astype(np.int32)
+            flat = np.concatenate(chunk.texts) if chunk.texts else np.zeros(0, np.int32)
+            columns = [*chunk.rows.columns[: len(kept)], pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32())), rare_words(chunk, words)]
+            # Small batches: the session's side takes a whole one at a time.
+            yield from pa.Table.from_arrays(columns, names=[*kept, "ids", "rare"]).to_batches(max_chunksize=1000)
+
+    fields = [
+        *(rows.schema[c] for c in kept),
+        T.StructField("ids", T.ArrayType(T.IntegerType())),
+        *T.StructType.fromDDL("rare array<struct<token string, n bigint, within double>>"),
+    ]
+    return rows.select(*kept, "text").mapInArrow(code, T.StructType(fields))
 
 
 # -- training and scoring over tables ----------------------------------------------------------
 
 
-def trained(learn: DataFrame, words: Vocabulary, doc_id: str = "doc_id", text: str = "text") -> Network:
-    """Weights from all training texts."""
+def trained(
+    learn: DataFrame, words: Vocabulary, doc_id: str = "doc_id", text: str = "text", ids: DataFrame | None = None
+) -> Network:
+    """Weights from all training texts; ``ids`` are the same texts coded, where they are at hand."""
+    ids = coded_texts(learn.select(F.col(text).alias("text")), words) if ids is None else ids
     spark = learn.sparkSession
     # The texts with the smallest hashes; only hashes are ordered, so that no task gathers texts.
     place = F.xxhash64(F.col(doc_id), F.lit(FOLDS))
@@ -466,7 +603,8 @@ def trained(learn: DataFrame, words: Vocabulary, doc_id: str = "doc_id", text: s
     def one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = shared.value
         own, size = Network().load(flat), 0
-        for _, texts, _ in _chunks(batches, words, 0):
+        for batch in _slices(batches, 0, 4):
+            texts = _lists(batch.column(0))
             train(own, words, texts, TRAIN_SIDE_BY_SIDE)
             size += sum(map(len, texts))
         if size:
@@ -489,9 +627,10 @@ def trained(learn: DataFrame, words: Vocabulary, doc_id: str = "doc_id", text: s
         return pa.table({"block": pa.array([block], pa.int32()), "weight": [weight], "part": [(total / weight).tobytes()]})
 
     kind = "block int, weight double, part binary"
-    partial = learn.select(text).mapInArrow(one_task, kind).withColumn("slot", F.spark_partition_id() % SLOTS)
+    partial = ids.select("ids").mapInArrow(one_task, kind).withColumn("slot", F.spark_partition_id() % SLOTS)
     some = partial.groupBy("block", "slot").applyInArrow(lambda g: mean(g), kind)
     whole = some.groupBy("block").applyInArrow(lambda g: mean(g), kind).orderBy("block").toArrow()
+    shared.unpersist()
     return Network().load(np.concatenate([np.frombuffer(x.as_py()) for x in whole["part"]]))
 
 
@@ -508,50 +647,33 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     learn = rows.filter(~F.col("held_out"))
     counts = count_words(learn)
     words = vocabulary(counts)
-    net = trained(learn, words)
+    coded = coded_texts(rows, words).withColumn("row", F.monotonically_increasing_id())
+    coded = written(coded, "coded")
+    net = trained(learn, words, ids=coded.filter(~F.col("held_out")))
     shared = spark.sparkContext.broadcast((words, net.flat()))
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = shared.value
         own = Network().load(flat)
-        for who, texts, rare in _chunks(batches, words, 2):
+        for batch in _slices(batches, 3, 4):
+            texts = _lists(batch.column(3))
             model = log_likelihoods(own, words, texts) / LN10
             known = [x[x >= 0] for x in texts]
-            for at in range(0, len(who), 1000):
-                part = slice(at, at + 1000)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([b.column(0)[i].as_py() for b, i in who[part]], batch_type(who)),
-                        pa.array([b.column(1)[i].as_py() for b, i in who[part]], pa.bool_()),
-                        pa.array([len(x) for x in texts[part]], pa.int64()),
-                        pa.array([len(x) for x in known[part]], pa.int64()),
-                        pa.array([float(words.base[x].sum()) for x in known[part]]),
-                        pa.array(model[part] + [float(words.inner_score[x].sum()) for x in known[part]]),
-                        rare_words(rare[part], words),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "known", "base", "model", "rare"],
-                )
-
-    def batch_type(who):
-        return who[0][0].schema.field(0).type
-
-    def rare_words(some: list[dict[bytes, int]], words: Vocabulary) -> pa.Array:
-        flat = [w for x in some for w in x]
-        parts = [
-            pa.array(flat, pa.binary()).cast(pa.string()),
-            pa.array([n for x in some for n in x.values()], pa.int64()),
-            pa.array(words.within[np.array([form(w) for w in flat], np.int64)] if flat else [], pa.float64()),
-        ]
-        ends = np.cumsum([0, *map(len, some)]).astype(np.int32)
-        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, ["token", "n", "within"]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:3],
+                    pa.array([len(x) for x in texts], pa.int64()),
+                    pa.array([len(x) for x in known], pa.int64()),
+                    pa.array([float(words.base[x].sum()) for x in known]),
+                    pa.array(model + [float(words.inner_score[x].sum()) for x in known], pa.float64()),
+                ],
+                names=["doc_id", "held_out", "row", "n_tokens", "known", "base", "model"],
+            )
 
-    kind = (
-        f"doc_id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, model double, "
-        "rare array<struct<token string, n bigint, within double>>"
-    )
-    done = written(rows.mapInArrow(score, kind).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = done.select("row", F.explode("rare").alias("r")).select("row", "r.*")
+    kind = f"doc_id {id_type}, held_out boolean, row bigint, n_tokens bigint, known bigint, base double, model double"
+    done = written(coded.select("doc_id", "held_out", "row", "ids").mapInArrow(score, kind), "scored")
+    rare = coded.select("row", F.explode("rare").alias("r")).select("row", "r.*")
     # Every word that is not known to the tasks gets its count by a join.
     found = rare.join(counts.withColumnRenamed("n", "c"), "token", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
@@ -562,7 +684,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         F.sum(F.col("n") * (share - F.lit(outside))).alias("more_base"),
         F.sum(F.col("n") * (share + F.col("within"))).alias("more_model"),
     )
-    both = done.drop("rare").join(sums, "row", "left")
+    both = done.join(sums, "row", "left")
 
     def plus(a: str, b: str):
         return F.col(a) + F.coalesce(F.col(b), F.lit(0))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rollcall.llm import language_model as lm
@@ -145,14 +146,34 @@ def test_slopes_against_differences(monkeypatch):
             assert (up - down) / 2e-3 == pytest.approx(full[at], abs=2e-3), (name, at)
 
 
-def test_training_helps_on_unseen_texts(monkeypatch):
-    monkeypatch.setattr(lm, "RATE", 0.05)
-    words, net, _ = made(corpus(400))
-    unseen = [words.encode(lm.tokens(t))[0] for t in corpus(60, 99)]
-    before = lm.log_likelihoods(net, words, unseen).sum()
-    for _ in range(4):
-        lm.train(net, words, [words.encode(lm.tokens(t))[0] for t in corpus(400)], 32, 2)
-    assert lm.log_likelihoods(net, words, unseen).sum() > before + 100
+def test_training_helps_on_unseen_texts(spark, small):
+    """With the settings of the query: warm start, then one pass over all training texts."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    words, net, _ = made([r.text for r in rows if not held(r.doc_id)])
+    unseen = [words.encode(lm.tokens(r.text))[0] for r in rows if held(r.doc_id)]
+    size = sum(map(len, unseen))
+    before = lm.log_likelihoods(net, words, unseen).sum() / size
+    learn = docs.filter(~lm.held_out("doc_id", lm.FOLDS, lm.HELD))
+    assert lm.log_likelihoods(lm.trained(learn, words), words, unseen).sum() / size > before + 0.2
+
+
+def test_texts_coded_at_once_and_one_by_one(monkeypatch):
+    texts = [*corpus(50), None, "", " \n", "never seen NEVER seen \x1c \x85 é", "ab1 " * 40, "ÀB1 ab1", " ab1\tcd2. "]
+    words, _, _ = made(corpus(30))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    for vocabulary in (words, lm.Vocabulary({}, 0, 0, {})):
+        chunk = lm.coded(batch, vocabulary, 0)
+        rare: list[dict] = [{} for _ in texts]
+        for text, word, n in zip(*(x.tolist() for x in chunk.rare), strict=True):
+            rare[text][chunk.words[word].as_py().encode()] = n
+        for text, ids, unknown in zip(texts, chunk.texts, rare, strict=True):
+            want, others = vocabulary.encode(lm.tokens(text))
+            assert ids.tolist() == want.tolist() and unknown == others
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 300)
+    parts = list(lm._chunks(iter([batch]), words, 0))
+    assert len(parts) > 5
+    assert [x.tolist() for p in parts for x in p.texts] == [words.encode(lm.tokens(t))[0].tolist() for t in texts]
 
 
 def test_every_word_gives_a_gradient(spark, documents, monkeypatch):
