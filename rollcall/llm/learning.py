@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +18,22 @@ def is_held_out(doc_id: str) -> Column:
 
 
 def labelled(
-    docs: DataFrame, labels: DataFrame, label: str, text: Column, rows: int, doc_id: str = "doc_id"
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    text: str,
+    rows: int,
+    doc_id: str = "doc_id",
+    *,
+    measure: Callable[[Column], Column],
 ) -> DataFrame:
-    """(label, text) of at most ``rows`` documents to learn from, in the order of a hash of the id.
+    """(label, value) of at most ``rows`` documents to learn from, in the order of a hash of the id.
 
     The ids are picked from the labels, so that only these documents' texts move; ``rows`` is
-    thus also the bound of the broadcast side. A document with several labels has the largest;
-    null labels and null ids count for nothing. Documents that share an id share the label.
+    thus also the bound of the broadcast side. ``measure`` makes the value of a text, and is
+    applied to the picked documents only, where they were read. A document with several labels has
+    the largest; null labels and null ids count for nothing. Documents that share an id share the
+    label. Other columns are not read, so their names cannot clash; empty tables give no row.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~is_held_out(doc_id))
     order = F.xxhash64(F.col("_id"), F.lit(label))
@@ -33,7 +44,7 @@ def labelled(
         .limit(rows)
     )
     # Two columns only, so that no name of the documents can clash.
-    texts = docs.select(F.col(doc_id).alias("_doc"), text.alias("_text"))
+    texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
     found = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id"))
-    found = found.orderBy(order, "_id", "_text").limit(rows)
-    return found.select(F.col("_label").alias("label"), F.col("_text").alias("text"))
+    found = found.select("_id", F.col("_label").alias("label"), measure(F.col("_text")).alias("value"))
+    return found.orderBy(order, "_id", "value").limit(rows).select("label", "value")

@@ -203,19 +203,23 @@ def _matrix(texts: pa.Array) -> np.ndarray:
 
 
 def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Gam:
-    """A model from at most ``TRAIN_ROWS`` labelled documents; no labels: every score is 0.5."""
+    """A model from at most ``TRAIN_ROWS`` labelled documents; no labels: every score is 0.5.
+
+    Only the picked documents are measured. Which rows count, also with null or repeated ids,
+    several labels or empty tables, is said at ``labelled``.
+    """
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def measured(texts: pa.Array) -> pa.Array:
         return pa.array(list(_matrix(texts)), pa.list_(pa.float64()))
 
-    sample = labelled(docs, labels, "quality", measured(F.col(text)), TRAIN_ROWS, doc_id).toArrow()
-    x = np.array([r.as_py() for r in sample["text"]]).reshape(-1, len(FEATURES))
+    sample = labelled(docs, labels, "quality", text, TRAIN_ROWS, doc_id, measure=measured).toArrow()
+    x = sample["value"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
     return Gam().fit(x, np.minimum(sample["label"].to_numpy().astype(float), 1))
 
 
 def score(docs: DataFrame, model: Gam, text: Column) -> Column:
-    """Probability of a good text."""
+    """Probability of a good text, for every row by itself; null and empty texts have one too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.DoubleType())

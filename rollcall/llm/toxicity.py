@@ -13,10 +13,12 @@ read. Answers are scaled so that the threshold of the text's language becomes 0.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -256,18 +258,9 @@ class Network:
         return np.where(raw < t, 0.5 * raw / t, 0.5 + 0.5 * (raw - t) / (1 - t))
 
 
-def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Network:
-    """A network from at most ``TRAIN_ROWS`` labelled documents; without labels all scores are low."""
-
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def as_buckets(texts: pa.Array) -> pa.Array:
-        return pa.array([hashed(x.as_py()) for x in texts], pa.list_(pa.int32()))
-
-    sample = labelled(docs, labels, "toxic", F.col(text), TRAIN_ROWS, doc_id)
-    rows = sample.select("label", as_buckets("text").alias("ids")).toArrow()
-    texts = [np.array(x.values.to_numpy(), np.int32) for x in rows["ids"]]
-    y = rows["label"].to_numpy().astype(np.float64)
-    y = np.minimum(y, 1)
+def fitted(texts: list[np.ndarray], y: np.ndarray) -> Network:
+    """A network from hashed texts and their labels; without a toxic one all scores are low."""
+    y = np.minimum(y.astype(np.float64), 1)
     net = Network()
     if not y.any():
         net.weights[:] = 0
@@ -283,8 +276,42 @@ def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
     return net
 
 
+def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Network:
+    """A network from at most ``TRAIN_ROWS`` labelled documents; without labels all scores are low.
+
+    The bounded sample is gathered and learnt from in a task; the driver sees the weights only.
+    Which rows count, also with null or repeated ids, several labels or empty tables, is said at
+    ``labelled``.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def as_buckets(texts: pa.Array) -> pa.Array:
+        return pa.array([hashed(x.as_py()) for x in texts], pa.list_(pa.int32()))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y = [], []
+        for batch in batches:
+            y.append(batch.column(0).to_numpy())
+            lengths = pc.list_value_length(batch.column(1)).to_numpy()
+            texts += np.split(batch.column(1).flatten().to_numpy(), np.cumsum(lengths)[:-1]) if len(lengths) else []
+        net = fitted(texts, np.concatenate(y) if y else np.zeros(0))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(net))], pa.binary())], ["net"])
+
+    sample = labelled(docs, labels, "toxic", text, TRAIN_ROWS, doc_id, measure=as_buckets)
+    # The limit has left one partition.
+    row = sample.coalesce(1).mapInArrow(learn, "net binary").first()
+    if row is None:
+        return fitted([], np.zeros(0))
+    net = Network.__new__(Network)
+    vars(net).update(pickle.loads(row["net"]))
+    return net
+
+
 def score(docs: DataFrame, net: Network, text: Column) -> Column:
-    """Toxicity from 0 to 1; 0.5 is the threshold of the text's language."""
+    """Toxicity from 0 to 1 for every row by itself; 0.5 is the threshold of the text's language.
+
+    Null and empty texts are scored by the bias alone.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((net.table(), net.shifts, net.weights, net.bias, net.thresholds))
 
     @F.arrow_udf(T.DoubleType())

@@ -6,9 +6,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollcall.llm import quality_gam, toxicity
+from rollcall.llm.learning import labelled
 from tables import documents  # noqa: F401
 
 NEUTRAL = [f"word{i}" for i in range(300)]
@@ -160,3 +164,87 @@ def test_queries_against_held_out_labels(spark, small):
     held = [(r.predicted, labels[r.doc_id].quality) for r in got if r.held_out and r.doc_id in labels]
     assert np.mean([a == b for a, b in held]) > 0.8
     assert toxicity.op5_toxicity(spark, small).count() == len(got)
+
+
+def plain_toxicity(net, text):
+    """Word by word: two embedding rows, every filter at every place, the largest answers, the threshold."""
+    ids = toxicity.hashed(text).tolist()
+    rows = [net.words[i & (toxicity.BUCKETS - 1)] + net.words[(i >> toxicity.BITS) + toxicity.BUCKETS] for i in ids]
+    odds, column = float(net.bias), 0
+    for w in toxicity.WIDTHS:
+        # A text shorter than the filter is followed by zeros.
+        padded = [*rows, *[np.zeros(toxicity.DIM)] * max(toxicity.WIDTHS)]
+        for f in range(toxicity.FILTERS):
+            answers = [sum(float(padded[at + k] @ net.filters[w][k][:, f]) for k in range(w)) for at in range(len(rows))]
+            if answers:
+                odds += max(0.0, max(answers) + float(net.shifts[w][f])) * float(net.weights[column])
+            column += 1
+    raw = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    words = [w for w in (text or "").lower().split()]
+    counts = [sum(w in some.split() for w in words) for some in toxicity.FUNCTION_WORDS.values()]
+    spoken = counts.index(max(counts)) if any(counts) else len(toxicity.LANGUAGES) - 1
+    t = net.thresholds[spoken]
+    return 0.5 * raw / t if raw < t else 0.5 + 0.5 * (raw - t) / (1 - t)
+
+
+def test_toxicity_against_a_plain_forward_pass(spark, documents):
+    rows, labels = toxic_corpus(200)
+    rows += [(None, "vilefool and the"), (5000, None), (5001, ""), (7, rows[7][1]), (7, rows[7][1])]
+    rows += [(6000, "the vilefool of"), (6001, "der die das vilemess"), (6002, "le les des rotbrain est une")]
+    df = documents(rows)
+    net = toxicity.trained(df, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    net.thresholds[:] = [0.3, 0.4, 0.5, 0.6, 0.7]
+    got = df.select("doc_id", "text", toxicity.score(df, net, df["text"]).alias("s")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.s == pytest.approx(plain_toxicity(net, r.text), abs=1e-5)
+
+
+def test_quality_against_a_plain_pass(spark, documents):
+    rng, rows, labels = random.Random(4), [], []
+    for i in range(300):
+        words = [rng.choice(NEUTRAL) for _ in range(rng.randrange(5, 60))]
+        rows.append((i, " ".join(words if i % 3 else [w.upper() + "!!" for w in words])))
+        labels.append((i, int(i % 3 > 0), 0))
+    rows += [(None, "no id"), (400, None), (401, ""), (9, rows[9][1]), (9, rows[9][1])]
+    df = documents(rows)
+    model = quality_gam.trained(df, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    got = df.select("text", quality_gam.score(df, model, df["text"]).alias("s")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        x, odds = quality_gam.features(r.text), model.base
+        for k, (e, t) in enumerate(zip(model.edges, model.tables, strict=True)):
+            odds += t[sum(x[k] >= c for c in e)]
+        for i, j, grid in model.pairs:
+            odds += grid[sum(x[i] >= c for c in model.pair_edges[i]), sum(x[j] >= c for c in model.pair_edges[j])]
+        assert r.s == pytest.approx(1 / (1 + np.exp(-odds)))
+
+
+def test_only_picked_documents_are_measured(spark, documents):
+    """The function of a text stands above the join with the picked ids, so no other row reaches it."""
+    rows, labels = toxic_corpus(50)
+    known = spark.createDataFrame([*labels, (3, 1, 0), (3, 0, 1), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    df = documents([*rows, (3, rows[3][1]), (None, "x")])
+
+    @F.arrow_udf(T.IntegerType())
+    def size(texts: pa.Array) -> pa.Array:
+        return pa.array([len(x.as_py() or "") for x in texts], pa.int32())
+
+    sample = labelled(df, known, "toxic", "text", 20, measure=size)
+    plan = sample._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Join Inner")
+    assert sample.count() == 20
+    whole = labelled(df, known, "toxic", "text", 1000, measure=size).collect()
+    # Document 3 has two labels, the larger counts, and two rows.
+    assert len(whole) == sum(not split(i) for i, _ in rows) + 1
+
+
+def test_repeated_rows_and_labels_teach(spark, documents):
+    rows, labels = toxic_corpus(120)
+    known = spark.createDataFrame(labels * 2, "doc_id bigint, quality int, toxic int")
+    once = toxicity.trained(documents(rows), known)
+    assert np.array_equal(once.thresholds, toxicity.trained(documents(rows), known.distinct()).thresholds)
+    assert np.isfinite(toxicity.trained(documents(rows * 2), known).words).all()
+    x = np.array([quality_gam.features(t) for _, t in rows[:20]])
+    twice = quality_gam.trained(documents(rows * 2), known).score(x)
+    assert ((0 <= twice) & (twice <= 1)).all()
