@@ -40,6 +40,8 @@ LIMIT = 3
 FAN_OUT = 8
 #: (code, node) pairs that a search holds at once.
 FRONTIER = 1 << 20
+#: Codes that a task holds, unless one key has more.
+HELD = 1 << 18
 
 _KEY = np.uint64(((1 << 28) - 1) << 36)
 _ALL = np.uint64((1 << 64) - 1)
@@ -211,14 +213,30 @@ def _forest(n: int, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All codes of some keys in, a spanning forest of their links out."""
-    keys, codes = [], []
+    """Codes sorted by key in, a spanning forest of the links within each key out.
+
+    Whole keys are worked off as soon as ``HELD`` codes have come, so that a task holds these or
+    the codes of one key, however many its partition has.
+    """
+    held: list[np.ndarray] = []
+    size = 0
     for batch in batches:
-        keys.append(batch.column(0).to_numpy())
-        codes.append(batch.column(1).to_numpy())
-    if not keys:
-        return
-    key, code = np.concatenate(keys), np.concatenate(codes).view(np.uint64)
+        held.append(np.stack([c.to_numpy().astype(np.int64) for c in batch.columns]))
+        size += batch.num_rows
+        if size < HELD:
+            continue
+        rows = np.concatenate(held, 1)
+        # The last key may go on.
+        last = int(np.flatnonzero((rows[:2] != rows[:2, -1:]).any(0))[-1]) + 1 if (rows[:2] != rows[:2, -1:]).any() else 0
+        yield from _links_of(rows[:, :last])
+        held, size = [rows[:, last:]], rows.shape[1] - last
+    if size:
+        yield from _links_of(np.concatenate(held, 1))
+
+
+def _links_of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links within the keys of (k, bits, code) rows."""
+    key, code = rows[0], rows[2].view(np.uint64)
     for k in np.unique(key).tolist():
         block, part = divmod(k, 4)
         index = GrayIndex(_turned(code[key == k], block, part))
@@ -261,8 +279,9 @@ def links(codes: DataFrame) -> DataFrame:
 
     ``codes`` has one column ``code`` (long) of distinct fingerprints; nulls are left out.
     """
-    dealt = _dealt(codes.filter("code is not null")).repartition("key")
-    return dealt.select("key.k", "code").mapInArrow(_linked, "src bigint, dst bigint")
+    dealt = _dealt(codes.filter("code is not null")).select("key.k", "key.bits", "code")
+    dealt = dealt.repartition("k", "bits").sortWithinPartitions("k", "bits")
+    return dealt.mapInArrow(_linked, "src bigint, dst bigint")
 
 
 # -- documents ---------------------------------------------------------------------------------

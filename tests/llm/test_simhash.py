@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -102,6 +104,41 @@ def test_links_and_components(spark):
     assert len(set(zip(got, want, strict=True))) == len(set(want)) == len(set(got))
 
 
+@pytest.mark.parametrize("held", [1, 5, 100, 1 << 18])
+def test_links_key_by_key(monkeypatch, held):
+    """However few codes a task holds, the links within the keys are the same."""
+    codes = near_codes(4)
+    signed = np.array(codes, np.uint64).view(np.int64)
+    rows = sorted(
+        (4 * block + part, int(simhash._turned(np.array([c], np.uint64), block, part)[0] >> np.uint64(36)), int(s))
+        for c, s in zip(codes, signed, strict=True)
+        for block in range(4)
+        for part in range(4)
+    )
+    columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+    batch = pa.RecordBatch.from_arrays(columns, ["k", "bits", "code"])
+    monkeypatch.setattr(simhash, "HELD", held)
+    parts = [batch.slice(at, 3) for at in range(0, batch.num_rows, 3)]
+    sizes, plain = [], simhash._links_of
+    monkeypatch.setattr(simhash, "_links_of", lambda r: (sizes.append(r.shape[1]), plain(r))[1])
+    links = [pair for b in simhash._linked(iter(parts)) for pair in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert sum(sizes) == len(rows)
+    widest = max(Counter((k, b) for k, b, _ in rows).values())
+    assert max(sizes) <= held + 3 + widest
+    parent = {int(s): int(s) for s in signed}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[root(a)] = root(b)
+    want = plain_components(list(range(len(codes))), codes)
+    got = [root(int(s)) for s in signed]
+    assert len(set(zip(got, want, strict=True))) == len(set(want)) == len(set(got))
+
+
 def test_components_of_a_long_chain(spark):
     df = spark.range(300).selectExpr("id as src", "id + 1 as dst")
     assert {r["root"] for r in components(df).collect()} == {0}
