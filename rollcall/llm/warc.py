@@ -30,6 +30,8 @@ from rollcall.llm.registry import query
 #: Unpacked bytes after which a frame, and a bundle, is closed. A longer record has its own frame.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 64 << 20
 LEAST_REVISIT = 100
+#: Frames that a task reads back, on average.
+FRAMES_READ = 64
 DATE = "1970-01-01T00:00:00Z"
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -228,8 +230,14 @@ def archive(pages: DataFrame, folder: str, page_id: str = "page_id", url: str =
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """The records of (a part of) an index, read by frame and offset; payloads are verified."""
-    frames = index.groupBy("bundle", "frame_start", "frame_size").agg(
+    """The records of (a part of) an index, read by frame and offset; payloads are verified.
+
+    Frames, which are alike in size, are dealt out to tasks, ``FRAMES_READ`` to each on average; the
+    count keeps the planner from packing the small index into one task.
+    """
+    tasks = -(-index.select("bundle", "frame_start").distinct().count() // FRAMES_READ)
+    dealt = index.repartition(max(1, tasks), "bundle", "frame_start")
+    frames = dealt.groupBy("bundle", "frame_start", "frame_size").agg(
         F.collect_list(F.struct("offset", "length")).alias("places")
     )
 

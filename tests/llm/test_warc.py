@@ -82,3 +82,13 @@ def test_empty(spark, pages):
 
 def test_query_against_sql(spark, small):
     same(warc.op1_warc(spark, small), warc.SQL, {"pages": f"{small}/pages.parquet"})
+
+
+def test_frames_are_read_by_several_tasks(spark, pages, monkeypatch):
+    monkeypatch.setattr(warc, "FRAMES_READ", 1)
+    monkeypatch.setattr(warc, "FRAME_BYTES", 200)
+    index = warc.archive(pages, scratch(spark, "test"))
+    frames = index.select("bundle", "frame_start").distinct().count()
+    found = warc.read_records(index)
+    tasks = found.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert frames > 3 and tasks > 1 and found.count() == pages.count()
