@@ -44,8 +44,8 @@ HIDDEN, WINDOW = 16, 16
 #: Texts that start the weights, and how often they are read.
 WARM_ROWS, WARM_EPOCHS, WARM_SIDE_BY_SIDE = 600, 2, 48
 RATE = 0.1
-#: Bytes of text that a task holds at once, texts side by side in scoring and in training.
-CHUNK_BYTES, SIDE_BY_SIDE, TRAIN_SIDE_BY_SIDE = 18 << 20, 4096, 256
+#: Bytes of text, or of coded words, that a task holds at once; texts side by side in scoring and in training.
+CHUNK_BYTES, SIDE_BY_SIDE, TRAIN_SIDE_BY_SIDE = 9 << 20, 4096, 256
 #: Words that a counting task holds, floats in a block of weights, partial means of a block.
 COUNTED, BLOCK, SLOTS = 1_000_000, 1 << 14, 256
 
