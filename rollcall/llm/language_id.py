@@ -3,7 +3,8 @@
 **Letters.** Texts are read in lower case, and everything between letters is one space; a text
 without a letter has no language. Characters get a number where they occur in the samples.
 
-**Samples.** Labelled texts are picked by a hash of the id, about as many of each language; of their pieces of ``PIECE`` characters, wherever they stand in a text, those with the smallest hashes
+**Samples.** Labelled texts are picked by a hash of the id, about as many of each language; of
+their pieces of ``PIECE`` characters, wherever they stand in a text, those with the smallest hashes
 are kept until a language has its share of ``SAMPLE`` characters.
 
 **Automaton.** A suffix automaton of each language's pieces accepts exactly the strings that occur in
