@@ -7,10 +7,13 @@ follow it in tasks:
 1. Texts become token ids; longer documents are cut into whole sequences and a rest.
 2. Lengths are grouped into steps of ``GRID`` tokens. Patterns of up to three grid lengths fill
    a sequence. Repeat counts x >= 0 that reproduce the histogram (least squares with a weight on
-   missed lengths) are found by an active-set method, and rounded down to whole patterns. A
-   pattern takes the longest pieces of its cells, and at last the longest that still fits.
-3. What rounding leaves, and the gaps inside the patterns, are filled best fit first, longest
-   pieces first, again with counts of equal sequences instead of single ones.
+   missed lengths) are found by an active-set method. What these patterns cannot reproduce, as
+   where most pieces are short, is met by patterns of more pieces: the one that lowers the squares
+   fastest fills a sequence with the largest sum of missed counts, and is added until none does.
+   Counts are rounded down to whole patterns. A pattern takes pieces of its cells, the last two so
+   that the sequence is full; what is left is fitted again until hardly any sequence gets full.
+3. What remains is placed best fit first, longest pieces first, again with counts of equal
+   sequences instead of single ones.
 4. Piece number r of a length takes the r-th place that the plan has for that length. The numbers
    come from counts per task, so no task sees all pieces of one length.
 """
@@ -38,10 +41,8 @@ from rollcall.llm.registry import query
 LENGTH = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Grid of the patterns; a pattern has at most three of LENGTH / GRID lengths.
-GRID = 256
-#: Pieces shorter than this are kept for the gaps.
-LEAST = 1024
+#: Grid of the patterns: LENGTH / GRID lengths.
+GRID = 32
 #: Chunks of text whose ids a task remembers; a full memory is dropped and filled again.
 REMEMBERED = 300_000
 PRINTABLE = "".join(map(chr, range(0x21, 0x7F)))
@@ -198,20 +199,23 @@ def patterns(cells: int) -> np.ndarray:
     return matrix
 
 
-def least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndarray:
-    """x >= 0 that minimises |a x - b| (active sets, Lawson and Hanson)."""
-    gram, target = a.T @ a, a.T @ b
-    x = np.zeros(a.shape[1])
-    active = np.zeros(a.shape[1], bool)
-    tolerance = 1e-9 * max(1.0, np.abs(target).max(initial=0))
-    for _ in range(rounds):
-        slope = target - gram @ x
+def least_squares(a: np.ndarray, b: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """x >= 0 that minimises |a x - b| (active sets, Lawson and Hanson), sought from ``start``."""
+    x = np.zeros(a.shape[1]) if start is None else start.copy()
+    active = x > 0
+    tolerance = 1e-9 * max(1.0, np.abs(a.T @ b).max(initial=0))
+    error = np.inf
+    while True:
+        left = b - a @ x
+        slope = a.T @ left
         slope[active] = -np.inf
         best = int(np.argmax(slope))
-        if slope[best] <= tolerance:
-            break
+        # Each round lowers the squares until digits run out.
+        if slope[best] <= tolerance or left @ left >= error:
+            return x
+        error = left @ left
         active[best] = True
-        while True:
+        while active.any():
             on = np.flatnonzero(active)
             inner = np.linalg.lstsq(a[:, on], b, rcond=None)[0]
             if inner.min() > 0:
@@ -223,9 +227,45 @@ def least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndarra
             x[on] += step * (inner - x[on])
             active[on[x[on] <= 1e-12]] = False
             x[~active] = 0
-            if not active.any():
-                break
-    return x
+
+
+def fullest(worth: np.ndarray) -> np.ndarray:
+    """How often to take each length 1, 2, ... so that they fit the longest and are worth most."""
+    cells = len(worth)
+    value, last = np.zeros(cells + 1), np.zeros(cells + 1, int)
+    for room in range(1, cells + 1):
+        total = value[room - 1 :: -1][:room] + worth[:room]
+        best = int(np.argmax(total))
+        value[room], last[room] = max((total[best], best + 1), (value[room - 1], 0))
+    taken, room = np.zeros(cells), cells
+    while room:
+        if last[room]:
+            taken[last[room] - 1] += 1
+        room -= last[room] or 1
+    return taken
+
+
+def fitted(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (lengths by patterns) and how often each is repeated, to reproduce ``counts``."""
+    cells = len(counts)
+    # Missing a long piece costs more room than missing a short one.
+    weight = np.sqrt(np.arange(1, cells + 1) / cells)
+    target = counts * weight
+    matrix = patterns(cells)
+    matrix = matrix[:, ~matrix[counts == 0].any(0)]
+    repeats = least_squares(matrix * weight[:, None], target) if matrix.size else np.zeros(0)
+    error = np.inf
+    while True:
+        matrix, repeats = matrix[:, repeats > 0], repeats[repeats > 0]
+        left = target - (matrix @ repeats) * weight
+        if left @ left >= error * (1 - 1e-9) or np.abs(left / weight).max() < 0.5:
+            return matrix, repeats
+        error = left @ left
+        more = fullest(np.where(counts > 0, left * weight, -1.0))
+        if not more.any():
+            return matrix, repeats
+        matrix = np.column_stack([matrix, more])
+        repeats = least_squares(matrix * weight[:, None], target, np.append(repeats, 0.0))
 
 
 class Bins:
@@ -287,24 +327,33 @@ class Bins:
             count -= each * used
 
 
-def _exact(parts: list[int], of_cell: dict, there: list, left: dict, length: int) -> list | None:
-    """Lengths for a pattern: the longest of each cell, at last the longest that still fits."""
-    sizes: list[int] = []
-    room = length
-    for i, c in enumerate(parts):
-        last = i == len(parts) - 1 and i > 0
-        some = there if last else of_cell[c]
-        at = bisect.bisect_right(some, room) - 1
-        while at >= 0 and left[some[at]] <= sizes.count(some[at]):
-            at -= 1
-        if at < 0:
+def _exact(cells: list[int], of_cell: dict, there: list, left: dict, length: int, grid: int) -> list | None:
+    """Lengths for a pattern, near those of its cells, that fill the sequence; None where there are none.
+
+    Each is the longest of its cell that keeps the sum on the pattern's course. The last two make
+    the sequence full; they come from other cells where their own have no such two.
+    """
+    used: Counter = Counter()
+    room, rest = length, grid * sum(cells)
+    for c in cells[:-2]:
+        rest -= grid * c
+        some = of_cell[c]
+        free = [x for x in some if left[x] > used[x]]
+        at = bisect.bisect_right(free, room - rest)
+        # All may be longer.
+        size = free[max(0, at - 1)] if free else room
+        if size >= room:
             return None
-        sizes.append(some[at])
-        room -= some[at]
-    return sizes
+        used[size] += 1
+        room -= size
+    for a in (*reversed(of_cell[cells[-2:][0]]), *reversed(there)):
+        b = room - a
+        if left[a] > used[a] and left.get(b, 0) > used[b] + (a == b):
+            return [*used.elements(), a, b]
+    return None
 
 
-def plan_sequences(histogram: dict[int, int], length: int = LENGTH, grid: int = GRID, least: int = LEAST) -> list[tuple]:
+def plan_sequences(histogram: dict[int, int], length: int = LENGTH, grid: int = GRID) -> list[tuple]:
     """(length, first rank, first sequence, count, offset) so that every piece has a place.
 
     A piece of that length with a rank from ``first rank`` on goes to the sequence as many
@@ -314,41 +363,52 @@ def plan_sequences(histogram: dict[int, int], length: int = LENGTH, grid: int =
     bins = Bins(length)
     if left.get(length):
         bins.new([length], left.pop(length))
-    cells = length // grid
-    of_cell: dict[int, list[int]] = defaultdict(list)
-    for size in left:
-        if size >= least:
-            of_cell[max(1, round(size / grid))].append(size)
-    counts = np.array([sum(left[s] for s in of_cell[c + 1]) for c in range(cells)], float)
-    if counts.sum():
-        matrix = patterns(cells)
-        # Missing a long piece costs more room than missing a short one.
-        weight = np.sqrt(np.arange(1, cells + 1) / cells)[:, None]
-        repeats = np.floor(least_squares(matrix * weight, counts * weight[:, 0]) + 1e-6).astype(int)
-        there = [s for s in left if left[s]]
-        for k in np.argsort(-repeats, kind="stable"):
-            parts = [c + 1 for c in range(cells) for _ in range(int(matrix[c, k]))][::-1]
-            todo = int(repeats[k])
-            while todo:
-                # A run of equal sequences ends where one of its lengths is used up.
-                seen = _exact(parts, of_cell, there, left, length)
-                if seen is None:
-                    break
-                times = min([todo, *(left[s] // n for s, n in Counter(seen).items())])
-                bins.new(seen, times)
-                for s in seen:
-                    left[s] -= times
-                for s in set(seen):
-                    if not left[s]:
-                        there.remove(s)
-                        if s >= least:
-                            of_cell[max(1, round(s / grid))].remove(s)
-                todo -= times
+    left = follow_patterns(bins, left, grid)
     for size in sorted(left, reverse=True):
         bins.fill(size, left[size])
     return bins.plan
 
 
+def follow_patterns(bins: Bins, left: dict[int, int], grid: int = GRID) -> dict[int, int]:
+    """Put pieces (count of each length) into full sequences that repeat patterns; returns the others.
+
+    What rounding and missing lengths leave is fitted again, as long as that places a hundredth of it.
+    """
+    before = np.inf
+    while left and sum(left.values()) <= 0.99 * before:
+        before = sum(left.values())
+        _follow(bins, left, grid)
+        left = {s: n for s, n in left.items() if n}
+    return left
+
+
+def _follow(bins: Bins, left: dict[int, int], grid: int) -> None:
+    of_cell: dict[int, list[int]] = defaultdict(list)
+    for size in left:
+        of_cell[max(1, round(size / grid))].append(size)
+    counts = np.array([sum(left[s] for s in of_cell[c + 1]) for c in range(bins.length // grid)], float)
+    matrix, repeats = fitted(counts)
+    repeats = np.floor(repeats + 1e-6).astype(int)
+    there = list(left)
+    for k in np.argsort(-repeats, kind="stable"):
+        cells = [c + 1 for c in range(len(counts)) for _ in range(int(matrix[c, k]))][::-1]
+        todo = int(repeats[k])
+        while todo:
+            # A run of equal sequences ends where one of its lengths is used up.
+            seen = _exact(cells, of_cell, there, left, bins.length, grid)
+            if seen is None:
+                break
+            times = min([todo, *(left[s] // n for s, n in Counter(seen).items())])
+            bins.new(seen, times)
+            for s in seen:
+                left[s] -= times
+            for s in set(seen):
+                if not left[s]:
+                    there.remove(s)
+                    of_cell[max(1, round(s / grid))].remove(s)
+            todo -= times
+
+
 # -- placing -----------------------------------------------------------------------------------
 
 

@@ -45,6 +45,43 @@ def test_least_squares():
         assert (x >= 0).all() and (slope <= 1e-6).all() and abs(slope[x > 0]).max(initial=0) < 1e-6
 
 
+def test_fullest_against_all_patterns():
+    rng = np.random.default_rng(2)
+    for cells in (1, 5, 9):
+        worth = rng.normal(size=cells)
+        most = 0.0
+        todo = [(0.0, cells, cells)]
+        while todo:
+            value, room, longest = todo.pop()
+            most = max(most, value)
+            todo += [(value + worth[c - 1], room - c, c) for c in range(1, min(room, longest) + 1)]
+        taken = packing.fullest(worth)
+        assert taken @ np.arange(1, cells + 1) <= cells and taken @ worth == pytest.approx(most)
+
+
+def test_patterns_reproduce_the_histogram():
+    """Also one of short lengths only, which no three of them fill."""
+    rng = np.random.default_rng(4)
+    for most in (32, 6):
+        counts = np.zeros(32)
+        counts[:most] = rng.integers(0, 5000, most)
+        matrix, repeats = packing.fitted(counts)
+        assert (matrix.T @ np.arange(1, 33) <= 32).all() and (repeats > 0).all()
+        assert np.abs(matrix @ repeats - counts).max() < 0.01 * counts.max()
+
+
+@pytest.mark.parametrize("most", [300, 1000, 4000])
+def test_most_pieces_follow_patterns(most):
+    rng = random.Random(most)
+    sizes = dict(sorted(Counter(rng.randrange(1, most) for _ in range(20000)).items()))
+    bins = packing.Bins(4096)
+    left = packing.follow_patterns(bins, sizes)
+    assert sum(left.values()) < 20000 / 4
+    # Sequences by patterns are full.
+    assert not any(bins.groups.values())
+    assert bins.next * 4096 == sum(size * count for size, _, _, count, _ in bins.plan)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_is_gapless_and_tight(seed):
     rng = random.Random(seed)
