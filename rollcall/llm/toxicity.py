@@ -36,7 +36,7 @@ EPOCHS, BATCH, RATE = 6, 64, 0.05
 #: A language with fewer toxic rows than this uses the threshold of all.
 LEAST_TOXIC = 25
 #: Words whose bucket a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Words of a long text that are looked up at once.
 PART = 1 << 14
 
