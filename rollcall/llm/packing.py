@@ -22,8 +22,8 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import os
-import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,16 +44,18 @@ END = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Grid of the patterns: LENGTH / GRID lengths.
 GRID = 32
-#: Chunks of text whose ids a task remembers; a full memory is dropped and filled again.
-REMEMBERED = 300_000
+#: Words whose ids a task remembers; a full memory is dropped and filled again.
+REMEMBERED = 400_000
+#: Bytes of text that a task codes at once; a longer text is coded alone.
+CODED_BYTES = 4 << 20
 PRINTABLE = "".join(map(chr, range(0x21, 0x7F)))
 #: Letters that every Unicode rule of the vocabulary keeps or lower-cases one by one.
 LATIN = "".join(
     chr(c) for c in range(0xC0, 0x17F) if chr(c).isalpha() and len(chr(c).lower()) == 1 and c != 0x149
 )
-PLAIN = re.compile(f"[!-~{LATIN}]+")
+PLAIN = f"^[!-~{LATIN}]+$"
 #: The split pattern of the vocabulary, for lower-case text of these characters.
-PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^a-z0-9{LATIN}]+")
+PARTS = f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^a-z0-9{LATIN}]+"
 
 PLACE = T.StructType(
     [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
@@ -68,8 +71,9 @@ class Encoder:
     """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
     The vocabulary's rules never look across ASCII white space, so a chunk between white space
-    has the same ids in every text and is remembered. Chunks of printable ASCII and plain Latin
-    letters are taken apart by the vocabulary's own pattern here, and only words that are new go
+    has the same ids in every text. The chunks of a batch are brought together, each different one
+    is coded once, and ids are put in their places by Arrow. Chunks of printable ASCII and plain
+    Latin letters are taken apart by the vocabulary's own pattern, and only words that are new go
     to its merges; any other chunk goes through the whole tokenizer.
     """
 
@@ -85,39 +89,64 @@ class Encoder:
             ord(c): "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c))
             for c in PRINTABLE + LATIN.lower()
         }
-        self.chunks: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        if len(self.words) >= REMEMBERED:
-            self.words.clear()
-        ids = [x.id for x in self.model.tokenize(word.translate(self.spelling))]
-        self.words[word] = coded = np.array(ids, "<u4").tobytes()
-        return coded
-
-    def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        if PLAIN.fullmatch(text) and "<|" not in text:
-            get = self.words.get
-            return b"".join([get(x) or self._word(x) for x in PARTS.findall(text.lower())])
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for text in texts:
-            words = (text or "").encode().split()
-            chunks = self.chunks
-            for w in words:
-                if w not in chunks:
-                    found = self.older.get(w)
-                    chunks[w] = self._chunk(w) if found is None else found
-            out.append(b"".join([chunks[w] for w in words]))
-            if len(chunks) > REMEMBERED:
-                # What is still in use moves on from the older memory when it is met again.
-                self.older, self.chunks = chunks, {}
-        return out
+        # What has been met, and its ids.
+        self.words, self.ids = pa.array([], pa.string()), _lists([])
+
+    def _words(self, words: pa.Array) -> pa.ListArray:
+        """The ids of different words; those that are new are remembered."""
+        place = pc.index_in(words, value_set=self.words)
+        new = words.filter(place.is_null())
+        spelt = [x.translate(self.spelling) for x in new.to_pylist()]
+        known = pa.concat_arrays([self.words, new])
+        ids = pa.concat_arrays([self.ids, _lists([[x.id for x in self.model.tokenize(w)] for w in spelt])])
+        place = pc.fill_null(place, -1).to_numpy().astype(np.int64)
+        place[place < 0] = len(self.words) + np.arange(len(new))
+        found = ids.take(pa.array(place))
+        # A full memory keeps what is in use.
+        self.words, self.ids = (known, ids) if len(known) <= REMEMBERED else (words, found)
+        return found
+
+    def _others(self, chunks: pa.Array) -> pa.ListArray:
+        encode = self.tokenizer.encode
+        return _lists([encode(x, add_special_tokens=False).ids for x in chunks.to_pylist()])
+
+    def _chunks(self, chunks: pa.Array) -> pa.ListArray:
+        """The ids of every chunk."""
+        plain = pc.and_not(pc.match_substring_regex(chunks, PLAIN), pc.match_substring(chunks, "<|"))
+        lower = pc.utf8_lower(pc.if_else(plain, chunks, ""))
+        # A mark after each match, and a chunk that is not plain as one part.
+        marked = pc.replace_substring_regex(lower, PARTS, "\\0\x1f")
+        split = pc.split_pattern(pc.utf8_rtrim(marked, "\x1f"), "\x1f")
+        parts = split.flatten().dictionary_encode()
+        found = self._words(parts.dictionary).take(parts.indices)
+        lists = pa.ListArray.from_arrays(found.offsets.take(split.offsets), found.values)
+        others = pc.invert(plain)
+        if not pc.any(others).as_py():
+            return lists
+        # Their ids stand behind those of the plain chunks.
+        more = self._others(chunks.filter(others))
+        place = np.arange(len(chunks))
+        place[others.to_numpy(zero_copy_only=False)] = len(chunks) + np.arange(len(more))
+        return pa.concat_arrays([lists, more]).take(pa.array(place))
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        # White space at either end of a text leaves empty strings, which have no ids.
+        words = split.flatten().dictionary_encode()
+        if not len(words):
+            return [b""] * len(texts)
+        found = self._chunks(words.dictionary).take(words.indices)
+        ends = found.offsets.take(split.offsets).to_numpy()
+        ids = memoryview(np.ascontiguousarray(found.values.to_numpy(), "<u4")).cast("B")
+        return [bytes(ids[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _lists(ids: list[list[int]]) -> pa.ListArray:
+    """Ids as Arrow lists."""
+    ends = np.cumsum([0, *map(len, ids)])
+    flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, ends[-1])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
 @functools.cache
@@ -126,6 +155,17 @@ def encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows in a row whose texts in ``column`` have up to ``size`` bytes together, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        held = ends[at] - sizes[at]
+        end = max(at + 1, int(np.searchsorted(ends, held + size, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def cut(ids: bytes, length: int, end: int) -> list[tuple[int, bytes]]:
     """(start, ids) of a document's pieces; the end token is added first."""
     ids += end.to_bytes(4, "little")
@@ -154,9 +194,8 @@ def pieces(
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, places = encoder(path), np.zeros(length + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                cuts = [cut(x, length, end) for x in coder.encode(part.column(1).to_pylist())]
+            for part in slices(batch, 1, CODED_BYTES):
+                cuts = [cut(x, length, end) for x in coder.encode(part.column(1))]
                 who = np.repeat(np.arange(len(cuts)), [len(x) for x in cuts])
                 flat = [x for one in cuts for x in one]
                 sizes = np.array([len(x) // 4 for _, x in flat], np.int64)

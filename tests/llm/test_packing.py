@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -156,3 +158,24 @@ def test_query(spark, small):
     docs = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     used = check(rows, docs)
     assert used <= 1.01 * sum(r.length for r in rows) / 4096 + 2
+
+
+def test_words_are_remembered_in_little_memory():
+    """What a worker keeps between tasks stays small, also where chunks hardly ever repeat."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(20_000)]
+    texts = [" ".join(f"{rng.choice(words)}{rng.choice('.,;:!?#')}{rng.choice('.,;:!?#')}" for _ in range(200)) for _ in range(1000)]
+    encoder = packing.Encoder(PATH)
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+    for at in range(0, 1000, 100):
+        encoder.encode(texts[at : at + 100])
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 4e6 and encoder.encode(texts[:20]) == whole(texts[:20])
+
+
+def test_slices_hold_the_bytes_they_may():
+    texts = ["x" * n for n in (3, 3, 5, 20, 0, 1)] + [None, "y" * 9]
+    batch = pa.record_batch({"n": range(8), "text": texts})
+    assert [part.column(0).to_pylist() for part in packing.slices(batch, 1, 8)] == [[0, 1], [2], [3], [4, 5, 6], [7]]
