@@ -27,8 +27,9 @@ from rollcall.operators.keys import Keys, as_list
 MERGE_FAN_IN = 256
 # Bytes that a task reads, about; sets how many partial results to expect.
 SPLIT_BYTES = 128 << 20
-# Rows a task gathers before it reduces them by group, in bytes of numbers.
-HELD_BYTES = 64 << 20
+# Rows a task gathers before it reduces them by group, in bytes of numbers. Reducing takes some
+# times that for a moment; running moments of many groups may take four times that.
+HELD_BYTES = 4 << 20
 
 PARTS = ("n", "mean", "spread", "cross")
 
@@ -198,6 +199,44 @@ def _rows_of(found: Moments, keys: pa.Table | None, schema: pa.Schema) -> pa.Tab
     return pa.Table.from_arrays(columns, names=schema.names)
 
 
+def _numbers(rows: pa.RecordBatch | pa.Table, names: list[str]) -> np.ndarray:
+    options = {"zero_copy_only": False} if isinstance(rows, pa.RecordBatch) else {}
+    return np.column_stack([rows.column(c).to_numpy(**options) for c in names])
+
+
+def reduced_by_group(
+    batches: Iterator[pa.RecordBatch], names: list[str], by: list[str], arrow: pa.Schema, held_bytes: int
+) -> Iterator[pa.RecordBatch]:
+    """Moment rows of the groups of a task's rows, in memory that grows with neither.
+
+    Running moments of the groups seen so far leave the task only when they are many.
+    """
+    limit = max(1, held_bytes // (8 * len(names)))
+    held: list[pa.RecordBatch] = []
+    running: list[pa.Table] = []
+
+    def reduce_held() -> None:
+        table = pa.Table.from_batches(held)
+        held.clear()
+        order, starts = _by_group(table, by)
+        found = Moments.of_rows(_numbers(table, names)[order], starts)
+        running.append(_rows_of(found, table.select(by).take(order[starts]), arrow))
+        if len(running) > 1:
+            running[:] = [_merged(pa.concat_tables(running), by, arrow)]
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= limit:
+            reduce_held()
+            if running[0].nbytes > 4 * held_bytes:
+                yield from running.pop().to_batches()
+    if held:
+        reduce_held()
+    for table in running:
+        yield from table.to_batches()
+
+
 def pair_moments(df: DataFrame, cols: Sequence[str], by: Keys = ()) -> DataFrame:
     """One row (per group) with the flattened matrices ``n``, ``mean``, ``spread``, ``cross``."""
     by = as_list(by)
@@ -206,18 +245,13 @@ def pair_moments(df: DataFrame, cols: Sequence[str], by: Keys = ()) -> DataFrame
     fields = [T.StructField(p, T.ArrayType(T.DoubleType())) for p in PARTS]
     schema = T.StructType([*(rows.schema[c] for c in by), *fields])
     arrow = to_arrow_schema(schema)
-    limit = max(1, HELD_BYTES // (8 * len(names)))
-
-    def numbers(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
-        return np.column_stack(
-            [batch.column(c).to_numpy(**({} if by else {"zero_copy_only": False})) for c in names]
-        )
+    held_bytes = HELD_BYTES
 
     def all_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Moments] = []
         for batch in batches:
             if batch.num_rows:
-                held.append(Moments.of_rows(numbers(batch)))
+                held.append(Moments.of_rows(_numbers(batch, names)))
             if len(held) == MERGE_FAN_IN:
                 held = [Moments.stacked(held).combined([0])]
         if held:
@@ -225,30 +259,7 @@ def pair_moments(df: DataFrame, cols: Sequence[str], by: Keys = ()) -> DataFrame
             yield from _rows_of(whole, None, arrow).to_batches()
 
     def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Running moments of the groups seen so far; they leave the task only when they are many.
-        held: list[pa.RecordBatch] = []
-        running: list[pa.Table] = []
-
-        def reduce_held() -> None:
-            table = pa.Table.from_batches(held)
-            held.clear()
-            order, starts = _by_group(table, by)
-            found = Moments.of_rows(numbers(table)[order], starts)
-            running.append(_rows_of(found, table.select(by).take(order[starts]), arrow))
-            if len(running) > 1:
-                running[:] = [_merged(pa.concat_tables(running), by, arrow)]
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(b.num_rows for b in held) >= limit:
-                reduce_held()
-                if running[0].nbytes > HELD_BYTES:
-                    yield from running.pop().to_batches()
-        if held:
-            reduce_held()
-        for table in running:
-            yield from table.to_batches()
+        yield from reduced_by_group(batches, names, by, arrow, held_bytes)
 
     parts = rows.mapInArrow(by_group if by else all_rows, schema)
     return _merge_tree(parts, by, expected_tasks(df))

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 import time
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
-from rollcall.operators import linear
+from rollcall.operators import linear, moments
 from rollcall.operators.moments import Moments, pair_moments
 
 XS = ["a", "b", "c", "d", "e"]
@@ -409,3 +411,25 @@ def test_many_partials_of_one_group(spark, monkeypatch):
     for g, row in want.items():
         for part in module.PARTS:
             assert got[g][part] == pytest.approx(row[part], rel=1e-9, abs=1e-6)
+
+
+def test_a_task_reduces_its_rows_in_little_memory():
+    """However many rows of however many groups a task reads."""
+    arrow = pa.schema([("g", pa.int64()), *((p, pa.list_(pa.float64())) for p in moments.PARTS)])
+    for groups in (25, 10**9):
+
+        def batches():
+            for at in range(0, 2_000_000, 10_000):
+                i = np.arange(at, at + 10_000)
+                x = (i % 101).astype(float)
+                yield pa.record_batch({"g": i % groups, "_x0": x, "_x1": 3 * x + i % 7})
+
+        tracemalloc.start()
+        n = 0
+        for part in moments.reduced_by_group(batches(), ["_x0", "_x1"], ["g"], arrow, moments.HELD_BYTES):
+            n += sum(part.column(1).flatten().to_numpy()[::4])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == 2_000_000 and peak < 200e6
+        if groups == 25:
+            assert peak < 50e6
