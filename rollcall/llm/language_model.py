@@ -45,7 +45,7 @@ HIDDEN, WINDOW = 16, 16
 WARM_ROWS, WARM_EPOCHS, WARM_SIDE_BY_SIDE = 600, 2, 48
 RATE = 0.1
 #: Bytes of text, or of coded words, that a task holds at once; texts side by side in scoring and in training.
-CHUNK_BYTES, SIDE_BY_SIDE, TRAIN_SIDE_BY_SIDE = 9 << 20, 4096, 256
+CHUNK_BYTES, SIDE_BY_SIDE, TRAIN_SIDE_BY_SIDE = 9 << 20, 1024, 256
 #: Words that a counting task holds, floats in a block of weights, partial means of a block.
 COUNTED, BLOCK, SLOTS = 1_000_000, 1 << 14, 256
 
@@ -70,7 +70,7 @@ def form(word: bytes) -> int:
     if not word:
         return 0
     last = word[-1]
-    foreign = next((b for a, b in zip(word, word[1:], strict=False) if a >= 0xC0), None)
+    foreign = None if word.isascii() else next((b for a, b in zip(word, word[1:], strict=False) if a >= 0xC0), None)
     if 97 <= last <= 122 or last >= 128:
         if foreign is not None:
             return _ENDINGS + (foreign & 0x1F) // 4
@@ -127,6 +127,13 @@ class Vocabulary:
         self.inputs = np.concatenate([head, HEAD + kinds]).astype(np.int32)
         self.classes = np.concatenate([head // size, HEAD_CLASSES + kinds]).astype(np.int32)
         self.inner = (head % size).astype(np.int32)
+        #: Input row by place; an unknown word of form k is the k-th from the end.
+        self.rows = np.concatenate([self.inputs, HEAD + np.arange(FORMS)[::-1]]).astype(np.int16)
+        #: By input row: class, and for the head the place in the class; first rows of the head classes.
+        row = np.arange(HEAD + FORMS)
+        self.row_classes = np.where(row < HEAD, row // size, HEAD_CLASSES + row - HEAD)
+        self.row_inner = row % size
+        self.bounds = np.minimum(np.arange(HEAD_CLASSES + 1) * size, HEAD)
         self.set_forms(forms)
 
     def set_forms(self, forms: dict[int, tuple[int, int]]) -> None:
@@ -156,15 +163,14 @@ class Vocabulary:
             ids[at] = -1 - form(word)
         return ids, rare
 
+    def input_rows(self, ids: np.ndarray) -> np.ndarray:
+        """Input rows of encoded words; small numbers, which are sorted by their digits."""
+        return self.rows[ids]
+
     def coded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Input rows and classes of encoded words."""
-        kinds = -1 - ids
-        unknown = ids < 0
-        safe = np.where(unknown, 0, ids)
-        return (
-            np.where(unknown, HEAD + kinds, self.inputs[safe]).astype(np.int32),
-            np.where(unknown, HEAD_CLASSES + kinds, self.classes[safe]).astype(np.int32),
-        )
+        rows = self.input_rows(ids).astype(np.int32)
+        return rows, self.row_classes[rows].astype(np.int32)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -198,13 +204,6 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 # -- network -----------------------------------------------------------------------------------
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
 class Network:
     """Input table, recurrent weights, and the two softmax layers."""
 
@@ -251,43 +250,41 @@ class Network:
             at += n
         return self
 
-    def step(self, h: np.ndarray, x: np.ndarray):
-        """The next state after words with the input rows ``x``, and what the way back needs."""
-        gates = _sigmoid(h @ self.p["gates"] + x[:, : 2 * HIDDEN])
-        r, z = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        inner = h @ self.p["fresh"] + self.p["shift"]
-        n = np.tanh(r * inner + x[:, 2 * HIDDEN :])
-        return n + z * (h - n), (h, r, z, inner, n)
-
-    def read(self, group: Group, places: list[np.ndarray]) -> list[np.ndarray]:
-        """The input rows of a window's words, step by step."""
-        rows = self.p["inputs"][group.inputs[np.concatenate(places)]]
-        return np.split(rows, np.cumsum([len(x) for x in places])[:-1])
-
-    def _heads(self, h: np.ndarray, classes: np.ndarray):
-        """Rows with a frequent word, by class, and for each class its part of them and its logits."""
-        head = np.flatnonzero(classes < HEAD_CLASSES)
-        order = head[np.argsort(classes[head], kind="stable")]
-        ends = np.searchsorted(classes[order], np.arange(HEAD_CLASSES + 1))
-        sorted_h = h[order]
-        weights = np.concatenate([self.p["words"], self.p["word_bias"][:, None]], axis=1)
-        parts = [
-            (c, slice(ends[c], ends[c + 1]), sorted_h[ends[c] : ends[c + 1]] @ weights[c])
-            for c in range(HEAD_CLASSES)
-            if ends[c + 1] > ends[c]
-        ]
-        return order, sorted_h, parts
-
-    def _of_classes(self, h: np.ndarray) -> np.ndarray:
-        """Logits of the classes."""
-        return h @ np.concatenate([self.p["classes"], self.p["class_bias"][None]])
+    def read(self, h: np.ndarray, group: Group, places: list[range]):
+        """Read the words of a window; ``h`` are the states before it.
 
-    @staticmethod
-    def _with_one(states: list[np.ndarray]) -> np.ndarray:
-        """States in a row, each with a one at its end, which the biases multiply."""
-        whole = np.ones((sum(map(len, states)), HIDDEN + 1), states[0].dtype)
-        np.concatenate(states, out=whole[:, :HIDDEN])
-        return whole
+        Returns the states before each word; its reset gate, update gate and fresh state, one table
+        for each, so that what a step works on lies side by side; what the reset gate multiplies; and
+        the states after the window.
+        """
+        first, size = places[0].start, places[-1].stop - places[0].start
+        # The gates' sums are negative throughout, as the exponential wants them.
+        inputs = np.stack(np.split(self.p["inputs"], 3, axis=1))
+        np.negative(inputs[:2], out=inputs[:2])
+        weights = -np.stack(np.split(self.p["gates"], 2, axis=1))
+        shift = np.tile(self.p["shift"], (len(places[0]), 1))
+        x = inputs.take(group.inputs[first : first + size], axis=1)
+        states, inner = np.empty((2, size, HIDDEN), x.dtype)
+        states[: len(places[0])] = h
+        for step, some in enumerate(places):
+            at, n = slice(some.start - first, some.stop - first), len(some)
+            now = states[at]
+            gates, fresh, through = x[:2, at], x[2, at], inner[at]
+            gates += now @ weights
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            np.matmul(now, self.p["fresh"], out=through)
+            through += shift[:n]
+            fresh += gates[0] * through
+            np.tanh(fresh, out=fresh)
+            more = step + 1 < len(places)
+            after = states[at.stop : at.stop + len(places[step + 1])] if more else np.empty_like(now)
+            n = len(after)
+            np.subtract(now[:n], fresh[:n], out=after)
+            after *= gates[1, :n]
+            after += fresh[:n]
+        return states, x, inner, after
 
     def _bounded(self) -> None:
         """Keep every logit under 80, so that its exponential needs no look at the largest.
@@ -301,125 +298,143 @@ class Network:
                 self.p[layer] *= scale[..., None, :]
                 self.p[bias] *= scale
 
-    def scores(self, h: np.ndarray, vocabulary: Vocabulary, ids: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Natural log of P(class) P(word in class); words outside the head: P(class).
+    def outputs(self, states: np.ndarray, rows: np.ndarray, vocabulary: Vocabulary):
+        """Exponentials of the logits of all classes, and of the words in the class of each frequent word.
 
-        ``h`` holds states with a one at their end.
+        Words come in the order of their input rows, so that a class's words lie side by side. Also
+        returns the states with a one at their end, which the biases multiply, and each head class's
+        part of the words. Logits are small (see ``_bounded``).
         """
+        ends = np.searchsorted(rows, vocabulary.bounds).tolist()
+        parts = [(c, slice(at, end)) for c, (at, end) in enumerate(zip(ends, ends[1:], strict=False)) if end > at]
+        with_one = np.ones((len(states), HIDDEN + 1), states.dtype)
+        with_one[:, :HIDDEN] = states
+        of_class = with_one @ np.concatenate([self.p["classes"], self.p["class_bias"][None]])
+        np.exp(of_class, out=of_class)
+        weights = np.concatenate([self.p["words"], self.p["word_bias"][:, None]], axis=1)
+        of_word = np.empty((ends[-1], weights.shape[2]), states.dtype)
+        for c, some in parts:
+            np.matmul(with_one[some], weights[c], out=of_word[some])
+        np.exp(of_word, out=of_word)
+        return with_one, of_class, of_word, parts
 
-        def chosen(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-            """Log of the softmax at one place per row. Logits are small (see ``_bounded``)."""
-            np.exp(logits, out=logits)
-            sums = logits @ np.ones(logits.shape[1], np.float32)
-            return np.log(logits[np.arange(len(at)), at] / sums)
+    @staticmethod
+    def _sums(exps: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of each row, and one place of each row in the flat array."""
+        size = exps.shape[1]
+        return exps @ np.ones(size, exps.dtype), np.arange(0, exps.size, size) + at[: len(exps)]
 
-        self._bounded()
-        score = chosen(self._of_classes(h), classes)
-        order, _, parts = self._heads(h, classes)
-        inner, inside = vocabulary.inner[ids[order]], np.empty(len(order), score.dtype)
-        for _, some, logits in parts:
-            inside[some] = chosen(logits, inner[some])
-        score[order] += inside
+    def scores(self, states: np.ndarray, rows: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+        """Natural log of P(class) P(word in class); words outside the head: P(class)."""
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        _, of_class, of_word, _ = self.outputs(states.take(order, axis=0), rows, vocabulary)
+        found = []
+        for exps, place in ((of_class, vocabulary.row_classes), (of_word, vocabulary.row_inner)):
+            sums, at = self._sums(exps, place[rows])
+            found.append(np.log(exps.reshape(-1)[at] / sums))
+        found[0][: len(found[1])] += found[1]
+        score = np.empty_like(found[0])
+        score[order] = found[0]
         return score
 
-    def outputs(self, h: np.ndarray, vocabulary: Vocabulary, ids: np.ndarray, classes: np.ndarray):
-        """Probabilities of all classes, and of the words of each head class, for the way back."""
-
-        def softmax(logits: np.ndarray) -> np.ndarray:
-            np.exp(logits, out=logits)
-            logits /= (logits @ np.ones(logits.shape[1], np.float32))[:, None]
-            return logits
-
-        self._bounded()
-        order, sorted_h, heads = self._heads(h, classes)
-        inner = vocabulary.inner[ids[order]]
-        parts = [(c, some, softmax(x), inner[some]) for c, some, x in heads]
-        return softmax(self._of_classes(h)), order, sorted_h, parts
-
     def _move(self, name: str, slope: np.ndarray, rows=None) -> None:
         """One step with a rate for every weight (Adagrad)."""
         np.minimum(slope, 1, out=slope)
         np.maximum(slope, -1, out=slope)
-        if rows is None:
-            self.state[name] += slope * slope
-            self.p[name] -= RATE * slope / np.sqrt(self.state[name])
-        else:
-            state = self.state[name][rows] + slope * slope
-            self.state[name][rows] = state
-            self.p[name][rows] -= RATE * slope / np.sqrt(state)
-
-    def learn(self, h: np.ndarray, group: Group, places: list[np.ndarray], vocabulary: Vocabulary) -> np.ndarray:
+        at = ... if rows is None else rows
+        state = slope * slope
+        state += self.state[name][at]
+        self.state[name][at] = state
+        np.sqrt(state, out=state)
+        slope /= state
+        slope *= RATE
+        self.p[name][at] -= slope
+
+    def learn(self, h: np.ndarray, group: Group, places: list[range], vocabulary: Vocabulary) -> np.ndarray:
         """Backpropagation through one window; returns the state after it."""
-        kept, states = [], []
-        for x in self.read(group, places):
-            h = h[: len(x)]
-            states.append(h)
-            h, memory = self.step(h, x)
-            kept.append(memory)
-        with_one, flat = self._with_one(states), np.concatenate(places)
-        whole = with_one[:, :HIDDEN]
-        flat_classes = group.classes[flat]
-        of_class, order, sorted_h, parts = self.outputs(with_one, vocabulary, group.ids[flat], flat_classes)
+        first = places[0].start
+        states, x, inner, h = self.read(h, group, places)
+        rows = group.inputs[first : places[-1].stop]
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        self._bounded()
+        with_one, of_class, of_word, parts = self.outputs(states.take(order, axis=0), rows, vocabulary)
         # One text-step counts as one; the mean keeps the rate alike for all sizes.
-        scale = np.float32(1 / max(1, len(whole)) * 8)
-        d = of_class
-        d[np.arange(len(d)), flat_classes] -= 1
-        d *= scale
-        slope = with_one.T @ d
+        scale = np.float32(1 / len(rows) * 8)
+        for exps, place in ((of_class, vocabulary.row_classes), (of_word, vocabulary.row_inner)):
+            # From here on the slopes of the logits.
+            sums, at = self._sums(exps, place[rows])
+            exps.reshape(-1)[at] -= sums
+            exps *= (scale / sums)[:, None]
+        slope = with_one.T @ of_class
         slopes = {"classes": slope[:HIDDEN], "class_bias": slope[HIDDEN]}
-        back = d @ self.p["classes"].T
-        words, bias = np.zeros_like(self.p["words"]), np.zeros_like(self.p["word_bias"])
-        inside = np.empty((len(order), HIDDEN), back.dtype)
-        for c, some, e, inner in parts:
-            e[np.arange(len(e)), inner] -= 1
-            e *= scale
-            slope = sorted_h[some].T @ e
-            words[c], bias[c] = slope[:HIDDEN], slope[HIDDEN]
-            np.matmul(e, self.p["words"][c].T, out=inside[some])
-        back[order] += inside
-        slopes |= {"words": words, "word_bias": bias}
-        r, z, inner, fresh_state = (np.concatenate([memory[i] for memory in kept]) for i in range(1, 5))
-        # What a step multiplies by, for the whole window at once.
+        slope = np.zeros((HEAD_CLASSES, HIDDEN + 1, of_word.shape[1]), of_word.dtype)
+        inside = np.empty((len(of_word), HIDDEN), of_word.dtype)
+        for c, some in parts:
+            np.matmul(with_one[some].T, of_word[some], out=slope[c])
+            np.matmul(of_word[some], self.p["words"][c].T, out=inside[some])
+        slopes |= {"words": slope[:, :HIDDEN], "word_bias": slope[:, HIDDEN]}
+        sorted_back = of_class @ self.p["classes"].T
+        sorted_back[: len(inside)] += inside
+        back = np.empty_like(sorted_back)
+        back[order] = sorted_back
+
+        # What a step multiplies by, for the whole window at once; the steps make it the slopes of
+        # what the reset gate multiplies, reset gate, update gate and fresh state.
+        r, z, fresh = x
+        moves = np.empty((4, *states.shape), back.dtype)
+        to_inner, to_reset, to_update, to_fresh = moves
         stay = 1 - z
-        to_fresh = stay * (1 - fresh_state * fresh_state)
-        to_update = (whole - fresh_state) * z * stay
-        to_reset = inner * r * (1 - r)
-        rows = group.inputs[flat]
-        moves = np.empty((len(flat), 3 * HIDDEN), back.dtype)
-        di = np.empty((len(flat), HIDDEN), back.dtype)
-        both, dn = moves[:, : 2 * HIDDEN], moves[:, 2 * HIDDEN :]
-        ends = np.cumsum([len(x) for x in places])
+        np.multiply(fresh, fresh, out=to_fresh)
+        np.subtract(1, to_fresh, out=to_fresh)
+        to_fresh *= stay
+        np.subtract(states, fresh, out=to_update)
+        to_update *= z
+        to_update *= stay
+        np.multiply(to_fresh, r, out=to_inner)
+        np.subtract(1, r, out=to_reset)
+        to_reset *= to_inner
+        to_reset *= inner
+        weights = np.stack([self.p["fresh"].T, *np.split(self.p["gates"].T, 2)])
         carried = np.zeros((0, HIDDEN), back.dtype)
-        for t in range(len(places) - 1, -1, -1):
-            n = len(places[t])
-            at = slice(ends[t] - n, ends[t])
+        for some in reversed(places):
+            n, at = len(some), slice(some.start - first, some.stop - first)
             # What later steps say about the state after this one.
             ahead = carried
             if len(carried) < n:
                 ahead = np.zeros((n, HIDDEN), back.dtype)
                 ahead[: len(carried)] = carried
-            np.multiply(ahead, to_fresh[at], out=dn[at])
-            np.multiply(dn[at], to_reset[at], out=both[at, :HIDDEN])
-            np.multiply(ahead, to_update[at], out=both[at, HIDDEN:])
-            np.multiply(dn[at], r[at], out=di[at])
-            carried = ahead * z[at] + both[at] @ self.p["gates"].T + di[at] @ self.p["fresh"].T + back[at]
-        slopes |= {"gates": whole.T @ both, "fresh": whole.T @ di, "shift": di.sum(0)}
-        order = np.argsort(rows, kind="stable")
-        which, starts = np.unique(rows[order], return_index=True)
+            part = moves[:, at]
+            part *= ahead
+            carried = ahead
+            carried *= z[at]
+            for more in part[:3] @ weights:
+                carried += more
+            carried += back[at]
+        to_fresh, to_reset, to_update = states.T @ moves[:3]
+        slopes |= {"gates": np.concatenate([to_reset, to_update], axis=1), "fresh": to_fresh, "shift": moves[0].sum(0)}
         for name, slope in slopes.items():
             self._move(name, slope)
-        self._move("inputs", np.add.reduceat(moves[order], starts), which)
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        of_rows = np.add.reduceat(moves[1:].take(order, axis=1), starts, axis=1)
+        self._move("inputs", np.concatenate(of_rows, axis=1), rows[starts].astype(np.intp))
         return h
 
 
 class Group:
-    """Texts of like length, the longest first, read in step."""
+    """Texts of like length, the longest first, read in step: the first words of all, then the second."""
 
     def __init__(self, vocabulary: Vocabulary, texts: list[np.ndarray]):
-        self.lengths = np.array([len(x) for x in texts])
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.ids = np.concatenate(texts)
-        self.inputs, self.classes = vocabulary.coded(self.ids)
+        lengths = np.array([len(x) for x in texts])
+        most = int(lengths.max(initial=0))
+        #: How many texts reach each step, and where the step begins.
+        self.sizes = np.searchsorted(-lengths, -np.arange(most), "left")
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        step = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        # Small numbers are sorted by their digits.
+        order = np.argsort(step.astype(np.uint16) if most < 1 << 16 else step, kind="stable")
+        self.inputs = vocabulary.input_rows(np.concatenate(texts))[order]
 
     @staticmethod
     def all(vocabulary: Vocabulary, texts: list[np.ndarray], width: int) -> Iterator[tuple[np.ndarray, Group]]:
@@ -428,11 +443,11 @@ class Group:
             some = order[at : at + width]
             yield some, Group(vocabulary, [texts[i] for i in some])
 
-    def windows(self) -> Iterator[list[np.ndarray]]:
-        """For each step of a window, the places in the flat arrays of the texts that reach it."""
-        for start in range(0, int(self.lengths[0]), WINDOW):
-            steps = range(start, min(start + WINDOW, int(self.lengths[0])))
-            yield [self.starts[: np.searchsorted(-self.lengths, -t, "left")] + t for t in steps]
+    def windows(self) -> Iterator[list[range]]:
+        """For each step of a window, the places of its words."""
+        steps = [range(at, at + n) for at, n in zip(self.starts.tolist(), self.sizes.tolist(), strict=True)]
+        for start in range(0, len(steps), WINDOW):
+            yield steps[start : start + WINDOW]
 
 
 def train(net: Network, vocabulary: Vocabulary, texts: list[np.ndarray], width: int) -> None:
@@ -446,21 +461,16 @@ def train(net: Network, vocabulary: Vocabulary, texts: list[np.ndarray], width:
 def log_likelihoods(net: Network, vocabulary: Vocabulary, texts: list[np.ndarray], width: int = SIDE_BY_SIDE) -> np.ndarray:
     """Natural log of the model's part of the probability of every encoded text."""
     out = np.zeros(len(texts))
+    net._bounded()
     for some, group in Group.all(vocabulary, texts, width):
         h = np.zeros((len(some), HIDDEN), np.float32)
         sums = np.zeros(len(some))
         for places in group.windows():
-            states = []
-            for x in net.read(group, places):
-                h = h[: len(x)]
-                states.append(h)
-                h, _ = net.step(h, x)
-            flat = np.concatenate(places)
-            score = net.scores(net._with_one(states), vocabulary, group.ids[flat], group.classes[flat])
-            at = 0
-            for x in places:
-                sums[: len(x)] += score[at : at + len(x)]
-                at += len(x)
+            first = places[0].start
+            states, _, _, h = net.read(h[: len(places[0])], group, places)
+            score = net.scores(states, group.inputs[first : places[-1].stop], vocabulary)
+            for step in places:
+                sums[: len(step)] += score[step.start - first : step.stop - first]
         out[some] = sums
     return out
 
@@ -474,6 +484,7 @@ class Chunk:
     #: For every unknown word of a text: the text, the word's place in ``words``, how often.
     rare: tuple[np.ndarray, np.ndarray, np.ndarray]
     words: pa.Array
+    forms: np.ndarray
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -521,11 +532,11 @@ def coded(batch: pa.RecordBatch, vocabulary: Vocabulary, column: int) -> Chunk:
     if end is None:
         end = -1 - form(END.encode())
         # Without training texts the end is a word like any other.
-        words = pa.concat_arrays([words.cast(pa.string()), pa.array([END])])
+        words, forms = pa.concat_arrays([words.cast(pa.string()), pa.array([END])]), np.append(forms, form(END.encode()))
         rare = [np.concatenate(x) for x in zip(rare, (np.arange(size), np.full(size, len(words) - 1), np.ones(size, np.int64)), strict=True)]
     whole = np.full(len(ids) + size, end, np.int32)
     whole[np.arange(len(ids)) + owner] = ids
-    return Chunk(batch, np.split(whole, last[:-1] + 1) if size else [], tuple(rare), words)
+    return Chunk(batch, np.split(whole, last[:-1] + 1) if size else [], tuple(rare), words, forms)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, column: int) -> Iterator[Chunk]:
@@ -544,7 +555,7 @@ def rare_words(chunk: Chunk, words: Vocabulary) -> pa.Array:
     text, word, often = chunk.rare
     order = np.argsort(text, kind="stable")
     text, word, often = text[order], word[order], often[order]
-    within = words.within[np.array([form(w.encode()) for w in chunk.words.to_pylist()], np.int64)]
+    within = words.within[chunk.forms]
     parts = [
         chunk.words.take(pa.array(word, pa.int64())).cast(pa.string()), pa.array(often, pa.int64()),
         pa.array(within[word] if len(word) else [], pa.float64()),

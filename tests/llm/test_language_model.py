@@ -146,6 +146,35 @@ def test_slopes_against_differences(monkeypatch):
             assert (up - down) / 2e-3 == pytest.approx(full[at], abs=2e-3), (name, at)
 
 
+def test_words_of_a_step_lie_side_by_side(monkeypatch):
+    """Windows are stretches of a group's words: all texts' first words, then the second ones."""
+    monkeypatch.setattr(lm, "HEAD", 64)
+    words, _, _ = made(corpus(40))
+    texts = [words.encode(lm.tokens(t))[0] for t in [*corpus(50), "", "never seen " * 40]]
+    for some, group in lm.Group.all(words, texts, 20):
+        steps = [step for places in group.windows() for step in places]
+        assert all(isinstance(step, range) for step in steps)
+        assert [i for step in steps for i in step] == list(range(sum(len(texts[i]) for i in some)))
+        for t, step in enumerate(steps):
+            want = words.coded(np.array([texts[i][t] for i in some if len(texts[i]) > t], np.int32))[0]
+            assert group.inputs[step.start : step.stop].tolist() == want.tolist()
+    # Sorted by input rows, words are sorted by classes too.
+    assert (np.diff(words.row_classes) >= 0).all()
+
+
+def test_forms_are_found_once(monkeypatch):
+    """Each different unknown word of a batch, whatever the number of its occurrences."""
+    words, _, _ = made(corpus(30))
+    seen, form = [], lm.form
+    monkeypatch.setattr(lm, "form", lambda word: (seen.append(word), form(word))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(["new ab1 éa new", "new old", None])], ["text"])
+    rare = lm.rare_words(lm.coded(batch, words, 0), words).to_pylist()
+    assert sorted(seen) == sorted(x.encode() for x in ("new", "éa", "old"))
+    want = [{"new": 2, "éa": 1}, {"new": 1, "old": 1}, {}]
+    assert [{r["token"]: r["n"] for r in some} for some in rare] == want
+    assert all(r["within"] == words.within[form(r["token"].encode())] for some in rare for r in some)
+
+
 def test_training_helps_on_unseen_texts(spark, small):
     """With the settings of the query: warm start, then one pass over all training texts."""
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
